@@ -41,7 +41,7 @@ BOILERPLATE = [
 
 # Characters mapped before every other non-ASCII character is dropped.
 CHAR_MAP = [
-    ("​", " "), ("–", "-"), ("—", "-"), ("’", "'"), ("‘", "'"),
+    ("\u200b", " "), ("\u2013", "-"), ("\u2014", "-"), ("\u2019", "'"), ("\u2018", "'"),
     ("\n", " "), ('"', " "), ("\t", " "), ("\r", " "), ("\xa0", " "),
 ]
 

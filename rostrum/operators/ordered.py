@@ -69,46 +69,37 @@ def running_totals(df: DataFrame, values: dict, order_by, by=()) -> DataFrame:
 
     ``order_by`` must identify a row within ``by``: break ties with an id.
     """
-    by_cols, order = _cols(by), _cols(order_by)
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by_cols + order)])
-    groups = [f"_by{i}" for i in range(len(by_cols))]
-    work = df
-    for name, c in zip(groups, by_cols):
-        work = work.withColumn(name, c)
-    for name, v in values.items():
-        work = work.withColumn(f"_v_{name}", v)
+    order = _cols(order_by)
+    group = F.struct(F.lit(0).alias("_"), *[c.alias(f"g{i}") for i, c in enumerate(_cols(by))])
+    key = F.struct(group.alias("g"), *[c.alias(f"k{i}") for i, c in enumerate(order)])
+    work = df.withColumns(
+        {"_group": group, **{f"_v_{name}": v for name, v in values.items()}}
+    )
     work = with_range(work, key)
-    part = groups + ["_range"]
-    totals = work.groupBy(*part).agg(
+    totals = work.groupBy("_group", "_range").agg(
         *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values]
     )
     # One row per group and range: small, whatever the number of rows.
     earlier = (
-        Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     )
-    if not groups:
-        earlier = (
-            Window.partitionBy(F.lit(0))
-            .orderBy("_range")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
     offsets = totals.select(
-        *[F.col(p).alias(f"_o{p}") for p in part],
+        F.col("_group").alias("_og"),
+        F.col("_range").alias("_or"),
         *[
             F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_e_{n}")
             for n in values
         ],
     )
     inside = (
-        Window.partitionBy(*part)
+        Window.partitionBy("_group", "_range")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    for n in values:
-        work = work.withColumn(f"_r_{n}", F.sum(f"_v_{n}").over(inside))
-    same = F.lit(True)
-    for p in part:
-        same = same & F.col(p).eqNullSafe(F.col(f"_o{p}"))
+    work = work.withColumns({f"_r_{n}": F.sum(f"_v_{n}").over(inside) for n in values})
+    # A struct equals itself even with NULL inside, and plain equality lets the join
+    # reuse the partitioning of the window.
+    same = (F.col("_group") == F.col("_og")) & (F.col("_range") == F.col("_or"))
     out = work.join(offsets, same)
     return out.select(
         *[F.col(f"`{c}`") for c in df.columns],
