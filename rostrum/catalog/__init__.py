@@ -1,0 +1,10 @@
+"""Registered queries."""
+
+from importlib import import_module
+
+MODULES = ["flagship", "cleaning", "segments", "statistics"]
+
+
+def load() -> None:
+    for name in MODULES:
+        import_module(f"rostrum.catalog.{name}")
