@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["flagship", "cleaning", "segments", "statistics"]
+MODULES = ["flagship", "cleaning", "segments", "statistics", "counting", "curation", "scoring"]
 
 
 def load() -> None:

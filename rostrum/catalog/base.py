@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
 from rostrum.operators import annotate
+from rostrum.sources import tables
 
 
 class Tables:
@@ -22,6 +23,15 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def texts(self) -> DataFrame:
+        """Documents for work on the whole text, over all cores."""
+        return tables.spread(self.documents.select("doc_id", "text", "lang", "source"), "doc_id")
+
+    @property
+    def turns(self) -> DataFrame:
+        return tables.spread(self.conversations, "conv_id", "turn")
+
 
 @dataclass
 class Query:
@@ -122,7 +132,7 @@ def with_parse(toks: DataFrame) -> DataFrame:
 
 
 def doc_sentences(t: Tables, keep=()) -> DataFrame:
-    return annotate.sentences(t.documents, "doc_id", "text", keep)
+    return annotate.sentences(t.texts, "doc_id", "text", keep)
 
 
 def doc_tokens(t: Tables, keep=()) -> DataFrame:
@@ -131,7 +141,7 @@ def doc_tokens(t: Tables, keep=()) -> DataFrame:
 
 def labelled(t: Tables) -> DataFrame:
     """Documents with their class."""
-    return t.documents.join(t.labels, "doc_id")
+    return tables.spread(t.documents.join(t.labels, "doc_id"), "doc_id")
 
 
 LABELLED_SQL = "(SELECT d.*, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id))"

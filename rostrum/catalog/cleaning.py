@@ -15,7 +15,7 @@ FRONT = (
 
 
 def fronted(t: Tables):
-    return t.documents.select(
+    return t.texts.select(
         "doc_id",
         F.concat(F.lit(FRONT), F.col("doc_id").cast("string"), F.lit(" "), F.col("text"), F.lit(" .")).alias("text"),
     )

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rostrum.catalog.base import LABELLED_SQL, Tables, query, rounded, sents_sql, toks_sql
+from rostrum.catalog.base import LABELLED_SQL, Tables, labelled, query, rounded, sents_sql, toks_sql
 from rostrum.plans import discourse
 
 CLEAN = r"""(SELECT doc_id, quality, regexp_replace(trim(regexp_replace(regexp_replace(
@@ -40,5 +40,5 @@ SELECT feature, n1, round(m1, 6) AS mean1, round(sqrt(v1), 6) AS sd1,
 FROM g""",
 )
 def flagship(t: Tables):
-    docs = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", "quality"), "doc_id")
+    docs = labelled(t).select("doc_id", "text", "quality")
     return rounded(discourse.quick_tests(docs, "doc_id", "text", "quality", (1, 0), p=False))

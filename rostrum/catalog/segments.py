@@ -24,12 +24,12 @@ def sg01(t):
 
 @query("sg02_token_counts", f"SELECT doc_id, {ntok('text')} AS n_tokens FROM documents")
 def sg02(t):
-    return t.documents.select("doc_id", T.n_tokens("text").alias("n_tokens"))
+    return t.texts.select("doc_id", T.n_tokens("text").alias("n_tokens"))
 
 
 @query("sg03_length_gate", f"SELECT doc_id, lang FROM documents WHERE {ntok('text')} >= 450")
 def sg03(t):
-    return segment.long_enough(t.documents).select("doc_id", "lang")
+    return segment.long_enough(t.texts).select("doc_id", "lang")
 
 
 @query(
@@ -55,12 +55,12 @@ def sg05(t):
 
 @query("sg06_windows")
 def sg06(t):
-    return segment.windows(t.documents, "doc_id", "text", keep=["lang"])
+    return segment.windows(t.texts, "doc_id", "text", keep=["lang"])
 
 
 @query("sg06_window_ids")
 def sg06_ids(t):
-    w = segment.windows(t.documents, "doc_id", "text")
+    w = segment.windows(t.texts, "doc_id", "text")
     return segment.number_windows(w, ["doc_id", "window_i"]).select("window_id", "doc_id", "window_i", "n_tokens")
 
 

@@ -22,6 +22,11 @@ def _sub(c, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(_col(c), F.lit(pattern), F.lit(replacement))
 
 
+def _once(c, fn) -> Column:
+    """``fn(c)`` with ``c`` evaluated once, however often ``fn`` refers to it."""
+    return F.get(F.transform(F.array(_col(c)), fn), F.lit(0))
+
+
 def strip(c) -> Column:
     """Drop white space of every kind at both ends."""
     return _sub(c, r"^\s+|\s+$", "")
@@ -70,7 +75,10 @@ def drop_unopened(c) -> Column:
     A fold over the characters of one text. Texts without a closing bracket
     skip the fold.
     """
-    c = _col(c)
+    return strip(_once(c, _after_unopened))
+
+
+def _after_unopened(c: Column) -> Column:
     state = F.struct(
         F.lit(0).cast("long").alias("pos"),
         F.lit(0).alias("round"),
@@ -90,21 +98,17 @@ def drop_unopened(c) -> Column:
         )
 
     cut = F.aggregate(F.split(c, ""), state, step, lambda acc: acc["cut"])
-    kept = F.when(
+    return F.when(
         c.rlike(r"[\)\]]"),
         F.substr(c, (cut + 1).cast("int"), F.length(c)),
     ).otherwise(c)
-    return strip(kept)
 
 
 def drop_leading_marks(c) -> Column:
     """Remove one leading punctuation mark (unless the text starts with ``[``),
     then a leading ``word.`` and then leading hyphens, periods and spaces."""
-    c = _col(c)
-    out = F.when(
-        ~F.startswith(c, F.lit("[")),
-        _sub(c, r"""^[!"#$%&'()*+,\-./:;<=>?@\\\]^_`{|}~]\s*""", ""),
-    ).otherwise(c)
+    # The mark class leaves out "[", so a text that starts with it is not touched.
+    out = _sub(c, r"""^[!"#$%&'()*+,\-./:;<=>?@\\\]^_`{|}~]\s*""", "")
     out = _sub(out, r"^\w+\.\s", "")
     return _sub(out, r"^[-.,\s]+", "")
 
@@ -132,23 +136,24 @@ def expand_contractions(c, mapping=None) -> Column:
     The text is split at the matches and re-joined with the looked-up words, so
     the cost is one regular expression and not one per contraction.
     """
-    c = _col(c)
     mapping = fixed.CONTRACTIONS if mapping is None else mapping
     pattern = contraction_pattern(mapping)
     table = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    parts = F.split(c, pattern, -1)
-    hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    joined = F.array_join(
-        F.zip_with(
-            parts,
-            hits,
-            lambda p, h: F.concat(
-                p, F.coalesce(F.concat(F.element_at(table, h), F.lit(" ")), F.lit(""))
+
+    def expand(c):
+        joined = F.array_join(
+            F.zip_with(
+                F.split(c, pattern, -1),
+                F.regexp_extract_all(c, F.lit(pattern), F.lit(0)),
+                lambda p, h: F.concat(
+                    p, F.coalesce(F.concat(F.element_at(table, h), F.lit(" ")), F.lit(""))
+                ),
             ),
-        ),
-        "",
-    )
-    return _sub(F.when(c.rlike(pattern), joined).otherwise(c), " +", " ")
+            "",
+        )
+        return F.when(c.rlike(pattern), joined).otherwise(c)
+
+    return _sub(_once(c, expand), " +", " ")
 
 
 def drop_links(c) -> Column:

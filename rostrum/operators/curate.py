@@ -54,16 +54,15 @@ def stratified_split(df: DataFrame, label, order_by, fractions=(0.8, 0.1), out="
     """Ordered split within each class: the first ``floor(n·a)`` rows train, the next
     ``floor(n·b)`` validate, the rest test."""
     a, b = (float(f) for f in fractions)
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
-    rows = ordered.match_groups(ordered.numbered(df, order_by, label, "_n"), sizes, label)
-    train = F.floor(F.col("_size") * F.lit(a))
-    valid = train + F.floor(F.col("_size") * F.lit(b))
+    rows = ordered.numbered(df, order_by, label, "_n", "_size")
+    train = F.floor(F.col("_n_size") * F.lit(a))
+    valid = train + F.floor(F.col("_n_size") * F.lit(b))
     part = (
         F.when(F.col("_n") <= train, "train")
         .when(F.col("_n") <= valid, "validation")
         .otherwise("test")
     )
-    return rows.withColumn(out, part).drop("_n", "_size")
+    return rows.withColumn(out, part).drop("_n", "_n_size")
 
 
 def two_way_split(df: DataFrame, label, order_by, fractions=(0.8, 0.1), out="split") -> DataFrame:
@@ -100,9 +99,8 @@ def fixed_test_split(
     and the others validate. New ids run over train, validation and test; inside a part
     over the classes in the given order."""
     kept = df.filter(F.col(label).isin(list(classes)))
-    sizes = kept.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
-    rows = ordered.match_groups(ordered.numbered(kept, order_by, label, "_n"), sizes, label)
-    rest = F.greatest(F.col("_size") - n_test, F.lit(0))
+    rows = ordered.numbered(kept, order_by, label, "_n", "_size")
+    rest = F.greatest(F.col("_n_size") - n_test, F.lit(0))
     edge = n_test + F.floor(rest * F.lit(float(train)))
     rows = rows.withColumn(
         "split",
@@ -113,18 +111,28 @@ def fixed_test_split(
     # Positions follow from the class sizes, so no second ordering is needed.
     class_rank = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label))
     part_rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "validation", 1).otherwise(2)
-    cells = (
-        rows.groupBy(label, "split")
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_n").alias("_first"))
-        .withColumns({"_cr": class_rank, "_pr": part_rank})
+    sizes = kept.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
+    n_rest = F.greatest(F.col("_size") - n_test, F.lit(0))
+    n_train = F.floor(n_rest * F.lit(float(train)))
+    first_test = F.least(F.col("_size"), F.lit(n_test))
+    parts = F.array(
+        F.struct(F.lit("train").alias("split"), n_train.alias("_c"), first_test.alias("_skip")),
+        F.struct(
+            F.lit("validation").alias("split"), (n_rest - n_train).alias("_c"),
+            (first_test + n_train).alias("_skip"),
+        ),
+        F.struct(F.lit("test").alias("split"), first_test.alias("_c"), F.lit(0).cast("long").alias("_skip")),
     )
+    cells = sizes.select(label, F.explode(parts).alias("_p")).select(
+        label, "_p.*", class_rank.alias("_cr")
+    ).withColumn("_pr", part_rank)
     before = (
         Window.partitionBy(F.lit(0)).orderBy("_pr", "_cr").rowsBetween(Window.unboundedPreceding, -1)
     )
     cells = cells.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     out = ordered.match_groups(rows, cells.drop("_cr", "_pr", "_c"), [label, "split"])
-    new_id = F.col("_before") + F.col("_n") - F.col("_first") + 1
-    return out.withColumn("new_id", new_id).drop("_n", "_size", "_before", "_first")
+    new_id = F.col("_before") + F.col("_n") - F.col("_skip")
+    return out.withColumn("new_id", new_id).drop("_n", "_n_size", "_before", "_skip")
 
 
 def renumber(df: DataFrame, order_by, out="new_id") -> DataFrame:

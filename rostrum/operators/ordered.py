@@ -61,13 +61,16 @@ def with_range(df: DataFrame, key: Column, out: str = "_range") -> DataFrame:
         F.lit(0),
         lambda at, jump: F.when(F.get("_bounds", at + jump - 1) <= key, at + jump).otherwise(at),
     )
-    return df.withColumn(out, found).drop("_bounds")
+    # Not nullable: a join on it then brings no IS NOT NULL filter, which the optimizer
+    # would evaluate again on the rows below.
+    return df.withColumn(out, F.coalesce(found, F.lit(0))).drop("_bounds")
 
 
-def running_totals(df: DataFrame, values: dict, order_by, by=()) -> DataFrame:
+def running_totals(df: DataFrame, values: dict, order_by, by=(), whole: str = "") -> DataFrame:
     """Inclusive running sum of each ``values[name]`` within ``by``.
 
-    ``order_by`` must identify a row within ``by``: break ties with an id.
+    ``order_by`` must identify a row within ``by``: break ties with an id. With ``whole``
+    the sum over the whole group is added as ``name + whole``; it comes for free.
     """
     order = _cols(order_by)
     group = F.struct(F.lit(0).alias("_"), *[c.alias(f"g{i}") for i, c in enumerate(_cols(by))])
@@ -83,9 +86,11 @@ def running_totals(df: DataFrame, values: dict, order_by, by=()) -> DataFrame:
     earlier = (
         Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     )
+    group = Window.partitionBy("_group")
     offsets = totals.select(
         F.col("_group").alias("_og"),
         F.col("_range").alias("_or"),
+        *[F.sum(f"_t_{n}").over(group).alias(f"_w_{n}") for n in values if whole],
         *[
             F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_e_{n}")
             for n in values
@@ -104,20 +109,21 @@ def running_totals(df: DataFrame, values: dict, order_by, by=()) -> DataFrame:
     return out.select(
         *[F.col(f"`{c}`") for c in df.columns],
         *[(F.col(f"_r_{n}") + F.col(f"_e_{n}")).alias(n) for n in values],
+        *[F.col(f"_w_{n}").alias(n + whole) for n in values if whole],
     )
 
 
-def numbered(df: DataFrame, order_by, by=(), out: str = "n") -> DataFrame:
-    """Add the 1-based position of each row within ``by``."""
-    return running_totals(df, {out: F.lit(1).cast("long")}, order_by, by)
+def numbered(df: DataFrame, order_by, by=(), out: str = "n", whole: str = "") -> DataFrame:
+    """Add the 1-based position of each row within ``by``; with ``whole`` also the size
+    of its group, as ``out + whole``."""
+    return running_totals(df, {out: F.lit(1).cast("long")}, order_by, by, whole)
 
 
-def ranks_of(df: DataFrame, by, value: str, wanted: dict) -> DataFrame:
-    """Values at given 0-based ranks of ``value`` within ``by``.
+def quantiles(df: DataFrame, by, value: str, points: dict) -> DataFrame:
+    """Exact quantiles by linear interpolation between neighbouring ranks.
 
-    ``wanted`` maps an output name to a function ``n -> rank`` on the group size.
-    Equal values are counted before the shuffle, so the work follows the number
-    of distinct values.
+    Equal values are counted before the shuffle, so the work follows the number of
+    distinct values; the counts are then summed up in order.
     """
     by = [by] if isinstance(by, str) else list(by)
     counts = (
@@ -125,41 +131,24 @@ def ranks_of(df: DataFrame, by, value: str, wanted: dict) -> DataFrame:
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    run = running_totals(counts, {"_upto": F.col("_c")}, value, by)
-    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    run = match_groups(run, sizes, by)
-    return run.groupBy(*by).agg(
-        *[
-            F.max(
-                F.when(
-                    (rank(F.col("_n")) < F.col("_upto"))
-                    & (rank(F.col("_n")) >= F.col("_upto") - F.col("_c")),
-                    F.col(value),
-                )
-            ).alias(name)
-            for name, rank in wanted.items()
-        ]
-    )
+    run = running_totals(counts, {"_upto": F.col("_c")}, value, by, whole="_all")
 
+    def place(q):
+        return (F.col("_upto_all") - 1) * F.lit(float(q))
 
-def quantiles(df: DataFrame, by, value: str, points: dict) -> DataFrame:
-    """Exact quantiles by linear interpolation between neighbouring ranks."""
-    by = [by] if isinstance(by, str) else list(by)
-    wanted = {}
-    for name, q in points.items():
-        wanted[f"_lo_{name}"] = lambda n, q=q: F.floor((n - 1) * F.lit(float(q)))
-        wanted[f"_hi_{name}"] = lambda n, q=q: F.ceil((n - 1) * F.lit(float(q)))
-        wanted[f"_n_{name}"] = lambda n: n - 1
-    sizes = (
-        df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    def at(rank):
+        held = (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_c"))
+        return F.max(F.when(held, F.col(value).cast("double")))
+
+    got = run.groupBy(*by).agg(
+        F.max("_upto_all").alias("_upto_all"),
+        *[at(F.floor(place(q))).alias(f"_lo_{n}") for n, q in points.items()],
+        *[at(F.ceil(place(q))).alias(f"_hi_{n}") for n, q in points.items()],
     )
-    wanted = {k: v for k, v in wanted.items() if not k.startswith("_n_")}
-    got = match_groups(ranks_of(df, by, value, wanted), sizes, by)
 
     def between(name, q):
-        pos = (F.col("_n") - 1) * F.lit(float(q))
-        lo, hi = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
-        return (lo + (hi - lo) * (pos - F.floor(pos))).alias(name)
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        return (lo + (hi - lo) * (place(q) - F.floor(place(q)))).alias(name)
 
     return got.select(*by, *[between(n, q) for n, q in points.items()])
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,33 +96,39 @@ def frame_frequencies(df: DataFrame, label="label", frames="frames", k: int = 10
     return top_terms(freq, k, label, "frame")
 
 
+def subsequence_counts(names, size: int) -> dict:
+    """How often each tuple of ``size`` names occurs as a subsequence of a list.
+
+    Counts of shorter tuples are extended name by name, so the selections themselves are
+    never written out.
+    """
+    counts = [Counter({(): 1})] + [Counter() for _ in range(size)]
+    for name in names:
+        for k in range(size, 0, -1):
+            for head, n in counts[k - 1].items():
+                counts[k][head + (name,)] += n
+    return counts[size]
+
+
 def frame_combinations(df: DataFrame, size: int, label="label", frames="frames") -> DataFrame:
-    """All ordered selections of ``size`` frames of one row, in list order.
+    """Counts of all ordered selections of ``size`` frames of one row, in list order.
 
-    They are unfolded inside the row, so there is no self-join; counts are added before
-    the shuffle. The list of one sentence bounds the work.
+    Each row leaves one count per distinct tuple of names; there is no self-join, and
+    counts are added before the shuffle.
     """
-    f = F.col(frames)
-    picked = F.transform(f, lambda x, i: F.struct(F.array(x).alias("names"), i.alias("last")))
-    for _ in range(size - 1):
-        picked = F.flatten(
-            F.transform(
-                picked,
-                lambda p: F.transform(
-                    F.filter(
-                        F.transform(f, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-                        lambda e: e["i"] > p["last"],
-                    ),
-                    lambda e: F.struct(
-                        F.concat(p["names"], F.array(e["x"])).alias("names"), e["i"].alias("last")
-                    ),
-                ),
-            )
+
+    @F.pandas_udf("array<struct<frames:string,n:long>>")
+    def tuples(lists: pd.Series) -> pd.Series:
+        return pd.Series(
+            [
+                [{"frames": " + ".join(t), "n": n} for t, n in subsequence_counts(x, size).items()]
+                for x in lists
+            ]
         )
-    rows = df.select(label, F.explode(picked).alias("_p"))
-    return rows.groupBy(label, F.array_join("_p.names", " + ").alias("frames")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+
+    long_enough = df.filter(F.size(frames) >= size)
+    rows = long_enough.select(label, F.explode(tuples(F.col(frames))).alias("_p"))
+    return rows.groupBy(label, F.col("_p.frames").alias("frames")).agg(F.sum("_p.n").alias("n"))
 
 
 def top_combinations(df: DataFrame, size: int, label="label", frames="frames", k: int = 10):

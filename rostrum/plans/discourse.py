@@ -52,11 +52,13 @@ def quick_features(docs: DataFrame, id: str, text: str, label: str) -> DataFrame
     def total(field):
         return F.aggregate("_s", F.lit(0), lambda acc, s: acc + s[field]).cast("double")
 
-    n = F.size("_s").cast("double")
-    return rows.filter(F.size("_s") > 0).select(
+    # A text without sentences gets NULLs, which the statistics skip. A filter here would
+    # be evaluated a second time below the joins.
+    n = F.nullif(F.size("_s").cast("double"), F.lit(0.0))
+    return rows.select(
         "id", "label", n.alias("sentences"),
         (total("words") / n).alias("sentence_length"),
-        (total("chars") / total("words")).alias("word_length"),
+        F.try_divide(total("chars"), total("words")).alias("word_length"),
         (total("pron") / n).alias("personal_pronoun_d"),
     )
 
