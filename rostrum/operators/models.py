@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -12,6 +13,7 @@ from pyspark.ml.feature import HashingTF, IDF, PCA, RegexTokenizer, VectorAssemb
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,19 @@ from rostrum.functions import fixed
 from rostrum.operators import curate, ordered
 
 
+@contextmanager
+def kept(df: DataFrame):
+    """Keep prepared rows for the passes of one training run, and release them after.
+
+    Persisted blocks are a cache of the plan: a lost executor's blocks are computed again.
+    """
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def assemble(df: DataFrame, cols, out="features") -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip").transform(df)
 
@@ -39,8 +54,12 @@ def logit_table(df: DataFrame, label, cols, weight=None) -> tuple[DataFrame, Dat
     )
     if weight:
         glm = glm.setWeightCol(weight)
-    data = assemble(df.withColumn(label, F.col(label).cast("double")), cols)
-    model = glm.fit(data)
+    with kept(assemble(df.withColumn(label, F.col(label).cast("double")), cols)) as data:
+        model = glm.fit(data)
+        return _logit_rows(spark, model, cols)
+
+
+def _logit_rows(spark, model, cols) -> tuple[DataFrame, DataFrame]:
     s = model.summary
     names = list(cols) + ["const"]
     coefs = list(model.coefficients) + [model.intercept]
@@ -67,12 +86,12 @@ def logit_table(df: DataFrame, label, cols, weight=None) -> tuple[DataFrame, Dat
 
 def l2_logit(df: DataFrame, label, cols, weight=None, reg: float | None = None):
     """L2 logistic classifier; ``reg`` defaults to one over the number of rows."""
-    data = assemble(df.withColumn(label, F.col(label).cast("double")), cols)
-    reg = 1.0 / max(1, data.count()) if reg is None else reg
-    lr = LogisticRegression(
-        labelCol=label, regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8
-    )
-    return (lr.setWeightCol(weight) if weight else lr).fit(data)
+    with kept(assemble(df.withColumn(label, F.col(label).cast("double")), cols)) as data:
+        reg = 1.0 / max(1, data.count()) if reg is None else reg
+        lr = LogisticRegression(
+            labelCol=label, regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8
+        )
+        return (lr.setWeightCol(weight) if weight else lr).fit(data)
 
 
 def sorted_coefficients(model, spark, cols) -> DataFrame:
@@ -86,18 +105,22 @@ def with_folds(df: DataFrame, label, id="id", folds: int = 5, seed: int = 42) ->
     return rows.withColumn("fold", F.pmod(F.col("_n"), F.lit(folds)).cast("int")).drop("_n")
 
 
-def linear_svm(df: DataFrame, label, cols, id="id", folds=5, seed=42, grid=(0.001, 0.01, 0.1, 1.0)):
+def linear_svm(
+    df: DataFrame, label, cols, id="id", folds=5, seed=42, grid=(0.001, 0.01, 0.1, 1.0), max_iter=50, tol=1e-4
+):
     """Linear SVM with balanced weights; the penalty is searched by stratified folds."""
     data = with_folds(curate.class_weights(df, label), label, id, folds, seed)
     data = assemble(data.withColumn(label, F.col(label).cast("double")), cols)
-    svm = LinearSVC(labelCol=label, weightCol="weight", maxIter=50)
+    data = data.select(label, "features", "weight", "fold")
+    svm = LinearSVC(labelCol=label, weightCol="weight", maxIter=max_iter, tol=tol)
     params = ParamGridBuilder().addGrid(svm.regParam, list(grid)).build()
     evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
     cv = CrossValidator(
         estimator=svm, estimatorParamMaps=params, evaluator=evaluator, numFolds=folds,
         foldCol="fold", parallelism=4,
     )
-    return cv.fit(data)
+    with kept(data) as held:
+        return cv.fit(held)
 
 
 def permutation_importance(model, df: DataFrame, label, cols, id="id", seed: int = 42) -> DataFrame:
@@ -155,7 +178,8 @@ def with_target(df: DataFrame, names: dict, label="label") -> DataFrame:
 
 
 def train_text(df: DataFrame, names: dict, text="text", label="label", **options) -> PipelineModel:
-    return text_pipeline(text, **options).fit(with_target(df, names, label))
+    with kept(with_target(df, names, label).select(text, "target", "weight")) as data:
+        return text_pipeline(text, **options).fit(data)
 
 
 def search_text(train: DataFrame, validation: DataFrame, names: dict, regs=(0.001, 0.01, 0.1), **options):
@@ -163,13 +187,16 @@ def search_text(train: DataFrame, validation: DataFrame, names: dict, regs=(0.00
 
     Returns the best fitted pipeline, its penalty and its AUC. The test part takes no part.
     """
-    data = with_target(train, names)
-    held = with_target(validation, names)
+    columns = [options.get("text", "text"), "target", "weight"]
     evaluator = BinaryClassificationEvaluator(labelCol="target")
     trials = []
-    for reg in regs:
-        model = text_pipeline(reg=reg, **options).fit(data)
-        trials.append((evaluator.evaluate(model.transform(held)), reg, model))
+    with (
+        kept(with_target(train, names).select(*columns)) as data,
+        kept(with_target(validation, names).select(*columns)) as held,
+    ):
+        for reg in regs:
+            model = text_pipeline(reg=reg, **options).fit(data)
+            trials.append((evaluator.evaluate(model.transform(held)), reg, model))
     auc, reg, model = max(trials, key=lambda t: t[0])
     return model, reg, auc
 
@@ -182,7 +209,8 @@ def search_split(df: DataFrame, names: dict, regs=(0.001, 0.01, 0.1), seed: int
         estimator=pipe, estimatorParamMaps=grid, parallelism=4, seed=seed,
         evaluator=BinaryClassificationEvaluator(labelCol="target"),
     )
-    return tvs.fit(with_target(df, names))
+    with kept(with_target(df, names)) as data:
+        return tvs.fit(data)
 
 
 def score_text(model: PipelineModel, df: DataFrame, names: dict, keep=("id",)) -> DataFrame:
