@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ["flagship", "cleaning", "segments", "statistics", "counting", "curation", "scoring"]
+MODULES = [
+    "flagship", "cleaning", "segments", "statistics", "counting", "curation", "scoring", "stances", "topics",
+]
 
 
 def load() -> None:
