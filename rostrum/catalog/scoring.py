@@ -184,8 +184,8 @@ def embedded(t):
 @query("ml04_linear_svm")
 def ml04(t):
     cols = [f"e{k}" for k in range(4)]
-    cv = models.linear_svm(embedded(t), "y", cols, folds=5, grid=(0.01, 0.1), max_iter=8, tol=1e-3)
-    return rounded(models.sorted_coefficients(cv.bestModel, t.spark, cols))
+    model, _, _ = models.linear_svm(embedded(t), "y", cols, folds=5, grid=(0.01, 0.1), max_iter=8, tol=1e-3)
+    return rounded(models.sorted_coefficients(model, t.spark, cols))
 
 
 @query("ml05_permutation_importance")

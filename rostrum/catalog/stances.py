@@ -44,9 +44,10 @@ def lexicon(t):
 
 
 def gathered(t, toks=None):
-    return annotate.sentence_arrays(doc_tokens(t) if toks is None else toks)
+    return annotate.sentence_arrays(doc_tokens(t) if toks is None else toks, fields=FIELDS)
 
 
+FIELDS = ("i", "text", "lemma", "pos")
 NEG = {"negators": ("the",), "plain": "the"}
 
 
@@ -116,7 +117,7 @@ vec AS (SELECT kp.id, kp.sent_i, f.name, string_agg(CASE WHEN cov.k IS NULL THEN
 
 def stance_vectors(t, words_only=False):
     toks = doc_tokens(t)
-    sents = annotate.sentence_arrays(toks)
+    sents = gathered(t, toks)
     hits = stance.all_hits(sents, toks, lexicon(t), words_only=words_only, **({} if words_only else NEG))
     return stance.vectors(sents, hits, FEATS)
 
@@ -188,7 +189,7 @@ def st11(t):
 )
 def ag23(t):
     toks = labelled_tokens(t)
-    hits = stance.all_hits(annotate.sentence_arrays(toks), toks, lexicon(t), **NEG)
+    hits = stance.all_hits(gathered(t, toks), toks, lexicon(t), **NEG)
     classes = t.labels.select(F.col("doc_id").cast("string").alias("id"), "quality")
     return terms.feature_hits(hits.join(classes, "id"), "quality")
 

@@ -112,8 +112,8 @@ def tokens(sents: DataFrame, keep=()) -> DataFrame:
         }
     )
     rows = rows.withColumn("pos", F.expr(pos_rule()))
-    return rows.select(
-        "id", "sent_i", *keep, "i", "text", "ws",
+    token = F.struct(
+        "i", "text", "ws",
         F.expr(lemma_rule()).alias("lemma"),
         "pos",
         F.expr(tag_rule()).alias("tag"),
@@ -123,17 +123,23 @@ def tokens(sents: DataFrame, keep=()) -> DataFrame:
         (F.col("kind") == "punct").alias("is_punct"),
         F.col("word").isin(STOP_WORDS).alias("is_stop"),
     )
+    # The columns leave through a generator: a filter or join on them is then tested on
+    # the finished values. Pushed below, it would repeat the rules for every reference.
+    return rows.select("id", "sent_i", *keep, F.inline(F.array(token)))
 
 
-def sentence_arrays(toks: DataFrame, keep=()) -> DataFrame:
+ARRAY_FIELDS = (
+    "i", "text", "ws", "lemma", "pos", "tag", "dep", "head_i", "is_alpha", "is_punct", "is_stop"
+)
+
+
+def sentence_arrays(toks: DataFrame, keep=(), fields=ARRAY_FIELDS) -> DataFrame:
     """Gather tokens into one array per sentence, in order.
 
-    One shuffle by ``(id, sent_i)``; a sentence bounds the size of a group.
+    One shuffle by ``(id, sent_i)``; a sentence bounds the size of a group. ``fields``
+    names the columns to carry, ``i`` first.
     """
-    fields = [
-        c for c in ("i", "text", "ws", "lemma", "pos", "tag", "dep", "head_i", "is_alpha",
-                    "is_punct", "is_stop") if c in toks.columns
-    ]
+    present = [c for c in fields if c in toks.columns]
     return toks.groupBy("id", "sent_i", *keep).agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("tokens")
+        F.array_sort(F.collect_list(F.struct(*present))).alias("tokens")
     )

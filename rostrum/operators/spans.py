@@ -6,19 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ngrams(tokens, n: int, field: str, lower: bool = False) -> Column:
-    """``array<struct<start, end, gram>>`` of ``n`` neighbouring token fields."""
-    toks = F.col(tokens) if isinstance(tokens, str) else tokens
-    words = F.transform(toks, lambda t: F.lower(t[field]) if lower else t[field])
-    starts = F.when(
-        F.size(toks) >= n, F.sequence(F.lit(0), F.size(toks) - n)
-    ).otherwise(F.array().cast("array<int>"))
+def ngrams(words, n: int) -> Column:
+    """``array<struct<start, end, gram>>`` of ``n`` neighbouring words of an array column."""
+    words = F.col(words) if isinstance(words, str) else words
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(
+        F.array().cast("array<int>")
+    )
     return F.transform(
         starts,
         lambda s: F.struct(
             s.alias("start"),
             (s + n).alias("end"),
-            F.array_join(F.slice(words, s + 1, F.lit(n)), " ").alias("gram"),
+            F.concat_ws(" ", *[F.get(words, s + k) for k in range(n)]).alias("gram"),
         ),
     )
 
@@ -47,7 +46,9 @@ def longest_spans(spans) -> Column:
 
 def gram_rows(sents: DataFrame, field: str, lengths, keep=(), lower: bool = False) -> DataFrame:
     """Explode the n-grams of several lengths: ``id, sent_i, start, end, gram``."""
-    grams = F.flatten(F.array(*[ngrams("tokens", n, field, lower) for n in sorted(set(lengths))]))
-    return sents.select("id", "sent_i", *keep, F.explode(grams).alias("_g")).select(
+    words = F.transform("tokens", lambda t: F.lower(t[field]) if lower else t[field])
+    rows = sents.select("id", "sent_i", *keep, words.alias("_w"))
+    grams = F.flatten(F.array(*[ngrams("_w", n) for n in sorted(set(lengths))]))
+    return rows.select("id", "sent_i", *keep, F.explode(grams).alias("_g")).select(
         "id", "sent_i", *keep, "_g.start", "_g.end", "_g.gram"
     )

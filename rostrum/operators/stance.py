@@ -277,8 +277,8 @@ def pattern_hits(sents: DataFrame, patterns=None) -> DataFrame:
         out.append(
             F.transform(
                 spans.longest_spans(found),
-                lambda s, c=category, p=pos: F.struct(
-                    F.lit(c).alias("category"), F.lit(p).alias("pos"),
+                lambda s: F.struct(
+                    F.lit(category).alias("category"), F.lit(pos).alias("pos"),
                     s["start"].alias("start"), s["end"].alias("end"),
                 ),
             )

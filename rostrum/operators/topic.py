@@ -243,7 +243,8 @@ def coreference_clusters(coref: DataFrame, lengths: DataFrame) -> DataFrame:
 def coreference_links(coref: DataFrame, lengths: DataFrame) -> DataFrame:
     """First mention of each member, per linking cluster, as findings."""
     c = coreference_clusters(coref, lengths)
-    first, second = (F.get(F.filter("mentions", lambda x, s=s: x["side"] == s), F.lit(0)) for s in (1, 2))
+    first = F.get(F.filter("mentions", lambda x: x["side"] == 1), F.lit(0))
+    second = F.get(F.filter("mentions", lambda x: x["side"] == 2), F.lit(0))
     return c.select(
         "id", F.lit("coreference").alias("kind"),
         first["text"].alias("s1_word"), first["start"].alias("s1_i"),
