@@ -276,7 +276,7 @@ def an03(t):
     "an04_anonymize_pairs",
     """WITH p AS (SELECT a.conv_id, a.turn, '[CLS] ' || a.text || ' [SEP] ' || b.text || ' [SEP]' AS text
       FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
-    SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, replace(replace(regexp_replace(text, '[a-z]+tion\\b', 'ORG', 'g'), 'The', '[ENTITY]'), 'of', '[ENTITY]') AS text FROM p""",
+    SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, replace(replace(regexp_replace(text, '[a-z]+tion', 'ORG', 'g'), 'The', '[ENTITY]'), 'of', '[ENTITY]') AS text FROM p""",
 )
 def an04(t):
     a = t.turns.select("conv_id", "turn", F.col("text").alias("s1"))
@@ -284,7 +284,7 @@ def an04(t):
     pairs = a.join(b, ["conv_id", "turn"]).select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), anonymize.pair_text("s1", "s2", True).alias("text")
     )
-    found = anonymize.spans_of("text", r"[a-z]+tion\b", "ORG")
+    found = anonymize.spans_of("text", r"[a-z]+tion", "ORG")
     ents = pairs.select("id", F.explode(found).alias("_e")).select("id", "_e.*")
     return anonymize.anonymize_pairs(pairs, ents, ["The", "of"])
 
