@@ -31,9 +31,9 @@ SCHEMAS = {
     "predictions": "id STRING, true_label STRING, predicted_label STRING",
     "frames": (
         "denotations ARRAY<STRUCT<id: INT, obj: STRING, role: STRING, "
-        "span: STRUCT<begin: INT, end: INT>, text: STRING, token_span: ARRAY<INT>>>, "
-        "frame: STRING, lu: STRING, relations: ARRAY<STRUCT<obj: INT, pred: STRING, subj: INT>>, "
-        "text: STRING"
+        "span: STRUCT<begin: INT, end: INT>, text: STRING, token_span: ARRAY<INT> > >, "
+        "frame STRING, lu STRING, relations ARRAY<STRUCT<obj: INT, pred: STRING, subj: INT>>, "
+        "text STRING"
     ),
     "gazetteer": "exact STRING, hyphenated STRING, lemmatized STRING",
     "lexicon": "category STRING, pos STRING, entry STRING",
