@@ -208,7 +208,8 @@ def placeholders(c, ents=None, numbers_last: bool = False) -> Column:
 def final_cleanup(c) -> Column:
     """Drop HTML tags and e-mail addresses, tidy the white space."""
     out = _sub(c, r"<[^\n]*?>", "")
-    out = _sub(out, r"\S*@\S*\s?", "")
+    # Possessive: a word without "@" is given up without backtracking.
+    out = _sub(out, r"[^\s@]*+@\S*\s?", "")
     out = _sub(out, r"\s+\.\n?$", ".")
     return _sub(strip(out), r"\s+", " ")
 

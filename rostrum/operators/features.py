@@ -32,28 +32,33 @@ def _rules(markers) -> dict[str, Column]:
     }
 
 
-def sentence_features(toks: DataFrame, markers=None) -> DataFrame:
-    """One row per sentence that has a word, with a count for each feature.
+def sentence_counts(toks: DataFrame, markers=None) -> DataFrame:
+    """One row per sentence that has a word: a count for each feature, and the letters of
+    its words.
 
-    Tokens of a sentence sit together, so the map-side half of the aggregate leaves
-    about one row per sentence for the shuffle.
+    Tokens of a sentence sit together, so the map-side half of the aggregate leaves about
+    one row per sentence for the shuffle. Fixed-width sums only: a plain hash aggregate.
     """
     rules = _rules(markers)
+    letters = F.sum(F.when(F.col("is_alpha"), F.length("text"))).alias("letters")
+    counts = toks.groupBy("id", "sent_i").agg(
+        *[F.count_if(rule).cast("int").alias(name) for name, rule in rules.items()], letters
+    )
+    return counts.filter(F.col("sentence_length") > 0)
+
+
+def sentence_features(toks: DataFrame, markers=None) -> DataFrame:
+    """The same counts, with the length of each word in order."""
+    rules = _rules(markers)
+    word = F.when(F.col("is_alpha"), F.struct(F.col("i").alias("i"), F.length("text").alias("n")))
     return (
         toks.groupBy("id", "sent_i")
         .agg(
             *[F.count_if(rule).cast("int").alias(name) for name, rule in rules.items()],
-            F.collect_list(
-                F.when(
-                    F.col("is_alpha"),
-                    F.struct(F.col("i").alias("i"), F.length("text").alias("n")),
-                )
-            ).alias("_words"),
+            F.collect_list(word).alias("_words"),
         )
         .filter(F.col("sentence_length") > 0)
-        .withColumn(
-            "word_length", F.transform(F.array_sort("_words"), lambda w: w["n"])
-        )
+        .withColumn("word_length", F.transform(F.array_sort("_words"), lambda w: w["n"]))
         .drop("_words")
     )
 
@@ -88,11 +93,7 @@ def array_means(df: DataFrame, cols=FEATURES) -> DataFrame:
 
 def document_means(toks: DataFrame, markers=None) -> DataFrame:
     """The means of :func:`linguistic_features` without building the arrays."""
-    word_sum = F.aggregate("word_length", F.lit(0).cast("long"), lambda a, v: a + v)
-    sents = sentence_features(toks, markers).withColumns(
-        {"_w": word_sum, "_n": F.size("word_length")}
-    )
-    return sents.groupBy("id").agg(
+    return sentence_counts(toks, markers).groupBy("id").agg(
         *[F.avg(f).alias(f) for f in SENTENCE_FEATURES],
-        (F.sum("_w") / F.sum("_n")).alias("word_length"),
+        (F.sum("letters") / F.sum("sentence_length")).alias("word_length"),
     )
