@@ -141,7 +141,8 @@ def doc_tokens(t: Tables, keep=()) -> DataFrame:
 
 def labelled(t: Tables) -> DataFrame:
     """Documents with their class."""
-    return tables.spread(t.documents.join(t.labels, "doc_id"), "doc_id")
+    docs = t.documents
+    return tables.spread(docs.join(t.labels, "doc_id"), "doc_id", scan=docs)
 
 
 LABELLED_SQL = "(SELECT d.*, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id))"

@@ -83,18 +83,14 @@ def ds09(t):
     )
 
 
-@query("ds10_common", "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
+@query("ds10_common", "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels WHERE toxic = 0")
 def ds10(t):
-    return curate.common(
-        t.customer.select(F.col("c_custkey").alias("k")), t.orders.select(F.col("o_custkey").alias("k")), "k"
-    )
+    return curate.common(t.documents, t.labels.filter("toxic = 0"), "doc_id")
 
 
-@query("ds10_difference", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("ds10_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def ds10_diff(t):
-    return curate.difference(
-        t.customer.select(F.col("c_custkey").alias("k")), t.orders.select(F.col("o_custkey").alias("k")), "k"
-    )
+    return curate.difference(t.documents, t.labels, "doc_id")
 
 
 @query("ds11_sort", "SELECT o_orderpriority, o_orderkey, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rostrum.catalog.base import DEP_RULE, HEAD_RULE, ann_docs, ann_sql, doc_tokens, q, query, rounded, sql_list, toks_sql, with_parse
+from rostrum.catalog.base import DEP_RULE, HEAD_RULE, ann_docs, ann_sql, doc_tokens, q, query, rounded, sents_sql, sql_list, toks_sql, with_parse
 from rostrum.functions import fixed
 from rostrum.functions import text as T
 from rostrum.operators import annotate, segment, topic
@@ -35,12 +35,28 @@ def jn10(t):
     return pairs(t).drop("id")
 
 
-@query("jn10_array_pairs", f"WITH {PAIRS} SELECT conv_id, i, s1, s2, label FROM pairs")
+# Documents whose sentences carry a role, as arrays.
+ARRAY_ROLE = "CASE WHEN {i} = 0 OR length({s}) % 7 = 0 THEN 'beginning' WHEN length({s}) % 3 = 0 THEN 'outside' ELSE 'inside' END"
+
+
+@query(
+    "jn10_array_pairs",
+    f"""WITH {sents_sql()}, r0 AS (SELECT id, sent_i, sentence, {ARRAY_ROLE.format(i='sent_i', s='sentence')} AS r FROM sents),
+r1 AS (SELECT id, sent_i, sentence, CASE WHEN sent_i > 0 AND r = 'beginning' THEN 'inside' ELSE r END AS r FROM r0),
+p AS (SELECT id, sent_i AS i, sentence AS s1, lead(sentence) OVER w AS s2, r AS ra, lead(r) OVER w AS rb FROM r1 WINDOW w AS (PARTITION BY id ORDER BY sent_i))
+SELECT * FROM (SELECT id, i, s1, s2, CASE WHEN rb = 'inside' AND ra IN ('inside', 'beginning') THEN 'continue'
+  WHEN ra = 'outside' AND rb = 'inside' THEN 'not_continue' WHEN ra IN ('inside', 'beginning') AND rb = 'outside' THEN 'not_continue' END AS label FROM p) WHERE label IS NOT NULL""",
+)
 def jn10_arrays(t):
-    rows = t.conversations.withColumn("role", F.expr(ROLE)).groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("sentence"), "role"))).alias("text")
+    def role(s, i):
+        first = (i == 0) | (F.length(s) % 7 == 0)
+        return F.when(first, "beginning").when(F.length(s) % 3 == 0, "outside").otherwise("inside")
+
+    nested = F.transform(
+        T.sentences("text"), lambda s, i: F.struct(s.alias("sentence"), role(s, i).alias("role"))
     )
-    return topic.array_pairs(rows, "conv_id", "text")
+    rows = t.texts.select(F.col("doc_id").cast("string").alias("id"), nested.alias("text"))
+    return topic.array_pairs(rows, "id", "text")
 
 
 N = lambda c: f"len(regexp_extract_all({c}, '{T.TOKEN}'))"

@@ -5,10 +5,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.functions import fixed
+from rostrum.functions import fixed, tails
 from rostrum.functions import text as T
 from rostrum.operators import ordered, stats
 
@@ -74,18 +74,27 @@ def lexical_classes(toks: DataFrame, markers=None, excluded=()) -> DataFrame:
     return rows.select(*keep, "_b.bucket", "_b.value")
 
 
+def _scale(x, ends, scale: str):
+    """One value scaled by the statistics struct of its series."""
+    if scale == "minmax":
+        return F.try_divide(x - ends["lo"], ends["hi"] - ends["lo"])
+    if scale == "zscore":
+        return F.try_divide(x - ends["mean"], ends["sd"])
+    raise ValueError(f"unknown scale {scale!r}")
+
+
+def _ends(value):
+    return F.struct(
+        F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("mean"),
+        F.stddev_pop(value).alias("sd"),
+    )
+
+
 def scaled(df: DataFrame, series, value="value", scale: str = "zscore") -> DataFrame:
     """Scale each series by its population deviation, or to its range."""
-    w = Window.partitionBy(series)
-    v = F.col(value)
-    if scale == "minmax":
-        lo, hi = F.min(value).over(w), F.max(value).over(w)
-        out = F.try_divide(v - lo, hi - lo)
-    elif scale == "zscore":
-        out = F.try_divide(v - F.avg(value).over(w), F.stddev_pop(value).over(w))
-    else:
-        raise ValueError(f"unknown scale {scale!r}")
-    return df.withColumn(value, out)
+    ends = df.groupBy(series).agg(_ends(F.col(value)).alias("_e"))
+    rows = ordered.match_groups(df, ends, series)
+    return rows.withColumn(value, _scale(F.col(value), F.col("_e"), scale)).drop("_e")
 
 
 def agreement(a: DataFrame, b: DataFrame, on="feature", scale: str = "zscore", p: bool = True) -> DataFrame:
@@ -95,15 +104,12 @@ def agreement(a: DataFrame, b: DataFrame, on="feature", scale: str = "zscore", p
     (mean ± 1.96 population deviations) in one row.
     """
     joined = a.select(on, F.col("value").alias("x")).join(b.select(on, F.col("value").alias("y")), on)
-    every = Window.partitionBy(F.lit(0))
-
-    def scale_to(c):
-        if scale == "minmax":
-            lo, hi = F.min(c).over(every), F.max(c).over(every)
-            return F.try_divide(F.col(c) - lo, hi - lo)
-        return F.try_divide(F.col(c) - F.avg(c).over(every), F.stddev_pop(c).over(every))
-
-    z = joined.select(on, scale_to("x").alias("x"), scale_to("y").alias("y"))
+    both = joined.agg(F.struct(_ends(F.col("x")).alias("x"), _ends(F.col("y")).alias("y"))).scalar()
+    z = joined.withColumn("_e", both).select(
+        on,
+        _scale(F.col("x"), F.col("_e.x"), scale).alias("x"),
+        _scale(F.col("y"), F.col("_e.y"), scale).alias("y"),
+    )
     gap = F.col("x") - F.col("y")
     n = F.count(F.lit(1))
     t, df = stats.welch(
@@ -114,11 +120,7 @@ def agreement(a: DataFrame, b: DataFrame, on="feature", scale: str = "zscore", p
         (F.avg(gap) - 1.96 * F.stddev_pop(gap)).alias("lower_limit"),
         (F.avg(gap) + 1.96 * F.stddev_pop(gap)).alias("upper_limit"),
     )
-    if not p:
-        return out
-    from rostrum.functions import tails
-
-    return out.withColumn("p", tails.t_p(F.col("t"), F.col("df")))
+    return out.withColumn("p", tails.t_p(F.col("t"), F.col("df"))) if p else out
 
 
 def signed_words(attributions: DataFrame) -> DataFrame:
