@@ -84,7 +84,7 @@ def st04(t):
     docs = t.texts.withColumn("text", F.concat(front, "text"))
     toks = annotate.tokens(annotate.sentences(docs, "doc_id", "text"))
     lex = stance.modal_lexicon(t.spark)
-    return stance.word_hits(toks, lex).unionByName(stance.phrase_hits(gathered(t, toks), lex, (2,)))
+    return stance.word_hits(toks, lex).unionByName(stance.phrase_hits(gathered(t, toks), lex))
 
 
 @query("st05_pattern_hits")
@@ -222,7 +222,7 @@ def gazetteer_table(t):
 
 @query("jn09_match_phrases")
 def jn09(t):
-    return gazetteer.match_phrases(gathered(t), gazetteer.from_columns(gazetteer_table(t)), 4)
+    return gazetteer.match_phrases(gathered(t), gazetteer.from_columns(gazetteer_table(t)))
 
 
 GRAM = """g AS (SELECT id, sent_i, i AS start, i + 1 AS "end", lemma AS gram FROM ar UNION ALL SELECT id, sent_i, i, i + 2, lemma || ' ' || n1 FROM ar

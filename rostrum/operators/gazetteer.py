@@ -21,27 +21,23 @@ def from_columns(table: DataFrame) -> DataFrame:
 
 
 def match_phrases(
-    sents: DataFrame, gazetteer: DataFrame, max_tokens: int = 6, names: DataFrame | None = None
+    sents: DataFrame, gazetteer: DataFrame, names: DataFrame | None = None
 ) -> DataFrame:
     """Longest non-overlapping gazetteer terms of each sentence.
 
     ``sents`` is ``(id, sent_i, tokens)``. Entries are matched as token sequences: on the
     surface form for ``exact``, on lemmas otherwise. ``names(entry, qid, name)`` adds the
     distinct identifiers of the matched term; terms unknown to it are dropped.
-    ``max_tokens`` must cover the longest entry: longer entries raise an error.
+    The n-gram lengths are those of the entries, read from the gazetteer first.
     """
     terms = gazetteer.select(
-        "kind", "entry", F.array_join(T.tokens("entry"), " ").alias("gram"), T.n_tokens("entry").alias("_n")
-    ).withColumn(
-        "gram",
-        F.when(F.col("_n") <= max_tokens, F.col("gram")).otherwise(
-            F.raise_error(F.concat(F.lit("entry longer than max_tokens: "), F.col("entry")))
-        ),
-    )
-    terms = ordered.dimension(terms.drop("_n").distinct())
+        "kind", "entry", F.array_join(T.tokens("entry"), " ").alias("gram"), T.n_tokens("entry").alias("n")
+    ).distinct()
+    lengths = [r.n for r in terms.select("n").distinct().collect()] or [1]
+    terms = ordered.dimension(terms.drop("n"))
     found = None
     for field, kinds in (("text", ["exact"]), ("lemma", ["lemmatized", "hyphenated"])):
-        grams = spans.gram_rows(sents, field, range(1, max_tokens + 1))
+        grams = spans.gram_rows(sents, field, lengths)
         hit = grams.join(terms.filter(F.col("kind").isin(kinds)), "gram")
         found = hit if found is None else found.unionByName(hit)
     per_sentence = found.groupBy("id", "sent_i").agg(

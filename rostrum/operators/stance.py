@@ -50,12 +50,19 @@ def word_hits(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
     )
 
 
-def phrase_hits(sents: DataFrame, lexicon: DataFrame, lengths=(2, 3, 4, 5)) -> DataFrame:
-    """Lemma sequences that are lexicon phrases of the given lengths."""
+def phrase_hits(sents: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Lemma sequences that are lexicon phrases.
+
+    The n-grams are those of the lengths that occur in the lexicon, read from it first: a
+    few numbers, whatever its size.
+    """
+    entries = lexicon.filter(F.contains(F.col("entry"), F.lit(" ")))
+    sizes = entries.select(F.size(F.split("entry", " ")).alias("n")).distinct()
+    lengths = [r.n for r in sizes.collect()] or [2]
     phrases = ordered.dimension(
-        lexicon.filter(F.contains(F.col("entry"), F.lit(" ")))
-        .select("category", F.coalesce("pos", F.lit("")).alias("pos"), F.col("entry").alias("gram"))
-        .distinct()
+        entries.select(
+            "category", F.coalesce("pos", F.lit("")).alias("pos"), F.col("entry").alias("gram")
+        ).distinct()
     )
     hit = spans.gram_rows(sents, "lemma", lengths).join(phrases, "gram")
     return hit.select(

@@ -84,10 +84,10 @@ def test_gazetteer_prefers_the_longer_term(spark):
         [("Taxes", "co-op", "health care"), ("", None, "care"), (None, "", "cost")],
         "exact string, hyphenated string, lemmatized string",
     )
-    out = gazetteer.match_phrases(annotate.sentence_arrays(t), gazetteer.from_columns(table), 3)
+    out = gazetteer.match_phrases(annotate.sentence_arrays(t), gazetteer.from_columns(table))
     assert {(r.start, r.end, r.entry) for r in out.collect()} == {(0, 2, "health care"), (2, 3, "cost"), (4, 7, "co-op")}
     names = spark.createDataFrame([("cost", "Q1", "Cost")], "entry string, qid string, name string")
-    known = gazetteer.match_phrases(annotate.sentence_arrays(t), gazetteer.from_columns(table), 3, names).collect()
+    known = gazetteer.match_phrases(annotate.sentence_arrays(t), gazetteer.from_columns(table), names).collect()
     assert [(r.entry, r.qids) for r in known] == [("cost", ["Q1"])]
 
 
