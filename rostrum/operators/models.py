@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,7 +15,7 @@ from pyspark.ml.feature import HashingTF, IDF, PCA, RegexTokenizer, VectorAssemb
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,7 +108,8 @@ def with_folds(df: DataFrame, label, id="id", folds: int = 5, seed: int = 42) ->
 
 
 def linear_svm(
-    df: DataFrame, label, cols, id="id", folds=5, seed=42, grid=(0.001, 0.01, 0.1, 1.0), max_iter=50, tol=1e-4
+    df: DataFrame, label, cols, id="id", folds=5, seed=42, grid=(0.001, 0.01, 0.1, 1.0), max_iter=50, tol=1e-4,
+    parallelism=4,
 ):
     """Linear SVM with balanced weights; the penalty is searched by stratified folds.
 
@@ -123,14 +126,16 @@ def linear_svm(
         )
         return svm.fit(rows)
 
-    with kept(data) as held:
-        scores = {
-            reg: sum(
-                evaluator.evaluate(fit(held.filter(F.col("fold") != k), reg).transform(held.filter(F.col("fold") == k)))
-                for k in range(folds)
-            ) / folds
-            for reg in grid
-        }
+    def trial(held, reg, k):
+        model = fit(held.filter(F.col("fold") != k), reg)
+        return reg, evaluator.evaluate(model.transform(held.filter(F.col("fold") == k)))
+
+    with kept(data) as held, ThreadPool(parallelism) as pool:
+        held.count()
+        jobs = [inheritable_thread_target(partial(trial, held, reg, k)) for reg in grid for k in range(folds)]
+        scores = dict.fromkeys(grid, 0.0)
+        for reg, f1 in pool.map(lambda job: job(), jobs):
+            scores[reg] += f1 / folds
         best = max(scores, key=scores.get)
         return fit(held, best), best, scores
 
