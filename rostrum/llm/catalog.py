@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from rostrum.llm import packing
+from rostrum.llm import kneser, langid, neardup, outliers, packing
 
 QUERIES = {
     "op5_packing": packing.op5_packing,
+    "op6_lm_scores": kneser.op6_lm_scores,
+    "op7_quality_outliers": outliers.op7_quality_outliers,
+    "op9_language_id": langid.op9_language_id,
+    "op10_near_duplicates": neardup.op10_near_duplicates,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_near_duplicates": neardup.OP10_SQL,
+}
