@@ -6,11 +6,14 @@ if it agrees in some entry of either collection; with m = 10 and two minhashes a
 is 0.9995 at a similarity of 0.75, for 40 minhashes in place of 400.
 
 1. Equal shingle sets form a class, which is represented by its smallest document.
-2. Every class meets the smallest class of each of its tables; these candidates, a few per
-   class however large a table is, are verified on full shingle sets and linked.
-3. A table may still hold several components. There, pairs across components are compared in
-   blocks by their 40 minhashes inside the tasks; only those that may reach the threshold
-   leave a task and are verified. No pair of the same component is looked at again.
+2. Every class meets the hub of each of its tables: the member that shares most tables with
+   others, so the original rather than one of its copies. These candidates, a few per class
+   however large a table is, are verified on full shingle sets and linked.
+3. A table may still hold several components. There, members of different components are
+   compared in blocks by their 40 minhashes inside the tasks; what leaves a task are the members
+   that may be similar to some other, once per block. Their full sets are then compared in the
+   same blocks, and only links that join components leave. Pairs are never written out, and no
+   pair of the same component is looked at again.
 
 Links are verified exactly (intersection and union of full sets); the components of all links
 are the result. Sets and signatures are computed from whole texts.
@@ -36,7 +39,7 @@ WORDS = 5
 THRESHOLD = (75, 100)
 ENTRIES = 10
 HASHES = 2
-BLOCK = 2048
+BLOCK = 512
 # 40 minhashes of a pair at 0.75 agree in fewer than 18 once in 30,000 times.
 SURE = 18
 
@@ -124,61 +127,89 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             })
 
 
+def _similar(x: np.ndarray, y: np.ndarray, part: int, whole: int) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches ``part / whole``."""
+    if whole * min(len(x), len(y)) < part * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return whole * common >= part * (len(x) + len(y) - common)
+
+
 def _verify(batches: Iterator[pa.RecordBatch], part: int, whole: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         take = []
         for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if whole * min(len(x), len(y)) >= part * max(len(x), len(y)):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if whole * common >= part * (len(x) + len(y) - common):
-                    take.append(k)
+            if _similar(x, y, part, whole):
+                take.append(k)
         take = pa.array(take, pa.int64())
         yield pa.RecordBatch.from_pydict({"a": batch.column(0).take(take), "b": batch.column(1).take(take)})
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block of a table whose components differ and whose minhashes agree enough.
-
-    Input rows are sorted by ``group``; a group holds two blocks at most.
-    """
-    names = ["group", "id", "component", "least", "left", "right", "signature"]
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of each ``group``, the first column, by which the input is sorted."""
     held: list[pa.RecordBatch] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        component, least = table["component"].to_numpy(), table["least"].to_numpy()
-        ids = table["id"].to_numpy()
-        left, right = table["left"].to_numpy(), table["right"].to_numpy()
-        small = (_matrix(table["signature"].combine_chunks()) & np.uint64(0xFFFF)).astype(np.uint16)
-        spread, count = np.unique(component, return_counts=True)
-        common = component == spread[count.argmax()]
-        rows = np.flatnonzero(~common)  # one of a pair is outside the commonest component
-        for k in rows:
-            ok = (component != component[k]) & (common | (np.arange(len(ids)) > k))
-            # Across two blocks, or within the only one.
-            ok &= ((left[k] & right) | (right[k] & left)).astype(bool)
-            ok &= (ids != least) & (ids[k] != least[k])  # pairs with the least were verified before
-            some = np.flatnonzero(ok)
-            some = some[(small[some] == small[k]).sum(1) >= SURE]
-            if len(some):
-                a, b = np.minimum(ids[some], ids[k]), np.maximum(ids[some], ids[k])
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
-
     last = None
     for batch in batches:
         groups = batch.column(0).to_pylist()
-        cuts = [0] + [k for k in range(1, len(groups)) if groups[k] != groups[k - 1]] + [len(groups)]
+        cuts = [0, *(k for k in range(1, len(groups)) if groups[k] != groups[k - 1]), len(groups)]
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             if x == y:
                 continue
             if held and groups[x] != last:
-                yield from flush()
+                yield pa.Table.from_batches(held)
                 held = []
             last = groups[x]
-            held.append(batch.slice(x, y - x).select(names))
+            held.append(batch.slice(x, y - x))
     if held:
-        yield from flush()
+        yield pa.Table.from_batches(held)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of a block, or of two, that agree enough with one of another component."""
+    for table in _groups(batches):
+        component = table["component"].to_numpy()
+        left, right = table["left"].to_numpy().astype(bool), table["right"].to_numpy().astype(bool)
+        small = (_matrix(table["signature"].combine_chunks()) & np.uint64(0xFFFF)).astype(np.uint16)
+        kinds, at, count = np.unique(component, return_inverse=True, return_counts=True)
+        outside = np.flatnonzero(at != count.argmax())  # one of a pair is outside the commonest component
+        take = np.zeros(len(component), bool)
+        for k in outside:
+            other = np.flatnonzero((component != component[k]) & ((left[k] & right) | (right[k] & left)))
+            near = other[(small[other] == small[k]).sum(1) >= SURE]
+            if len(near):
+                take[k] = take[near] = True
+        if take.any():
+            yield table.select(["group", "id", "component", "left", "right"]).filter(pa.array(take)).combine_chunks().to_batches()[0]
+
+
+def _joined(batches: Iterator[pa.RecordBatch], part: int, whole: int) -> Iterator[pa.RecordBatch]:
+    """Links of a block, or of two, that join components."""
+    for table in _groups(batches):
+        ids, component = table["id"].to_pylist(), table["component"].to_pylist()
+        left, right = table["left"].to_pylist(), table["right"].to_pylist()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["set"]]
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        out = []
+        for k in range(len(ids)):
+            for m in range(k):
+                if not (left[k] and right[m] or right[k] and left[m]):
+                    continue
+                a, b = find(component[k]), find(component[m])
+                if a != b and _similar(sets[k], sets[m], part, whole):
+                    root[max(a, b)] = min(a, b)
+                    out.append((min(ids[k], ids[m]), max(ids[k], ids[m])))
+        if out:
+            a, b = zip(*out, strict=True)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -204,31 +235,39 @@ def links(docs: DataFrame, id="doc_id", text="text", n: int = WORDS, threshold=T
         named.groupBy("set_key").agg(F.min("id").alias("class"), F.min("signature").alias("signature")), "classes"
     )
     keys = classes.select("class", "signature").mapInArrow(_key_rows, "key bigint, id bigint")
-    shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    met = folder.written(keys.join(shared.drop("most"), "key").select("key", "least", "id"), "tables")
+    shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("size"))
+    shared = shared.filter("least < most").select("key", "size")
+    met = folder.written(keys.join(shared, "key").select("key", "size", "id"), "tables")
+    # Of a table's members, the hub is the one that meets most others in all its tables.
+    degree = met.groupBy("id").agg(F.sum("size").alias("degree"))
+    rank = F.struct("degree", (-F.col("id")).alias("first"))
+    hubs = met.join(degree, "id").groupBy("key").agg(F.max_by("id", rank).alias("hub"))
 
     # Sets of the classes that meet any other, from their smallest document.
     wanted = classes.join(met.select(F.col("id").alias("class")).distinct(), "class")
     texts = rows.join(wanted.select(F.col("class").alias("id"), "set_key"), "id").select("id", "text", "set_key")
     sets = folder.written(texts.mapInArrow(lambda b: _sets(b, n), "id bigint, set binary"), "sets")
 
-    first = met.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    first = met.join(hubs, "key").filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     found = folder.written(_verified(first, sets, threshold), "verified")
     rest = folder.written(_residual(met, found, classes), "residual")
     if not rest.isEmpty():
-        found = found.union(folder.written(_verified(rest, sets, threshold), "verified"))
+        rows = rest.join(sets, "id").select("group", "id", "component", "left", "right", "set")
+        rows = rows.repartition("group").sortWithinPartitions("group")
+        more = rows.mapInArrow(lambda b: _joined(b, *threshold), "a bigint, b bigint").distinct()
+        found = found.union(folder.written(more, "verified"))
     out = signed.select("id", "n_shingles", "set_key").join(classes.select("set_key", "class"), "set_key", "left")
     return out, found
 
 
 def _residual(met: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs across components that share a table and may be similar."""
+    """Members of tables with several components that may be similar across them, by blocks."""
     part = graph.components(found)
-    members = met.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = met.drop("size").join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     members = folder.written(members, "members")
     mixed = members.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
-    ).filter("low < high and size > 2")
+    ).filter("low < high")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = (
@@ -240,9 +279,9 @@ def _residual(met: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame
         .withColumn("right", (F.col("own") == F.col("high")).cast("int"))
     )
     signature = classes.select(F.col("class").alias("id"), "signature")
-    names = ["group", "id", "component", "least", "left", "right", "signature"]
+    names = ["group", "id", "component", "left", "right", "signature"]
     rows = rows.join(signature, "id").select(*names).repartition("group").sortWithinPartitions("group")
-    return rows.mapInArrow(_across, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(_across, "group string, id bigint, component bigint, left int, right int")
 
 
 def near_duplicates(
@@ -251,7 +290,7 @@ def near_duplicates(
     """``(id, n_shingles, component_id, kept)`` per row; ``threshold`` is a fraction (part, whole)."""
     signed, found = links(docs, id, text, n, threshold)
     part = graph.components(found).select(F.col("id").alias("class"), "component")
-    component = F.coalesce("component", "class", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id"))
     out = signed.join(part, "class", "left").select("id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id)
 
