@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
 from rostrum.operators import annotate
-from rostrum.sources import tables
 
 
 class Tables:
@@ -25,12 +24,12 @@ class Tables:
 
     @property
     def texts(self) -> DataFrame:
-        """Documents for work on the whole text, over all cores."""
-        return tables.spread(self.documents.select("doc_id", "text", "lang", "source"), "doc_id")
+        """Documents for work on the whole text."""
+        return self.documents.select("doc_id", "text", "lang", "source")
 
     @property
     def turns(self) -> DataFrame:
-        return tables.spread(self.conversations, "conv_id", "turn")
+        return self.conversations
 
 
 @dataclass
@@ -141,8 +140,7 @@ def doc_tokens(t: Tables, keep=()) -> DataFrame:
 
 def labelled(t: Tables) -> DataFrame:
     """Documents with their class."""
-    docs = t.documents
-    return tables.spread(docs.join(t.labels, "doc_id"), "doc_id", scan=docs)
+    return t.documents.join(t.labels, "doc_id")
 
 
 LABELLED_SQL = "(SELECT d.*, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id))"

@@ -80,8 +80,16 @@ def ag25_3(t):
     return terms.top_combinations(frames(t), 3, "quality")
 
 
-# One text repeats its words hundreds of times: four joins are too slow for the SQL check.
-@query("ag25_frame_quadruples")
+# Shorter tuples are counted per position and extended, so no join runs over four positions.
+QUADRUPLES = FRAME_SQL + """,
+two AS (SELECT b.id, b.sent_i, b.quality, a.frame AS f1, b.frame AS f2, b.p, count(*) AS n FROM fx a JOIN fx b ON a.id = b.id AND a.sent_i = b.sent_i AND a.p < b.p GROUP BY ALL),
+three AS (SELECT c.id, c.sent_i, c.quality, f1, f2, c.frame AS f3, c.p, sum(n) AS n FROM two JOIN fx c ON c.id = two.id AND c.sent_i = two.sent_i AND two.p < c.p GROUP BY ALL),
+later AS (SELECT a.id, a.sent_i, a.p, b.frame AS f4, count(*) AS m FROM fx a JOIN fx b ON a.id = b.id AND a.sent_i = b.sent_i AND a.p < b.p GROUP BY ALL),
+c AS (SELECT quality, f1 || ' + ' || f2 || ' + ' || f3 || ' + ' || f4 AS frames, CAST(sum(n * m) AS BIGINT) AS n FROM three JOIN later USING (id, sent_i, p) GROUP BY ALL)
+SELECT quality, frames, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY n DESC, frames) AS rank FROM c) WHERE rank <= 10"""
+
+
+@query("ag25_frame_quadruples", QUADRUPLES)
 def ag25_4(t):
     return terms.top_combinations(frames(t), 4, "quality")
 

@@ -55,19 +55,33 @@ def ds05(t):
     )
 
 
-@query("ds06_balanced_random_split")
+def seeded(rows: str) -> str:
+    return f"""SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5('42-' || CAST(doc_id AS VARCHAR)), doc_id) AS r,
+    count(*) OVER (PARTITION BY quality) AS n FROM {rows}"""
+
+
+BALANCED = f"""(SELECT doc_id, quality FROM ({seeded(LABELLED_SQL)})
+  WHERE r <= (SELECT min(c) FROM (SELECT count(*) AS c FROM {LABELLED_SQL} GROUP BY quality)))"""
+
+
+@query("ds06_balanced_random_split", f"SELECT doc_id, quality, {SPLIT} AS split FROM ({seeded(BALANCED)})")
 def ds06(t):
     return curate.balanced_random_split(small(t), "quality", [1, 0], "doc_id").select("doc_id", "quality", "split")
 
 
-@query("ds07_random_split")
+@query("ds07_random_split", f"SELECT doc_id, quality, {SPLIT} AS split FROM ({seeded(LABELLED_SQL)})")
 def ds07(t):
     return curate.random_split(small(t), "quality", "doc_id").select("doc_id", "quality", "split")
 
 
-@query("ds08_seeded_shuffle")
+@query(
+    "ds08_seeded_shuffle",
+    "SELECT doc_id, lang, row_number() OVER (ORDER BY md5('42-' || CAST(doc_id AS VARCHAR)), doc_id) AS place FROM documents",
+)
 def ds08(t):
-    return curate.shuffled(t.documents.select("doc_id", "lang"), "doc_id")
+    from rostrum.operators import ordered
+
+    return ordered.numbered(t.documents.select("doc_id", "lang"), curate.seeded_key("doc_id"), (), "place")
 
 
 @query(

@@ -176,15 +176,16 @@ def ml03(t):
     return rounded(models.sorted_coefficients(models.l2_logit(binary(t), "y", X), t.spark, X))
 
 
-def embedded(t):
-    cols = [F.get("embedding", F.lit(k)).cast("double").alias(f"e{k}") for k in range(4)]
-    return t.embeddings.select(F.col("vec_id").alias("id"), (F.get("embedding", F.lit(0)) + F.get("embedding", F.lit(1)) > 0.02).cast("int").alias("y"), *cols)
+def embedded(t, cols):
+    """All dimensions; the label has ten values, of which the upper half is told from the lower."""
+    values = [F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate(cols)]
+    return t.embeddings.select(F.col("vec_id").alias("id"), (F.col("label") >= 5).cast("int").alias("y"), *values)
 
 
 @query("ml04_linear_svm")
 def ml04(t):
-    cols = [f"e{k}" for k in range(4)]
-    model, _, _ = models.linear_svm(embedded(t), "y", cols, folds=5, grid=(0.01, 0.1), max_iter=8, tol=1e-3)
+    cols = [f"e{k}" for k in range(64)]
+    model, _, _ = models.linear_svm(embedded(t, cols), "y", cols)
     return rounded(models.sorted_coefficients(model, t.spark, cols))
 
 
@@ -205,9 +206,12 @@ def named(t):
 
 @query("ml07_text_classifier")
 def ml07(t):
-    rows = named(t)
-    model = models.train_text(rows, NAMES, features=1 << 12)
-    return rounded(models.score_text(model, rows, NAMES))
+    from rostrum.operators import curate
+
+    parts = curate.random_split(named(t), "label", "id")
+    model = models.train_text(parts.filter("split = 'train'"), NAMES)
+    # All documents are scored, unlabelled ones too.
+    return rounded(models.score_text(model, t.documents.select(F.col("doc_id").alias("id"), "text"), NAMES))
 
 
 @query("ml08_search")
@@ -216,13 +220,22 @@ def ml08(t):
 
     parts = curate.random_split(named(t), "label", "id")
     model, reg, auc = models.search_text(
-        parts.filter("split = 'train'"), parts.filter("split = 'validation'"), NAMES, (0.01, 0.1), features=1 << 12
+        parts.filter("split = 'train'"), parts.filter("split = 'validation'"), NAMES
     )
     scored = models.score_text(model, parts.filter("split = 'test'"), NAMES)
     return rounded(scored)
 
 
-@query("ml10_pair_scoring")
+WORDS_OF = "list_distinct(list_filter(string_split_regex({}, '\\s+'), lambda w: w <> ''))"
+
+
+@query(
+    "ml10_pair_scoring",
+    f"""SELECT id, CAST(score AS DOUBLE) AS score, CASE WHEN score > 3.0 THEN 'continue' ELSE 'not_continue' END AS label FROM (
+    SELECT CAST(a.conv_id AS VARCHAR) || '-' || CAST(a.turn AS VARCHAR) AS id,
+      len(list_intersect({WORDS_OF.format('a.text')}, {WORDS_OF.format('b.text')})) AS score
+    FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)""",
+)
 def ml10(t):
     def share(batch):
         import pandas as pd

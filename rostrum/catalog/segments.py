@@ -10,6 +10,7 @@ from rostrum.catalog.base import (
 from rostrum.functions import fixed
 from rostrum.functions import text as T
 from rostrum.operators import annotate, segment, topic
+from rostrum.streaming import resume
 
 
 
@@ -53,14 +54,27 @@ def sg05(t):
     return segment.minimal_meaning(with_parse(doc_tokens(t)))
 
 
-@query("sg06_windows")
+# A sentence joins the window unless it would pass the limit; then a new one starts. The fold is
+# a recursion over the sentences of a text.
+WINDOWS = f"""WITH RECURSIVE {sents_sql(extra='lang')},
+nt AS (SELECT id, lang, sent_i, sentence, {ntok('sentence')} AS n FROM sents),
+fw AS (SELECT id, sent_i, CASE WHEN n <= 510 THEN 0 ELSE 1 END AS g, n AS total FROM nt WHERE sent_i = 0
+  UNION ALL SELECT nt.id, nt.sent_i, CASE WHEN total + n <= 510 THEN g ELSE g + 1 END, CASE WHEN total + n <= 510 THEN total + n ELSE n END
+  FROM fw JOIN nt ON nt.id = fw.id AND nt.sent_i = fw.sent_i + 1),
+gw AS (SELECT fw.id, any_value(lang) AS lang, g, string_agg(sentence, ' ' ORDER BY nt.sent_i) AS text FROM fw JOIN nt ON nt.id = fw.id AND nt.sent_i = fw.sent_i
+  GROUP BY fw.id, g HAVING sum(n) >= 400),
+wd AS (SELECT CAST(id AS BIGINT) AS doc_id, lang, row_number() OVER (PARTITION BY id ORDER BY g) - 1 AS window_i, text, {ntok('text')} AS n_tokens FROM gw)"""
+
+
+@query("sg06_windows", WINDOWS + " SELECT doc_id, lang, window_i, text, n_tokens FROM wd")
 def sg06(t):
     return segment.windows(t.texts, "doc_id", "text", keep=["lang"])
 
 
-@query("sg06_window_ids")
+@query("sg06_window_ids", WINDOWS + " SELECT row_number() OVER (ORDER BY doc_id, window_i) AS window_id, doc_id, window_i, n_tokens FROM wd")
 def sg06_ids(t):
-    w = segment.windows(t.texts, "doc_id", "text")
+    # The texts are cut once; numbering reads the windows several times.
+    w = resume.cut_lineage(segment.windows(t.texts, "doc_id", "text").select("doc_id", "window_i", "n_tokens"))
     return segment.number_windows(w, ["doc_id", "window_i"]).select("window_id", "doc_id", "window_i", "n_tokens")
 
 

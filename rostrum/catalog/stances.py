@@ -259,9 +259,19 @@ def an01(t):
     return anonymize.anonymize(short_docs(t), entities(t), fixed.CORE_ENTITY_LABELS).select("id", "text")
 
 
-@query("an02_anonymize_chosen", f"SELECT doc_id AS id, {SHORT} AS text FROM documents")
+def mixed_entities(t):
+    """Long runs of digits and words in -tion are other kinds of entity; the latter are not chosen."""
+    kind = F.when(F.col("end") - F.col("start") >= 4, "MONEY").otherwise(F.col("label"))
+    words = short_docs(t).select("id", F.explode(anonymize.spans_of("text", r"\b[a-z]+tion\b", "ORG")).alias("_e"))
+    return entities(t).withColumn("label", kind).unionByName(words.select("id", "_e.*"))
+
+
+@query(
+    "an02_anonymize_chosen",
+    f"SELECT doc_id AS id, regexp_replace({SHORT}, '\\b\\d{{4,}}\\b', 'MONEY', 'g') AS text FROM documents",
+)
 def an02(t):
-    return anonymize.anonymize(short_docs(t), entities(t), ["PERSON"]).select("id", "text")
+    return anonymize.anonymize(short_docs(t), mixed_entities(t), ["MONEY", "PERSON"]).select("id", "text")
 
 
 @query(
@@ -310,7 +320,23 @@ def an06(t):
     return rounded(anonymize.feature_shift(before, after))
 
 
-@query("ag33_lexical_classes")
+CLASSES = {
+    "interjection": ("pos = 'INTJ'", "length(text) - 4"),
+    "nominalization": (f"regexp_matches(word, '({'|'.join(fixed.NOMINAL_SUFFIXES)})$')", "length(text) - 4"),
+    "discourse_marker": (f"word IN {sql_list(fixed.DISCOURSE_MARKERS)}", "length(text) - 4"),
+    "modal_verb": ("tag = 'MD'", "length(text) - 4"),
+    "personal_pronoun": (f"word IN {sql_list(fixed.PERSONAL_PRONOUNS)}", "length(text) - 4"),
+    "lexical_word": (f"pos IN {sql_list(fixed.LEXICAL_POS)}", "length(text) - 4"),
+    "word_length": ("true", "length(text)"),
+}
+
+
+@query(
+    "ag33_lexical_classes",
+    ann_docs() + ", kc AS (SELECT * FROM ann WHERE word <> 'entity' AND NOT is_punct), bk AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS bucket, {v} AS value FROM kc WHERE {ok}" for n, (ok, v) in CLASSES.items())
+    + ") SELECT bucket, count(*) AS n, round(avg(value), 6) AS mean FROM bk GROUP BY bucket",
+)
 def ag33(t):
     from rostrum.operators import attribution
 

@@ -64,10 +64,10 @@ N = lambda c: f"len(regexp_extract_all({c}, '{T.TOKEN}'))"
 
 @query(
     "jn11_short_pairs",
-    f"WITH {PAIRS} SELECT id, label FROM pairs WHERE {N(chr(115) + '1')} + {N('s2')} + 3 <= 150 AND {N('s1')} + {N('s2')} + 9 <= 150",
+    f"WITH {PAIRS} SELECT id, label FROM pairs WHERE {N(chr(115) + '1')} + {N('s2')} + 3 <= 512 AND {N('s1')} + {N('s2')} + 9 <= 510",
 )
 def jn11(t):
-    return topic.short_pairs(pairs(t), 150, 150).select("id", "label")
+    return topic.short_pairs(pairs(t)).select("id", "label")
 
 
 def shared(keys, kind, where, word="lemma") -> str:
@@ -93,12 +93,12 @@ def tp04(t):
 # A lemma takes the embedding whose number follows from its letters.
 KEY = "(ascii(lemma) * 31 + length(lemma) * 7 + ascii(right(lemma, 1)) * 3)"
 VECTORS = f"""nv AS (SELECT count(*) AS n FROM embeddings),
-vs AS (SELECT lemma, embedding FROM (SELECT DISTINCT lower(lemma) AS lemma FROM ann), nv JOIN embeddings ON vec_id = {KEY} % n)"""
+vs AS MATERIALIZED (SELECT lemma, embedding FROM (SELECT DISTINCT lower(lemma) AS lemma FROM ann), nv JOIN embeddings ON vec_id = {KEY} % n)"""
 SEMANTIC = f"""{VECTORS},
-un AS (SELECT DISTINCT id, sent_i AS side, lower(lemma) AS lemma FROM ann WHERE pos IN {sql_list(fixed.SEMANTIC_POS)}),
-lp AS (SELECT DISTINCT a.lemma AS x, b.lemma AS y FROM un a JOIN un b ON a.id = b.id AND a.side = 1 AND b.side = 2 AND a.lemma <> b.lemma),
-cs AS (SELECT x, y, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(w.embedding AS DOUBLE[])) AS c FROM lp JOIN vs v ON x = v.lemma JOIN vs w ON y = w.lemma),
-sm AS (SELECT a.id, a.lemma AS s1_word, b.lemma AS s2_word, c FROM un a JOIN un b ON a.id = b.id AND a.side = 1 AND b.side = 2 JOIN cs ON x = a.lemma AND y = b.lemma WHERE c >= 0.75)"""
+un AS MATERIALIZED (SELECT id, sent_i AS side, lower(lemma) AS lemma, list(i) AS at FROM ann WHERE pos IN {sql_list(fixed.SEMANTIC_POS)} GROUP BY ALL),
+lp AS MATERIALIZED (SELECT DISTINCT a.lemma AS x, b.lemma AS y FROM un a JOIN un b ON a.id = b.id AND a.side = 1 AND b.side = 2 AND a.lemma <> b.lemma),
+cs AS MATERIALIZED (SELECT x, y, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(w.embedding AS DOUBLE[])) AS c FROM lp JOIN vs v ON x = v.lemma JOIN vs w ON y = w.lemma),
+sm AS (SELECT a.id, a.lemma AS s1_word, b.lemma AS s2_word, a.at AS t1, b.at AS t2, c FROM un a JOIN un b ON a.id = b.id AND a.side = 1 AND b.side = 2 JOIN cs ON x = a.lemma AND y = b.lemma WHERE c >= 0.75)"""
 
 
 def vectors(t, toks):
@@ -117,8 +117,7 @@ def tp05(t):
 
 @query(
     "jn12_similar_tokens",
-    f"""{BASE},{SEMANTIC} SELECT sm.id, a.i AS s1_i, b.i AS s2_i FROM sm JOIN ann a ON a.id = sm.id AND a.sent_i = 1 AND lower(a.lemma) = s1_word AND a.pos IN {sql_list(fixed.SEMANTIC_POS)}
-    JOIN ann b ON b.id = sm.id AND b.sent_i = 2 AND lower(b.lemma) = s2_word AND b.pos IN {sql_list(fixed.SEMANTIC_POS)}""",
+    f"""{BASE},{SEMANTIC} SELECT id, s1_i, unnest(t2) AS s2_i FROM (SELECT id, unnest(t1) AS s1_i, t2 FROM sm)""",
 )
 def jn12(t):
     toks = pair_tokens(t)
@@ -154,9 +153,10 @@ cc AS (SELECT id, k, min(start) FILTER (WHERE start < edge) AS s1_i, min(start)
   HAVING NOT bool_and(start < edge) AND NOT bool_and(start > edge) AND NOT count(*) = 2)"""
 
 
-@query("tp07_coreference_links", f"{BASE},{COREF} SELECT id, 'coreference' AS kind, s1_i, s2_i FROM cc")
+@query("tp07_coreference_links", f"""{BASE},{COREF} SELECT cc.id, 'coreference' AS kind, a.text AS s1_word, s1_i, b.text AS s2_word, s2_i FROM cc
+  JOIN cm a ON a.id = cc.id AND a.k = cc.k AND a.start = s1_i JOIN cm b ON b.id = cc.id AND b.k = cc.k AND b.start = s2_i""")
 def tp07(t):
-    return topic.coreference_links(coref(t), lengths(t)).select("id", "kind", "s1_i", "s2_i")
+    return topic.coreference_links(coref(t), lengths(t)).select("id", "kind", "s1_word", "s1_i", "s2_word", "s2_i")
 
 
 FOUND = f"""{BASE},{LEXICAL},{SYNTACTIC},{SEMANTIC},{MARKS},{COREF},
@@ -209,7 +209,16 @@ def ag30(t):
     return topic.first_kind_counts(classified(t))
 
 
-@query("jn13_align")
+@query(
+    "jn13_align",
+    f"""{BASE},{LEXICAL},{MARKS}, n1 AS (SELECT id, {N('s1')} AS n1 FROM pairs),
+fd AS ({shared('lemma', 'lexical', 'lx')} UNION ALL SELECT id, kind, NULL, NULL, s2_word, 0 FROM tm WHERE kind IS NOT NULL),
+sd AS (SELECT id, kind, 's1' AS side, s1_word AS word, s1_i AS i FROM fd UNION ALL SELECT id, kind, 's2', s2_word, s2_i FROM fd),
+ps AS (SELECT sd.*, i + CASE WHEN side = 's2' THEN n1 ELSE 0 END AS pos_i FROM sd JOIN n1 USING (id) WHERE word IS NOT NULL),
+tx AS (SELECT id, i + CASE WHEN sent_i = 2 THEN n1 ELSE 0 END AS pos_i, text AS feature, length(text) / 10 AS value FROM ann JOIN n1 USING (id))
+SELECT ps.id, ps.pos_i, kind, side, word, ps.i, feature, round(value, 6) AS value, label, lower(word) IS DISTINCT FROM lower(feature) AS mismatch
+FROM ps LEFT JOIN tx ON tx.id = ps.id AND tx.pos_i = ps.pos_i JOIN pairs ON pairs.id = ps.id""",
+)
 def jn13(t):
     toks = pair_tokens(t)
     found = topic.lexical_links(toks).unionByName(topic.transition_markers(pairs(t), "s2", GO, SHIFT))

@@ -55,7 +55,7 @@ def drop_timestamps(c) -> Column:
     return _sub(c, r"[\[\(]\d{1,2}:\d{2}:\d{2}[\]\)]", "")
 
 
-SPEAKER_LABEL = r"^[A-Z][A-Za-z0-9 .'\-]{0,60}:\s?"
+SPEAKER_LABEL = r"^[A-Z][A-Za-z0-9 .'\-]*:\s?"
 
 
 def drop_speaker_prefix(c, mode: str = "label") -> Column:

@@ -21,10 +21,9 @@ def explode_attributions(df: DataFrame, attributions="attributions", id="id") ->
 
 
 def lexicon_join(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Tokens with the category of their ``(pos, lemma)``. The lexicon is broadcast only
-    after it was counted."""
+    """Tokens with the category of their ``(pos, lemma)``."""
     words = lexicon.select("category", "pos", F.col("entry").alias("lemma")).distinct()
-    return toks.join(ordered.dimension(words), ["pos", "lemma"])
+    return toks.join(words, ["pos", "lemma"])
 
 
 def group_sums(toks: DataFrame, lexicon: DataFrame) -> DataFrame:

@@ -72,9 +72,10 @@ def two_way_split(df: DataFrame, label, order_by, fractions=(0.8, 0.1), out="spl
 
 
 def seeded_key(id="id", seed: int = 42) -> list[Column]:
-    """A shuffling order that depends on the id and the seed only."""
+    """A shuffling order that depends on the id and the seed only. MD5 has the same values
+    in every engine."""
     c = F.col(id) if isinstance(id, str) else id
-    return [F.xxhash64(c, F.lit(seed)), c]
+    return [F.md5(F.concat_ws("-", F.lit(str(seed)), c.cast("string")).cast("binary")), c]
 
 
 def shuffled(df: DataFrame, id="id", seed: int = 42) -> DataFrame:

@@ -34,7 +34,7 @@ def match_phrases(
         "kind", "entry", F.array_join(T.tokens("entry"), " ").alias("gram"), T.n_tokens("entry").alias("n")
     ).distinct()
     lengths = [r.n for r in terms.select("n").distinct().collect()] or [1]
-    terms = ordered.dimension(terms.drop("n"))
+    terms = terms.drop("n")
     found = None
     for field, kinds in (("text", ["exact"]), ("lemma", ["lemmatized", "hyphenated"])):
         grams = spans.gram_rows(sents, field, lengths)

@@ -108,36 +108,38 @@ def with_folds(df: DataFrame, label, id="id", folds: int = 5, seed: int = 42) ->
 
 
 def linear_svm(
-    df: DataFrame, label, cols, id="id", folds=5, seed=42, grid=(0.001, 0.01, 0.1, 1.0), max_iter=50, tol=1e-4,
+    df: DataFrame, label, cols, id="id", folds=5, seed=42, grid=(0.1, 1, 10, 100, 1000), max_iter=50, tol=1e-4,
     parallelism=4,
 ):
-    """Linear SVM with balanced weights; the penalty is searched by stratified folds.
+    """Linear SVM with balanced weights; the cost is searched by stratified folds.
 
-    Returns the model fitted on all rows, its penalty and the mean F1 of each penalty.
+    ``grid`` has costs: the penalty of a fit is one over the cost and its number of rows.
+    Returns the model fitted on all rows, its cost and the mean accuracy of each cost.
     """
     data = with_folds(curate.class_weights(df, label), label, id, folds, seed)
     data = assemble(data.withColumn(label, F.col(label).cast("double")), cols)
     data = data.select(label, "features", "weight", "fold")
-    evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
+    evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
 
-    def fit(rows, reg):
+    def fit(rows, cost, n):
+        reg = 1.0 / (cost * max(1, n))
         svm = LinearSVC(
             labelCol=label, weightCol="weight", regParam=reg, maxIter=max_iter, tol=tol, standardization=False
         )
         return svm.fit(rows)
 
-    def trial(held, reg, k):
-        model = fit(held.filter(F.col("fold") != k), reg)
-        return reg, evaluator.evaluate(model.transform(held.filter(F.col("fold") == k)))
+    def trial(held, cost, k):
+        model = fit(held.filter(F.col("fold") != k), cost, sum(n for f, n in sizes.items() if f != k))
+        return cost, evaluator.evaluate(model.transform(held.filter(F.col("fold") == k)))
 
     with kept(data) as held, ThreadPool(parallelism) as pool:
-        held.count()
-        jobs = [inheritable_thread_target(partial(trial, held, reg, k)) for reg in grid for k in range(folds)]
+        sizes = {r.fold: r["count"] for r in held.groupBy("fold").count().collect()}
+        jobs = [inheritable_thread_target(partial(trial, held, cost, k)) for cost in grid for k in range(folds)]
         scores = dict.fromkeys(grid, 0.0)
-        for reg, f1 in pool.map(lambda job: job(), jobs):
-            scores[reg] += f1 / folds
+        for cost, accuracy in pool.map(lambda job: job(), jobs):
+            scores[cost] += accuracy / folds
         best = max(scores, key=scores.get)
-        return fit(held, best), best, scores
+        return fit(held, best, sum(sizes.values())), best, scores
 
 
 def permutation_importance(model, df: DataFrame, label, cols, id="id", seed: int = 42) -> DataFrame:

@@ -10,12 +10,11 @@ data, so a lost executor recomputes the same ranges.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OVERSAMPLE = 16
+RANGE_ROWS = 1_000_000
 
 
 def _cols(spec) -> list[Column]:
@@ -26,36 +25,33 @@ def _cols(spec) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in spec]
 
 
-def _levels(df: DataFrame) -> int:
-    """Doublings needed for one range per shuffle partition."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(3, min(12, math.ceil(math.log2(parts + 1))))
-
-
 def with_range(df: DataFrame, key: Column, out: str = "_range") -> DataFrame:
     """Add the number of the key range a row falls into.
 
-    The sample keeps keys whose hash is 0 modulo ``rows / wanted``: about
-    ``OVERSAMPLE`` keys per range, whatever the size of the data. Equal keys hash
-    alike and are collected once, so a hot key cannot swell the sample.
+    There is a range for every ``RANGE_ROWS`` rows, and one per shuffle partition at least.
+    The sample keeps keys whose hash is 0 modulo ``rows / wanted``: about ``OVERSAMPLE``
+    keys per range, whatever the size of the data. Equal keys hash alike and are collected
+    once, so a hot key cannot swell the sample.
     """
-    levels = _levels(df)
-    n_bounds = 2**levels - 1
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     keyed = df.select(key.alias("_k"))
     rows = keyed.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n_bounds = F.greatest(F.lit(max(7, parts)).cast("long"), F.floor(rows / RANGE_ROWS))
     step = F.greatest(F.lit(1).cast("long"), F.floor(rows / (OVERSAMPLE * (n_bounds + 1))))
     sample = keyed.filter(F.pmod(F.xxhash64("_k"), step) == 0).agg(
         F.sort_array(F.collect_set("_k")).alias("s")
-    )
-    stride = F.greatest(F.lit(1.0), F.size("s") / F.lit(float(n_bounds + 1)))
+    ).withColumn("_n", n_bounds)
+    stride = F.greatest(F.lit(1.0), F.size("s") / (F.col("_n") + 1).cast("double"))
     positions = F.transform(
-        F.sequence(F.lit(1), F.lit(n_bounds)), lambda i: F.floor(i * stride).cast("int")
+        F.sequence(F.lit(1).cast("long"), F.col("_n")), lambda i: F.floor(i * stride).cast("int")
     )
     bounds = sample.select(
         F.filter(F.transform(positions, lambda p: F.get("s", p)), lambda b: b.isNotNull())
     ).scalar()
     df = df.withColumn("_bounds", bounds)
-    halvings = F.array(*[F.lit(2**i) for i in reversed(range(levels))])
+    # Halvings of a binary search over the bounds.
+    depth = F.ceil(F.log2(F.size("_bounds") + F.lit(2.0))).cast("int")
+    halvings = F.transform(F.sequence(depth - 1, F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2.0), i).cast("int"))
     found = F.aggregate(
         halvings,
         F.lit(0),
@@ -131,6 +127,11 @@ def quantiles(df: DataFrame, by, value: str, points: dict) -> DataFrame:
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("_c"))
     )
+    return count_quantiles(counts, by, value, points)
+
+
+def count_quantiles(counts: DataFrame, by, value: str, points: dict) -> DataFrame:
+    """The same from a table ``(*by, value, _c)`` of value counts."""
     run = running_totals(counts, {"_upto": F.col("_c")}, value, by, whole="_all")
 
     def place(q):
@@ -153,31 +154,12 @@ def quantiles(df: DataFrame, by, value: str, points: dict) -> DataFrame:
     return got.select(*by, *[between(n, q) for n, q in points.items()])
 
 
-# Groups such as classes and features are few. The bound is checked at run time.
-MAX_GROUPS = 1_000_000
-
+def match_groups(df: DataFrame, stats: DataFrame, by) -> DataFrame:
+    """Attach per-group statistics (one row per group) to the rows of ``df``.
 
-def few(df: DataFrame, limit: int = MAX_GROUPS) -> DataFrame:
-    """Mark a one-row-per-group table for broadcast, with its size checked.
-
-    The check runs inside the plan on at most ``limit + 1`` rows and stops the
-    query when there are more, in place of broadcasting without a bound.
+    A plain join on the group keys, null-safe: adaptive execution broadcasts the statistics
+    by their bytes, and splits hot groups where it has to shuffle.
     """
-    rows = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    checked = (
-        df.limit(limit + 1)
-        .withColumn("_rows", rows)
-        .filter(
-            F.when(F.col("_rows") <= limit, F.lit(True)).otherwise(
-                F.raise_error(F.lit(f"more than {limit} groups")).cast("boolean")
-            )
-        )
-    )
-    return F.broadcast(checked.drop("_rows"))
-
-
-def match_groups(df: DataFrame, stats: DataFrame, by, limit: int = MAX_GROUPS) -> DataFrame:
-    """Attach per-group statistics (one row per group) to the rows of ``df``."""
     by = [by] if isinstance(by, str) else list(by)
     right = stats
     for c in by:
@@ -185,13 +167,4 @@ def match_groups(df: DataFrame, stats: DataFrame, by, limit: int = MAX_GROUPS) -
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    return df.join(few(right, limit), same).drop(*[f"_g_{c}" for c in by])
-
-
-def dimension(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Broadcast an input table only when it was counted and is small.
-
-    A larger table is returned as it is: Spark then shuffles both sides, and
-    adaptive execution splits hot keys.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return df.join(right, same).drop(*[f"_g_{c}" for c in by])

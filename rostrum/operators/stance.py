@@ -37,7 +37,7 @@ def _any_class(c) -> Column:
 
 def word_hits(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Tokens whose class and lemma stand in the lexicon."""
-    words = ordered.dimension(
+    words = (
         lexicon.filter(~F.contains(F.col("entry"), F.lit(" ")))
         .select("category", F.coalesce("pos", F.lit("")).alias("_pos"), F.col("entry").alias("lemma"))
         .distinct()
@@ -59,7 +59,7 @@ def phrase_hits(sents: DataFrame, lexicon: DataFrame) -> DataFrame:
     entries = lexicon.filter(F.contains(F.col("entry"), F.lit(" ")))
     sizes = entries.select(F.size(F.split("entry", " ")).alias("n")).distinct()
     lengths = [r.n for r in sizes.collect()] or [2]
-    phrases = ordered.dimension(
+    phrases = (
         entries.select(
             "category", F.coalesce("pos", F.lit("")).alias("pos"), F.col("entry").alias("gram")
         ).distinct()
@@ -94,7 +94,7 @@ def negation_hits(
     )
     rows = sents.select("id", "sent_i", F.explode(near).alias("_a")).select("id", "sent_i", "_a.*")
     table = F.create_map(*[F.lit(x) for kv in opposites.items() for x in kv])
-    words = ordered.dimension(
+    words = (
         lexicon.filter(~F.contains(F.col("entry"), F.lit(" ")))
         .select(
             F.element_at(table, F.col("category")).alias("category"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions import fixed, tails
 from rostrum.operators import ordered
+from rostrum.streaming import resume
 
 
 def _list(x) -> list:
@@ -47,6 +48,12 @@ def _safe_div(a, b) -> Column:
     return F.try_divide(a, b)
 
 
+def value_table(long: DataFrame, by) -> DataFrame:
+    """``(*by, value, _c)``: how often each value occurs, written once for all that reads it."""
+    counts = long.filter(F.col("value").isNotNull()).groupBy(*_list(by), "value").agg(F.count(F.lit(1)).alias("_c"))
+    return resume.cut_lineage(counts)
+
+
 def describe_long(long: DataFrame, by) -> DataFrame:
     """Statistics per group of a long table. Deviation and variance are those of the
     population, skewness is biased and kurtosis is the excess; the mode is the lowest of
@@ -64,11 +71,11 @@ def describe_long(long: DataFrame, by) -> DataFrame:
         F.skewness(v).alias("skewness"),
         F.kurtosis(v).alias("kurtosis"),
     )
-    counts = long.filter(v.isNotNull()).groupBy(*by, "value").agg(F.count(v).alias("_c"))
+    counts = value_table(long, by)
     modes = counts.groupBy(*by).agg(
         F.min_by("value", F.struct((-F.col("_c")).alias("c"), F.col("value").alias("v"))).alias("mode")
     )
-    medians = ordered.quantiles(long, by, "value", {"median": 0.5})
+    medians = ordered.count_quantiles(counts, by, "value", {"median": 0.5})
     out = ordered.match_groups(basic, modes, by)
     return ordered.match_groups(out, medians, by)
 
@@ -254,8 +261,23 @@ def term_bias(
         .groupBy("term")
         .agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
     )
+    return count_bias(both, names, p_below, totals, with_p)
+
+
+def class_bias(freq: DataFrame, label, classes, names=None, **options) -> DataFrame:
+    """The same from one table ``(label, term, n)``: one aggregate for both classes."""
+    n, one, two = F.col("n"), *[F.col(label) == F.lit(c) for c in classes]
+    both = freq.groupBy("term").agg(
+        F.coalesce(F.sum(F.when(one, n)), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(two, n)), F.lit(0)).alias("c")
+    )
+    return count_bias(both.filter("a + c > 0"), names or classes, **options)
+
+
+def count_bias(both: DataFrame, names, p_below: float = 0.001, totals=None, with_p: bool = True) -> DataFrame:
+    """The same from ``(term, a, c)``, which is written once: totals and ends read it again."""
+    both = resume.cut_lineage(both)
     if totals is None:
-        n1, n2 = freq1.agg(F.sum("n")).scalar(), freq2.agg(F.sum("n")).scalar()
+        n1, n2 = both.agg(F.sum("a")).scalar(), both.agg(F.sum("c")).scalar()
     else:
         n1, n2 = F.lit(totals[0]).cast("long"), F.lit(totals[1]).cast("long")
     both = both.withColumns({"_n1": n1, "_n2": n2})
@@ -367,14 +389,14 @@ def box_summary(df: DataFrame, by, cols) -> DataFrame:
     """Quartiles, whiskers at 1.5 × IQR and the number of outliers per group."""
     by = _list(by)
     keys = by + ["feature"]
-    long = melt(df, by, cols).filter(F.col("value").isNotNull())
-    q = ordered.quantiles(long, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    x = ordered.match_groups(long, q, keys)
+    counts = value_table(melt(df, by, cols), keys)
+    q = ordered.count_quantiles(counts, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    x = ordered.match_groups(counts, q, keys)
     v, iqr = F.col("value"), F.col("q3") - F.col("q1")
     inside = v.between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
     return x.groupBy(*keys).agg(
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"),
+        F.coalesce(F.sum(F.when(~inside, F.col("_c"))), F.lit(0)).alias("outliers"),
     )

@@ -176,7 +176,7 @@ def semantic_links(
         "id", "side", "i", F.lower("lemma").alias("lemma")
     )
     units = units.groupBy("id", "side", "lemma").agg(F.array_sort(F.collect_list("i")).alias("at"))
-    known = units.join(ordered.dimension(vectors.select("lemma", "embedding")), "lemma")
+    known = units.join(vectors.select("lemma", "embedding"), "lemma")
     item = F.struct("lemma", "at", "embedding")
     g = known.groupBy("id").agg(
         F.array_sort(F.collect_list(F.when(F.col("side") == 1, item))).alias("_l"),

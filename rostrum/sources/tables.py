@@ -41,19 +41,6 @@ SCHEMAS = {
 }
 
 
-def spread(df: DataFrame, *keys: str, scan: DataFrame | None = None) -> DataFrame:
-    """Use all cores on an input of few splits.
-
-    A small file is one split and would be cleaned and tokenised by one core. Where the
-    input already has a split per core, as any large one has, nothing is changed and
-    nothing is shuffled. The splits are counted on ``scan`` (default ``df``), which must be
-    a plain scan: counting those of a join would run its shuffles.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = (df if scan is None else scan).rdd.getNumPartitions()
-    return df if splits >= cores else df.repartition(cores, *keys)
-
-
 def read_jsonl(spark: SparkSession, path, schema: str) -> DataFrame:
     """JSON Lines with a fixed schema. An id declared STRING also reads integer ids."""
     return spark.read.schema(SCHEMAS.get(schema, schema)).json(path)

@@ -6,6 +6,8 @@ stateless operators as the batch, and stops. There is no state and no watermark.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,17 +48,29 @@ def process_new(
     query.awaitTermination()
 
 
-def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
-    """The cluster's shared checkpoint folder; ``fallback`` only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine gets a new temporary folder, and a cluster one
+    in the warehouse, which its executors share too.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        raise ValueError("spark.checkpoint.dir is not set")
-    return folder
+        if context.master.split("[")[0] == "local":
+            folder = tempfile.mkdtemp(prefix="rostrum-")
+        else:
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        context.setCheckpointDir(folder)
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
-def cut_lineage(df: DataFrame, fallback: str | None = None) -> DataFrame:
-    """Reliable checkpoint of a table that several later steps read."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark, fallback))
-    return df.checkpoint()
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, for several later steps to read.
+
+    A lost executor costs them nothing but reading it again.
+    """
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,6 @@ import __spark_entry__ as entry  # noqa: E402
 import check  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"ml04_linear_svm", "ml08_search"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
@@ -25,7 +24,7 @@ def test_flagship(spark):
     assert entry.entry(spark).count() == 4
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in entry.MORE])
 def test_query(spark, con, name):
     state, _, rows, note = check.compare(spark, con, FOLDER, name, entry.queries(), entry.oracle_sql())
     assert state in ("ok", "rows-only"), note
