@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""Tables and folders in the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -6,20 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``, or the checkpoint folder set in a local session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("spark.checkpoint.dir is not set")
-    return folder.rstrip("/")
+from rostrum.streaming.resume import shared_folder
 
 
 def fresh(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared folder."""
-    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

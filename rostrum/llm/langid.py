@@ -109,7 +109,7 @@ class Profiles:
     vectors: np.ndarray
 
     def closest(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        found, letters = bundles(texts, self.vectors.shape[1] if len(self.vectors) else 1)
+        found, letters = bundles(texts, self.vectors.shape[1])
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         found = found.astype(np.float64)
@@ -161,7 +161,7 @@ def learn(
     found = found.orderBy("lang").limit(most_languages + 1).collect()
     if len(found) > most_languages:
         raise ValueError("more languages than most_languages")
-    vectors = np.array([[x.value for x in r.v] for r in found]).reshape(len(found), -1)
+    vectors = np.array([[x.value for x in r.v] for r in found]).reshape(len(found), dimensions)
     return Profiles([r.lang for r in found], vectors)
 
 

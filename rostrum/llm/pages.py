@@ -196,7 +196,7 @@ def ranks(tokens: np.ndarray, length: int) -> np.ndarray:
     while have < length:
         step = min(have, length - have)
         after = np.full(len(rank), -1, np.int64)
-        after[: len(rank) - step] = rank[step:]
+        after[: max(0, len(rank) - step)] = rank[step:]
         rank = np.unique(rank * (len(rank) + 1) + after + 1, return_inverse=True)[1]
         have += step
     return rank
