@@ -44,18 +44,24 @@ def mean_absolute(attributions: DataFrame) -> DataFrame:
     )
 
 
-def lexical_classes(toks: DataFrame, markers=None, excluded=()) -> DataFrame:
+def lexical_classes(
+    toks: DataFrame, markers=None, excluded=(), interjections=None, has_vector: str | None = None
+) -> DataFrame:
     """Attribution values by lexical class, in long form: ``bucket, value``.
 
     A word may fall into several classes. Words in ``excluded`` and the placeholder
     ``entity`` are left out. ``word_length`` rows carry the length in place of the value.
+    ``interjections`` limits that class to a list. ``has_vector`` names a boolean column that
+    tells words from subwords: a subword counts for its nominal suffix only.
     """
     word = F.lower("text")
     markers = fixed.DISCOURSE_MARKERS if markers is None else markers
     suffix = "(" + "|".join(fixed.NOMINAL_SUFFIXES) + ")$"
     v = F.col("value")
+    whole = F.lit(True) if has_vector is None else F.coalesce(F.col(has_vector), F.lit(False))
+    listed = F.lit(True) if interjections is None else word.isin(list(interjections))
     rules = {
-        "interjection": (F.col("pos") == "INTJ", v),
+        "interjection": ((F.col("pos") == "INTJ") & listed, v),
         "nominalization": (word.rlike(suffix), v),
         "discourse_marker": (word.isin(list(markers)), v),
         "modal_verb": (F.col("tag") == "MD", v),
@@ -64,7 +70,10 @@ def lexical_classes(toks: DataFrame, markers=None, excluded=()) -> DataFrame:
         "word_length": (F.lit(True), F.length("text").cast("double")),
     }
     buckets = F.array(
-        *[F.when(ok, F.struct(F.lit(n).alias("bucket"), x.alias("value"))) for n, (ok, x) in rules.items()]
+        *[
+            F.when(ok if n == "nominalization" else ok & whole, F.struct(F.lit(n).alias("bucket"), x.alias("value")))
+            for n, (ok, x) in rules.items()
+        ]
     )
     gone = (word == "entity") | F.col("lemma").isin(list(excluded))
     kept = toks.filter(~gone & ~F.col("is_punct"))

@@ -23,7 +23,8 @@ def from_columns(table: DataFrame) -> DataFrame:
 def match_phrases(
     sents: DataFrame, gazetteer: DataFrame, names: DataFrame | None = None
 ) -> DataFrame:
-    """Longest non-overlapping gazetteer terms of each sentence.
+    """Longest non-overlapping gazetteer terms of each sentence: place, entry, the words as they
+    stand in the text, and the lemma of the first one.
 
     ``sents`` is ``(id, sent_i, tokens)``. Entries are matched as token sequences: on the
     surface form for ``exact``, on lemmas otherwise. ``names(entry, qid, name)`` adds the
@@ -37,15 +38,15 @@ def match_phrases(
     terms = terms.drop("n")
     found = None
     for field, kinds in (("text", ["exact"]), ("lemma", ["lemmatized", "hyphenated"])):
-        grams = spans.gram_rows(sents, field, lengths)
+        grams = spans.gram_rows(sents, field, lengths, surface=True)
         hit = grams.join(terms.filter(F.col("kind").isin(kinds)), "gram")
         found = hit if found is None else found.unionByName(hit)
     per_sentence = found.groupBy("id", "sent_i").agg(
-        F.collect_set(F.struct("start", "end", "entry")).alias("_s")
+        F.collect_set(F.struct("start", "end", "entry", "text", "first_lemma")).alias("_s")
     )
     kept = per_sentence.select(
         "id", "sent_i", F.explode(spans.longest_spans("_s")).alias("_m")
-    ).select("id", "sent_i", "_m.start", "_m.end", "_m.entry")
+    ).select("id", "sent_i", "_m.*")
     if names is None:
         return kept
     ids = names.groupBy("entry").agg(

@@ -44,11 +44,27 @@ def longest_spans(spans) -> Column:
     return F.array_sort(kept)
 
 
-def gram_rows(sents: DataFrame, field: str, lengths, keep=(), lower: bool = False) -> DataFrame:
-    """Explode the n-grams of several lengths: ``id, sent_i, start, end, gram``."""
+def gram_rows(
+    sents: DataFrame, field: str, lengths, keep=(), lower: bool = False, surface: bool = False
+) -> DataFrame:
+    """Explode the n-grams of several lengths: ``id, sent_i, start, end, gram``.
+
+    ``surface`` adds the words as they stand in the text and the lemma of the first one.
+    """
     words = F.transform("tokens", lambda t: F.lower(t[field]) if lower else t[field])
-    rows = sents.select("id", "sent_i", *keep, words.alias("_w"))
+    held = ["tokens"] if surface else []
+    rows = sents.select("id", "sent_i", *keep, *held, words.alias("_w"))
     grams = F.flatten(F.array(*[ngrams("_w", n) for n in sorted(set(lengths))]))
+    if surface:
+        grams = F.transform(
+            grams,
+            lambda g: F.struct(
+                g["start"].alias("start"), g["end"].alias("end"), g["gram"].alias("gram"),
+                F.array_join(F.slice(F.col("tokens.text"), g["start"] + 1, g["end"] - g["start"]), " ").alias("text"),
+                F.get("tokens", g["start"])["lemma"].alias("first_lemma"),
+            ),
+        )
+    more = ["_g.text", "_g.first_lemma"] if surface else []
     return rows.select("id", "sent_i", *keep, F.explode(grams).alias("_g")).select(
-        "id", "sent_i", *keep, "_g.start", "_g.end", "_g.gram"
+        "id", "sent_i", *keep, "_g.start", "_g.end", "_g.gram", *more
     )

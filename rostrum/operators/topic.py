@@ -33,24 +33,26 @@ def role_label(first, second):
 
 
 def sentence_pairs(
-    sents: DataFrame, passage="passage_id", at="i", sentence="sentence", role="role"
+    sents: DataFrame, passage="passage_id", at="i", sentence="sentence", role="role", keep=()
 ) -> DataFrame:
-    """Neighbouring sentences of a passage with their label.
+    """Neighbouring sentences of a passage with their label, and the columns in ``keep``.
 
     ``at`` counts the sentences of a passage without gaps. A ``beginning`` after the first
     sentence counts as ``inside``. The pair is an equi-join on ``(passage, position)``: a
     passage that holds most of the rows is spread by position, unlike in a window.
     """
     role_c = F.when((F.col(at) > 0) & (F.col(role) == "beginning"), "inside").otherwise(F.col(role))
-    rows = sents.select(passage, F.col(at).cast("long").alias("i"), F.col(sentence).alias("s"), role_c.alias("r"))
-    first = rows.select(passage, "i", F.col("s").alias("s1"), F.col("r").alias("r1"))
+    rows = sents.select(
+        passage, F.col(at).cast("long").alias("i"), *keep, F.col(sentence).alias("s"), role_c.alias("r")
+    )
+    first = rows.select(passage, "i", *keep, F.col("s").alias("s1"), F.col("r").alias("r1"))
     second = rows.select(passage, (F.col("i") - 1).alias("i"), F.col("s").alias("s2"), F.col("r").alias("r2"))
     pairs = first.join(second, [passage, "i"])
     pairs = pairs.withColumn("label", role_label(F.col("r1"), F.col("r2")))
-    return pairs.filter(F.col("label").isNotNull()).select(passage, "i", "s1", "s2", "label")
+    return pairs.filter(F.col("label").isNotNull()).select(passage, "i", *keep, "s1", "s2", "label")
 
 
-def array_pairs(df: DataFrame, passage="passage_id", sentences="text") -> DataFrame:
+def array_pairs(df: DataFrame, passage="passage_id", sentences="text", keep=()) -> DataFrame:
     """The same for passages stored as ``array<struct<sentence, role>>``: no shuffle."""
     s = F.col(sentences)
 
@@ -66,7 +68,7 @@ def array_pairs(df: DataFrame, passage="passage_id", sentences="text") -> DataFr
             role_label(fixed_role(e, k), fixed_role(F.get(s, k + 1), k + 1)).alias("label"),
         ),
     )
-    rows = df.select(passage, F.explode(pairs).alias("_p")).select(passage, "_p.*")
+    rows = df.select(passage, *keep, F.explode(pairs).alias("_p")).select(passage, *keep, "_p.*")
     return rows.filter(F.col("label").isNotNull())
 
 

@@ -48,7 +48,7 @@ def extract_sentences(
     keep = segment.clause_counts(toks).select("id", "sent_i")
     arrays = annotate.sentence_arrays(toks.join(keep, ["id", "sent_i"], "left_semi"), fields=FIELDS)
     found = gazetteer.match_phrases(arrays, gazetteer.from_columns(terms))
-    issues = found.select("id", "sent_i", F.element_at(F.split("entry", " "), 1).alias("issue"))
+    issues = found.select("id", "sent_i", F.col("first_lemma").alias("issue"))
     about = topic.main_topic(toks, issues)
     out = sents.join(about, ["id", "sent_i"])
     if frames is None:

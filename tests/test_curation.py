@@ -128,11 +128,22 @@ def test_pairs_by_join_and_by_array_agree(spark):
     assert sorted((r.i, r.label) for r in topic.array_pairs(nested).collect()) == got
 
 
-def test_too_many_groups_stop_the_query(spark):
-    import pytest
-
-    df = spark.range(20)
-    stats = spark.range(20).withColumn("s", F.lit(1))
-    assert ordered.match_groups(df, stats, "id", 20).count() == 20
-    with pytest.raises(Exception):
-        ordered.match_groups(df, stats, "id", 10).collect()
+def test_pairs_keep_columns(spark):
+    from rostrum.operators import topic
+
+    rows = [("p", 0, "a", "beginning", "ann"), ("p", 1, "b", "inside", "ann"), ("p", 2, "c", "outside", "ann")]
+    df = spark.createDataFrame(rows, "passage_id string, i int, sentence string, role string, annotator string")
+    got = topic.sentence_pairs(df, keep=["annotator"]).orderBy("i").collect()
+    assert [(r.annotator, r.s1, r.label) for r in got] == [("ann", "a", "continue"), ("ann", "b", "not_continue")]
+    arrays = df.groupBy("passage_id", "annotator").agg(F.expr("array_sort(collect_list(struct(i, sentence, role)))").alias("text"))
+    got = topic.array_pairs(arrays, keep=["annotator"]).orderBy("i").collect()
+    assert [(r.annotator, r.s1, r.label) for r in got] == [("ann", "a", "continue"), ("ann", "b", "not_continue")]
+
+
+def test_numbering_over_more_ranges_than_partitions(spark, monkeypatch):
+    from rostrum.operators import ordered
+
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 20)
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
+    got = ordered.numbered(df, ["k"]).filter("n != k + 1").count()
+    assert got == 0

@@ -127,3 +127,36 @@ def test_jarque_bera_of_normal_sample(spark):
     df = spark.createDataFrame(rows, "k string, x double, y double")
     out = {r.feature: r.normal for r in stats.jarque_bera(df, "k", ["x", "y"]).collect()}
     assert out["y"] is False and out["x"] is True
+
+
+def test_ks_statistic_by_its_definition(spark):
+    rng = random.Random(2)
+    values = sorted(rng.expovariate(1.0) for _ in range(300))
+    n, mean = len(values), sum(values) / len(values)
+    sd = math.sqrt(sum((x - mean) ** 2 for x in values) / (n - 1))
+    cdf = [(1 + math.erf((x - mean) / sd / math.sqrt(2))) / 2 for x in values]
+    want = max(max((k + 1) / n - c, c - k / n) for k, c in enumerate(cdf))
+    row = stats.ks_normality(spark.createDataFrame([(x,) for x in values], "value double"), "value").first()
+    assert row["statistic"] == pytest.approx(want, abs=1e-9)
+
+
+def test_class_bias_is_term_bias_of_two_tables(spark):
+    rows = [("x", f"t{k}", (k * 7) % 90 + 1) for k in range(30)] + [("y", f"t{k}", (k * 31) % 80 + 1) for k in range(5, 40)]
+    freq = spark.createDataFrame([*rows, ("z", "t1", 5)], "label string, term string, n long")
+    parts = [freq.filter(f"label = '{c}'").select("term", "n") for c in "xy"]
+    one = {tuple(r) for r in stats.class_bias(freq, "label", ("x", "y"), with_p=False).collect()}
+    assert one and one == {tuple(r) for r in stats.term_bias(*parts, ("x", "y"), with_p=False).collect()}
+
+
+def test_lexical_classes_tell_words_from_subwords(spark):
+    rows = [("oh", "INTJ", True, 1.0), ("wow", "INTJ", True, 2.0), ("nation", "NOUN", False, 4.0), ("he", "PRON", True, 8.0)]
+    toks = spark.createDataFrame(
+        [(t, t, p, p, v, x, False) for t, p, v, x in rows],
+        "text string, lemma string, pos string, tag string, v boolean, value double, is_punct boolean",
+    )
+    out = attribution.lexical_classes(toks, interjections=["oh"], has_vector="v")
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.bucket, []).append(r.value)
+    assert got["interjection"] == [1.0] and got["nominalization"] == [4.0]
+    assert "lexical_word" not in got and sorted(got["word_length"]) == [2.0, 2.0, 3.0]
