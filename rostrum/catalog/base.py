@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -138,6 +139,19 @@ def doc_tokens(t: Tables, keep=()) -> DataFrame:
     return annotate.tokens(doc_sentences(t, keep), keep)
 
 
+def tagged_sentences(t: Tables, keep=()) -> DataFrame:
+    """Token arrays in the rows of the sentences."""
+    return annotate.tagged(doc_sentences(t, keep), keep)
+
+
+def parsed_in_row(sents: DataFrame) -> DataFrame:
+    """:func:`with_parse` for token arrays."""
+    dep, head = (re.sub(r"\b(pos|lemma|i)\b", r"x.\1", rule) for rule in (DEP_RULE, HEAD_RULE))
+    return sents.withColumn("tokens", F.expr(
+        f"transform(tokens, x -> struct(x.i, x.text, x.lemma, x.pos, x.tag, x.is_alpha, {dep} AS dep, {head} AS head_i))"
+    ))
+
+
 def labelled(t: Tables) -> DataFrame:
     """Documents with their class."""
     return t.documents.join(t.labels, "doc_id")

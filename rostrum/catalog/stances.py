@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rostrum.catalog.base import (
     ANN_LABELLED, Tables, ann_docs, doc_sentences, doc_tokens, labelled_tokens, q, query, r6, rounded, sents_sql,
-    sql_list,
+    sql_list, tagged_sentences,
 )
 from rostrum.functions import fixed
 from rostrum.functions import text as T
@@ -58,12 +58,12 @@ def st01(t):
 
 @query("st02_phrase_hits", f"{BASE} {PHRASE_HITS}")
 def st02(t):
-    return stance.phrase_hits(gathered(t), lexicon(t))
+    return stance.phrase_hits(tagged_sentences(t), lexicon(t))
 
 
 @query("st03_negation_hits", f"{BASE} {NEG_HITS}")
 def st03(t):
-    return stance.negation_hits(gathered(t), lexicon(t), **NEG)
+    return stance.negation_hits(tagged_sentences(t), lexicon(t), **NEG)
 
 
 # Modals are put in front of the sentences, for they do not occur in the texts.
@@ -89,7 +89,7 @@ def st04(t):
 
 @query("st05_pattern_hits")
 def st05(t):
-    return stance.pattern_hits(gathered(t), PATTERNS).drop("kind")
+    return stance.pattern_hits(tagged_sentences(t), PATTERNS).drop("kind")
 
 
 PATTERNS = {
@@ -103,7 +103,7 @@ KEPT = f"""kp AS (SELECT id, sent_i, i, text, row_number() OVER (PARTITION BY id
 
 @query("st06_kept_tokens", ann_docs() + f",{KEPT} SELECT id, sent_i, k, i, text FROM kp")
 def st06(t):
-    return stance.kept_tokens(gathered(t))
+    return stance.kept_tokens(tagged_sentences(t))
 
 
 FEAT_LIST = "(VALUES " + ", ".join(f"({q(c)}, {q(p)}, {q(stance.feature_name(c, p))})" for c, p in FEATS) + ") f(category, pos, name)"
@@ -234,7 +234,7 @@ GRAM = """g AS (SELECT id, sent_i, i AS start, i + 1 AS "end", lemma AS gram FRO
     f"{ann_docs()},{AROUND},{GRAM} SELECT * FROM g WHERE gram IN {sql_list(TERMS)}",
 )
 def jn09_grams(t):
-    return spans.gram_rows(gathered(t), "lemma", (1, 2, 3)).filter(F.col("gram").isin(TERMS))
+    return spans.gram_rows(tagged_sentences(t), "lemma", (1, 2, 3)).filter(F.col("gram").isin(TERMS))
 
 
 # --- anonymisation: e-mails and runs of digits stand for entities -----------------------------

@@ -128,6 +128,40 @@ def tokens(sents: DataFrame, keep=()) -> DataFrame:
     return rows.select("id", "sent_i", *keep, F.inline(F.array(token)))
 
 
+def tagged(sents: DataFrame, keep=()) -> DataFrame:
+    """The same tokens as one array per sentence, ``id, sent_i, *keep, tokens``.
+
+    Everything is computed in the row of the sentence: tokens are neither exploded nor
+    gathered, so nothing is shuffled. For operators that read a sentence at a time; several
+    branches over one table do better with :func:`sentence_arrays`, whose shuffle they share.
+    """
+    # White space after a token belongs to it. Each step adds the fields that the next one reads.
+    pieces = F.regexp_extract_all("sentence", F.lit(rf"(?:{T.TOKEN})\s*"), F.lit(0))
+
+    def words(piece, i):
+        text = F.regexp_replace(piece, r"\s+$", "")
+        kind = (
+            F.when(T.is_alpha(text), "alpha").when(text.rlike(r"^\p{N}+$"), "num")
+            .when(text.rlike(rf"^[{T.WORD_CHAR}]+$"), "word").otherwise("punct")
+        )
+        return F.struct(
+            i.alias("i"), text.alias("text"), F.substr(piece, F.length(text) + 1, F.length(piece)).alias("ws"),
+            F.lower(text).alias("word"), kind.alias("kind"),
+        )
+
+    rows = sents.select("id", "sent_i", *keep, F.transform(pieces, words).alias("tokens"))
+    pos = pos_rule("x.word", "x.kind")
+    rows = rows.withColumn("tokens", F.expr(
+        f"transform(tokens, x -> struct(x.i, x.text, x.ws, x.word, x.kind, {pos} AS pos))"
+    ))
+    lemma, tag = lemma_rule("x.word", "x.pos"), tag_rule("x.word", "x.pos")
+    return rows.withColumn("tokens", F.expr(
+        f"""transform(tokens, x -> struct(x.i, x.text, x.ws, {lemma} AS lemma, x.pos, {tag} AS tag,
+        cast(null as string) AS dep, cast(null as int) AS head_i, x.kind = 'alpha' AS is_alpha,
+        x.kind = 'punct' AS is_punct, x.word IN {_sql_list(STOP_WORDS)} AS is_stop))"""
+    ))
+
+
 ARRAY_FIELDS = (
     "i", "text", "ws", "lemma", "pos", "tag", "dep", "head_i", "is_alpha", "is_punct", "is_stop"
 )

@@ -14,19 +14,20 @@ SENTENCE_FEATURES = [
 FEATURES = SENTENCE_FEATURES[:1] + ["word_length"] + SENTENCE_FEATURES[1:]
 
 
-def _rules(markers) -> dict[str, Column]:
-    word = F.lower("text")
+def _rules(markers, get=F.col) -> dict[str, Column]:
+    """A test of a token for each feature; ``get`` reads a field of it."""
+    word = F.lower(get("text"))
     suffix = "(" + "|".join(fixed.NOMINAL_SUFFIXES) + ")$"
     return {
-        "sentence_length": F.col("is_alpha"),
-        "sentence_complexity": F.col("dep").isin(fixed.CLAUSE_DEPS),
+        "sentence_length": get("is_alpha"),
+        "sentence_complexity": get("dep").isin(fixed.CLAUSE_DEPS),
         "personal_pronoun_d": word.isin(fixed.PERSONAL_PRONOUNS),
-        "passive_voice_d": F.col("dep") == "auxpass",
-        "nominalization_d": (F.col("pos") == "NOUN") & word.rlike(suffix),
-        "lexical_d": F.col("pos").isin(fixed.LEXICAL_POS),
-        "interjection_d": F.col("pos") == "INTJ",
-        "modal_verb_d": F.col("tag") == "MD",
-        "discourse_marker_d": F.lower("lemma").isin(
+        "passive_voice_d": get("dep") == "auxpass",
+        "nominalization_d": (get("pos") == "NOUN") & word.rlike(suffix),
+        "lexical_d": get("pos").isin(fixed.LEXICAL_POS),
+        "interjection_d": get("pos") == "INTJ",
+        "modal_verb_d": get("tag") == "MD",
+        "discourse_marker_d": F.lower(get("lemma")).isin(
             fixed.DISCOURSE_MARKERS if markers is None else markers
         ),
     }
@@ -38,7 +39,10 @@ def sentence_counts(toks: DataFrame, markers=None) -> DataFrame:
 
     Tokens of a sentence sit together, so the map-side half of the aggregate leaves about
     one row per sentence for the shuffle. Fixed-width sums only: a plain hash aggregate.
+    A table of token arrays is counted in its rows and not shuffled at all.
     """
+    if "tokens" in toks.columns:
+        return _counts_in_row(toks, markers)
     rules = _rules(markers)
     letters = F.sum(F.when(F.col("is_alpha"), F.length("text"))).alias("letters")
     counts = toks.groupBy("id", "sent_i").agg(
@@ -47,6 +51,17 @@ def sentence_counts(toks: DataFrame, markers=None) -> DataFrame:
     return counts.filter(F.col("sentence_length") > 0)
 
 
+def _counts_in_row(sents: DataFrame, markers) -> DataFrame:
+    def count(name):
+        hits = F.filter("tokens", lambda t: F.coalesce(_rules(markers, lambda f: t[f])[name], F.lit(False)))
+        return F.size(hits).alias(name)
+
+    words = F.filter("tokens", lambda t: t["is_alpha"])
+    letters = F.aggregate(words, F.lit(0).cast("long"), lambda n, t: n + F.length(t["text"])).alias("letters")
+    counts = sents.select("id", "sent_i", *[count(name) for name in _rules(markers)], letters)
+    return counts.filter(F.col("sentence_length") > 0)
+
+
 def sentence_features(toks: DataFrame, markers=None) -> DataFrame:
     """The same counts, with the length of each word in order."""
     rules = _rules(markers)

@@ -52,7 +52,7 @@ def gram_rows(
     ``surface`` adds the words as they stand in the text and the lemma of the first one.
     """
     words = F.transform("tokens", lambda t: F.lower(t[field]) if lower else t[field])
-    held = ["tokens"] if surface else []
+    held = [F.col("tokens.text").alias("_t"), F.col("tokens.lemma").alias("_l")] if surface else []
     rows = sents.select("id", "sent_i", *keep, *held, words.alias("_w"))
     grams = F.flatten(F.array(*[ngrams("_w", n) for n in sorted(set(lengths))]))
     if surface:
@@ -60,8 +60,8 @@ def gram_rows(
             grams,
             lambda g: F.struct(
                 g["start"].alias("start"), g["end"].alias("end"), g["gram"].alias("gram"),
-                F.array_join(F.slice(F.col("tokens.text"), g["start"] + 1, g["end"] - g["start"]), " ").alias("text"),
-                F.get("tokens", g["start"])["lemma"].alias("first_lemma"),
+                F.array_join(F.slice("_t", g["start"] + 1, g["end"] - g["start"]), " ").alias("text"),
+                F.get("_l", g["start"]).alias("first_lemma"),
             ),
         )
     more = ["_g.text", "_g.first_lemma"] if surface else []

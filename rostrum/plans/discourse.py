@@ -75,11 +75,12 @@ def prepare(docs: DataFrame, text="text", minimum=fixed.MIN_DOCUMENT_TOKENS, ste
     return segment.long_enough(docs.withColumn(text, clean.clean_text(text, steps)), text, minimum)
 
 
-def full_tests(docs: DataFrame, label, classes, tokenizer=annotate.tokens, markers=None, alpha=0.05):
+def full_tests(docs: DataFrame, label, classes, tokenizer=annotate.tagged, markers=None, alpha=0.05):
     """All ten features from a token table to corrected tests.
 
     ``docs`` is ``(id, text, label)``. ``tokenizer`` maps a sentence table to a token
-    table; pass one that calls a parser to fill the clause and passive features.
+    table or to token arrays; pass one that calls a parser to fill the clause and passive
+    features.
     """
     toks = tokenizer(annotate.sentences(docs, "id", "text"))
     means = features.document_means(toks, markers)
