@@ -224,7 +224,7 @@ def jn07(t):
 @query(
     "jn14_frame_rules",
     f"""WITH f AS (SELECT doc_id, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS ws FROM documents),
-r AS (SELECT DISTINCT lower(n_name) AS name FROM nation UNION SELECT * FROM (VALUES ('the'), ('les'), ('der'), ('of'), ('que')))
+r AS (SELECT DISTINCT lower(n_name) AS name FROM nation UNION SELECT lower(split_part(text, ' ', 1)) FROM benchmark)
 SELECT doc_id, arg_min(w, p) AS main_frame, string_agg(DISTINCT w, ',' ORDER BY w) AS matched_frames
 FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM f) JOIN r ON w = name GROUP BY doc_id""",
 )
@@ -233,8 +233,8 @@ def jn14(t):
     docs = t.texts.select(
         "doc_id", F.transform(words, lambda w: F.struct(w.alias("frame"), F.array(w).alias("denotations"))).alias("frames")
     )
-    extra = t.nation.select(F.explode(F.array(*[F.lit(w) for w in ("the", "les", "der", "of", "que")])).alias("name"))
-    rules = t.nation.select(F.lower("n_name").alias("name")).unionByName(extra)
+    first = t.benchmark.select(F.lower(F.element_at(F.split("text", " "), 1)).alias("name"))
+    rules = t.nation.select(F.lower("n_name").alias("name")).unionByName(first)
     return lookup.frame_rule_matches(docs, rules).select(
         "doc_id", "main_frame", F.array_join("matched_frames", ",").alias("matched_frames")
     )

@@ -48,14 +48,15 @@ def frame_rule_matches(df: DataFrame, rules: DataFrame, frames="frames", mode="m
 
     ``frames`` is ``array<struct<frame, denotations>>``. The main frame is the first
     matched frame; ``mode="reference"`` takes the first frame with a denotation, matched
-    or not. The rule names are collected into one array: a vocabulary of frame names.
+    or not. Distinct lists of frame names meet the rules by a join, so neither the rules
+    nor the sentences are gathered; a list then carries the few rules that it meets.
     """
-    names = rules.agg(F.collect_set("name").alias("n")).scalar()
-    x = df.withColumn("_rules", names)
-    x = x.withColumn(
-        "matched_frames",
-        F.array_sort(F.array_intersect(F.transform(frames, lambda f: f["frame"]), "_rules")),
-    ).filter(F.size("matched_frames") > 0)
+    listed = F.array_sort(F.array_distinct(F.transform(frames, lambda f: f["frame"])))
+    lists = df.select(listed.alias("_names")).distinct()
+    met = lists.withColumn("name", F.explode("_names")).join(rules.select("name").distinct(), "name")
+    met = met.groupBy("_names").agg(F.array_sort(F.collect_list("name")).alias("_rules"))
+    x = df.withColumn("_names", listed).join(met, "_names").drop("_names")
+    x = x.withColumn("matched_frames", F.col("_rules"))
     if mode == "matched":
         picked = F.filter(frames, lambda f: F.array_contains(F.col("_rules"), f["frame"]))
     else:

@@ -106,3 +106,13 @@ def test_plans_run_end_to_end(spark):
     pairs, summary = continuity.label_passages(passages)
     assert {r.i: r.rule_label for r in pairs.collect()} == {0: "continue", 1: "not_continue"}
     assert summary.first().accuracy == 1.0
+
+
+def test_scan_takes_a_limit(spark):
+    df = spark.range(50)
+    assert tables.scan(df).count() == 50 and tables.scan(df, 7).count() == 7
+
+
+def test_shared_folder_follows_the_session(spark):
+    folder = resume.shared_folder(spark)
+    assert folder == resume.shared_folder(spark) and not folder.endswith("/")
