@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm import arrow
+from rostrum.llm import arrow, folder
 
 RUN = 8
 NOTICE = 25
@@ -302,7 +302,10 @@ def extract(pages: DataFrame, id="page_id", url="url", html="html") -> DataFrame
         F.col(id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")
     ).withColumn("host", host)
     sizes = rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes"))
+    # Written first, so that its size is known: a small one is broadcast and the pages are then
+    # shuffled once, by host and shard.
     shards = sizes.select("host", F.greatest(F.ceil(F.col("bytes") / SHARD), F.lit(1)).alias("shards"))
+    shards = folder.written(shards, "shards")
     number = F.xxhash64("page_id", "url")
     rows = rows.join(shards, "host").withColumn("number", F.shiftrightunsigned(number, 1))
     rows = rows.withColumn("shard", F.pmod("number", "shards"))
