@@ -90,11 +90,17 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             })
 
 
-def table_keys(signature: np.ndarray) -> np.ndarray:
-    """Keys of all tables, one row per signature."""
+def _entries(signature: np.ndarray) -> np.ndarray:
+    """Entries of both collections, one row per signature."""
     entries = np.zeros((len(signature), 2 * ENTRIES), np.uint64)
     for k in range(HASHES):
         entries = arrow.mix(entries * _ODD[2] + signature[:, k * 2 * ENTRIES : (k + 1) * 2 * ENTRIES])
+    return entries
+
+
+def table_keys(signature: np.ndarray) -> np.ndarray:
+    """Keys of all tables, one row per signature."""
+    entries = _entries(signature)
     left, right = entries[:, :ENTRIES, None], entries[:, None, ENTRIES:]
     number = np.arange(ENTRIES * ENTRIES, dtype=np.uint64).reshape(1, ENTRIES, ENTRIES)
     return arrow.mix(left + right * _ODD[3] + number).reshape(len(signature), -1)
@@ -172,13 +178,20 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _groups(batches):
         component = table["component"].to_numpy()
         left, right = table["left"].to_numpy().astype(bool), table["right"].to_numpy().astype(bool)
-        small = (_matrix(table["signature"].combine_chunks()) & np.uint64(0xFFFF)).astype(np.uint16)
+        signature = _matrix(table["signature"].combine_chunks())
+        small = (signature & np.uint64(0xFFFF)).astype(np.uint16)
+        # A pair is looked at in the first table that it shares, and in no other.
+        key = np.int64(table["group"][0].as_py().partition(":")[0])
+        row, column = divmod(int(np.flatnonzero(table_keys(signature[:1])[0].view(np.int64) == key)[0]), ENTRIES)
+        entries = _entries(signature)
         kinds, at, count = np.unique(component, return_inverse=True, return_counts=True)
         outside = np.flatnonzero(at != count.argmax())  # one of a pair is outside the commonest component
         take = np.zeros(len(component), bool)
         for k in outside:
             other = np.flatnonzero((component != component[k]) & ((left[k] & right) | (right[k] & left)))
             near = other[(small[other] == small[k]).sum(1) >= SURE]
+            same = entries[near] == entries[k]
+            near = near[(same[:, :ENTRIES].argmax(1) == row) & (same[:, ENTRIES:].argmax(1) == column)]
             if len(near):
                 take[k] = take[near] = True
         if take.any():

@@ -32,7 +32,7 @@ from rostrum.llm import arrow
 
 END_ID = 1
 LENGTH = 2048
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 500_000
 
 # Words of these characters need no Unicode normalisation, and lower-casing them is the same
 # in every library; others go through the whole tokenizer.
