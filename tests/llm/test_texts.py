@@ -258,3 +258,19 @@ def test_late_attempts_reach_the_texts(spark, docs, monkeypatch):
     again = replaced(docs, texts)
     assert [a == b for a, b in zip(plain, again)] == [k != 3 for k in range(21)]
     assert again[3].split(" and ")[1] == plain[3].split(" and ")[1]
+
+
+def test_every_occurrence_of_a_passage_is_chained(monkeypatch):
+    rng = np.random.default_rng(7)
+    fresh = lambda n: rng.integers(1, 2**62, n).astype(np.uint64)
+    p, q = fresh(56), fresh(56)
+    hub, other = np.concatenate([p, fresh(30), p, fresh(30), q]), np.concatenate([p, fresh(30), q])
+    for hits in (passages.HITS, 10):
+        monkeypatch.setattr(passages, "HITS", hits)
+        got = set(passages.passages(other, hub, np.ones(len(other), bool), 46))
+        assert got == {(0, 55, 0, 55), (0, 55, 86, 141), (86, 141, 172, 227)}
+        twice = np.concatenate([p, fresh(30), p])
+        assert set(passages.passages(p, twice, np.ones(56, bool), 46)) == {(0, 55, 0, 55), (0, 55, 86, 141)}
+        # One shingle again and again: as many hits as places squared, and one run each way.
+        same = np.full(300, 5, np.uint64)
+        assert (0, 299, 0, 299) in passages.passages(same, same, np.ones(300, bool), 46)
