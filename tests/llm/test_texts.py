@@ -274,3 +274,17 @@ def test_every_occurrence_of_a_passage_is_chained(monkeypatch):
         # One shingle again and again: as many hits as places squared, and one run each way.
         same = np.full(300, 5, np.uint64)
         assert (0, 299, 0, 299) in passages.passages(same, same, np.ones(300, bool), 46)
+
+
+def test_passages_do_not_depend_on_smaller_documents(docs):
+    rng = random.Random(11)
+    fresh = lambda n: [f"g{rng.randrange(10**9)}" for _ in range(n)]
+    whole, other = fresh(50), fresh(60)
+    # Documents with smaller ids lead the signatures: two fragments, and variants below the threshold.
+    variants = [[w if k % 20 != j else f"v{j}" for k, w in enumerate(other)] for j in (3, 8, 13)]
+    texts = {1: fresh(40) + whole[:45] + fresh(40), 2: fresh(30) + whole[-45:] + fresh(30)}
+    texts |= {3: fresh(20) + whole + fresh(60), 7: fresh(70) + whole + fresh(10)}
+    texts |= {10 + k: fresh(25) + v + fresh(25) for k, v in enumerate(variants)}
+    texts |= {20: other + fresh(80), 21: fresh(35) + other}
+    got = {(r.doc_id, r.start, r.end, r.partner) for r in passages.repeated(docs({k: " ".join(t) for k, t in texts.items()})).collect()}
+    assert got == {(3, 20, 70, 7), (7, 70, 120, 3), (20, 0, 60, 21), (21, 35, 95, 20)}
