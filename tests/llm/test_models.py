@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -236,3 +237,22 @@ def test_outlier_edge_cases(docs):
     texts = [" ".join(f"w{k}x{j}" for j in range(60 + k)) for k in range(8)] + [None, "short"]
     out = outliers.judge(outliers.statistics(docs(texts, lang={0: None}, source={1: None}))).collect()
     assert {r.id for r in out if r.kept} == set(range(8))  # too few to estimate: the base rule alone
+
+
+def test_an_outlier_in_one_statistic_is_rejected(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 6)))
+    line = lambda n: " ".join(word() + str(rng.randrange(10**4)) for _ in range(n))
+    text = lambda lines=20, n=10: "\n".join(line(n) for _ in range(lines))
+    normal = [text(rng.randint(17, 23)) for _ in range(200)]
+    repeat = line(10)
+    odd = [
+        text(400), " ".join(w * 3 for w in text().split()), text().replace("a", "##"),
+        "\n".join(f"{line(10)}\nReply" for _ in range(20)), text(11) + "\n" + " ".join([repeat] * 9),
+    ]
+    rows = [(k, t, "en", "s") for k, t in enumerate(normal + odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r.id: r for r in outliers.judge(outliers.statistics(docs)).collect()}
+    assert [out[200 + k].kept for k in range(5)] == [False] * 5
+    assert not any(out[200 + k].base_failed for k in range(5))
+    assert sum(out[k].kept for k in range(200)) >= 199
