@@ -6,7 +6,8 @@ a value of its type that a keyed hash of its normal form derives:
 
 * Type and format stay: separators, brackets, letter case, number of digits, country codes,
   the prefix of a key, the first digit of a card, the reserved ``example`` domain for e-mail.
-* Names keep gender (given names take a gender's endings, from the title), script (Latin,
+* Secrets run to their closing quote, white space or line end, names over all their parts.
+* Names keep particles, gender (given names take a gender's endings, from the title), script (Latin,
   Cyrillic, Greek) and case; each part of a name is replaced by itself, so "Mr Ann Lee" and
   "Mr Lee" stay the same person.
 * One normal form gives one surrogate everywhere (coreference), whatever its spelling.
@@ -35,10 +36,21 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mademoiselle", "Señora
 NEUTRAL = ("Mx", "Dr", "Prof")
 
 _TITLE = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
-_NAME = rf"(?<![\p{{L}}\d])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’-]{{0,40}}(?: \p{{Lu}}[\p{{L}}'’-]{{0,40}}){{0,2}}"
+# Words in lower case inside a name; they stay.
+PARTICLES = tuple(
+    "von vom van der den de del della dello degli dei di da do dos das du des la las los le el al bin bint ibn ben abu "
+    "zu zum zur af av til ter ten te y e".split()
+)
+_PARTICLES = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
+_PART = r"(?:\p{Ll}{1,4}['’])?\p{Lu}[\p{L}\p{M}'’-]*"
+# A title after a name begins another one; "Don" is a given name, too.
+_AGAIN = rf"(?!(?:{'|'.join(t for t in _TITLE.split('|') if t != 'Don')})\.? {_PARTICLES}\p{{Lu}})"
+_NAME = rf"(?<![\p{{L}}\d])(?:{_TITLE})\.? {_PARTICLES}{_PART}(?: {_PARTICLES}{_AGAIN}{_PART})*"
+# To the closing quote, or to white space, a quote or the end; marks that close a sentence stay.
 _SECRET = (
-    r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
-    r"(?=[\w+/.-]{0,127}\d)[\w+/-][\w+/.-]{6,126}[\w+/-]"
+    r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}(?:"
+    r"\"(?=[^\"\r\n]{8,}\")(?=[^\"\r\n]*\d)[^\"\r\n]+|'(?=[^'\r\n]{8,}')(?=[^'\r\n]*\d)[^'\r\n]+|"
+    r"[\"']?(?=[^\s\"']*\d)[^\s\"']{7,}[^\s\"',.;:)\]}>])"
 )
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
@@ -57,7 +69,7 @@ PATTERN = "|".join([
     _NAME,
 ])
 # A text without any of these has no entity: most texts are told apart by one quick search.
-GUARD = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}"
+GUARD = rf"[0-9@]|(?:{_TITLE})\.? {_PARTICLES}{_PART}"
 
 # Consonants with vowels; sixteen syllables for each hexadecimal digit and script.
 _SYLLABLES = {
@@ -120,8 +132,8 @@ def _title(e: str) -> str:
 
 
 def _names(e: str) -> str:
-    """Parts of a name after the title."""
-    return f"slice(split({e}, ' '), 2, 9)"
+    """Parts of a name after the title, particles included."""
+    return f"slice(split({e}, ' '), 2, length({e}))"
 
 
 def _name_kind(e: str, k: str) -> str:
@@ -132,7 +144,8 @@ def _name_kind(e: str, k: str) -> str:
 
 def _parts(e: str) -> str:
     """The things that an entity names, as ``array<struct<kind, key>>``."""
-    names = f"transform({_names(e)}, (t, k) -> struct({_name_kind(e, 'k')} AS kind, lower(t) AS key))"
+    names = f"""transform(filter(transform({_names(e)}, (t, k) -> struct({_name_kind(e, 'k')} AS kind, t AS word)),
+      p -> p.word NOT IN {_in(PARTICLES)}), p -> struct(p.kind AS kind, lower(p.word) AS key))"""
     one = f"transform(array({_kind(e)}), kind -> struct(kind AS kind, {_key('kind', e)} AS key))"
     return f"CASE WHEN ({_kind(e)}) = 'name' THEN {names} ELSE {one} END"
 
@@ -151,7 +164,9 @@ def _shaped(s: str, h: str) -> str:
     return f"""array_join(transform(sequence(1, length({s})), i -> CASE
       WHEN substr({s}, i, 1) RLIKE '[0-9]' THEN {_numbers(hexadecimal)}
       WHEN substr({s}, i, 1) RLIKE '[a-z]' THEN {_letters(hexadecimal)}
-      WHEN substr({s}, i, 1) RLIKE '[A-Z]' THEN upper({_letters(hexadecimal)}) ELSE substr({s}, i, 1) END), '')"""
+      WHEN substr({s}, i, 1) RLIKE '[A-Z]' THEN upper({_letters(hexadecimal)})
+      WHEN substr({s}, i, 1) RLIKE {_q(r'[\p{L}\p{M}]')} THEN {_letters(hexadecimal)}
+      WHEN substr({s}, i, 1) RLIKE {_q(r'\p{N}')} THEN {_numbers(hexadecimal)} ELSE substr({s}, i, 1) END), '')"""
 
 
 def _octet(h: str, at: int, base: int, least: int) -> str:
@@ -217,8 +232,9 @@ def _replaced(secret: str, e: str) -> str:
         attempt = f"coalesce(_pii_over[concat({kind}, ':', {key})], 0)"
         return f"transform(array({attempt}), n -> {surrogate(secret, kind, key, 'n')})[0]"
 
-    names = f"""concat({_title(e)}, ' ', array_join(transform({_parts(e)}, (p, k) ->
-      {_cased(value('p.kind', 'p.key'), f'{_names(e)}[k]')}), ' '))"""
+    names = f"""concat({_title(e)}, ' ', array_join(transform(transform({_names(e)}, (t, k) ->
+      struct({_name_kind(e, 'k')} AS kind, lower(t) AS key, t AS word)), p -> CASE WHEN p.word IN {_in(PARTICLES)} THEN p.word
+      ELSE {_cased(value('p.kind', 'p.key'), 'p.word')} END), ' '))"""
     one = f"""transform({_parts(e)}, p -> transform(array({value('p.kind', 'p.key')}), s -> CASE p.kind
       WHEN 'email' THEN CASE WHEN {e} = upper({e}) THEN upper(s) ELSE s END
       WHEN 'secret' THEN concat({_secret_part(e, 1)}, s) WHEN 'phone' THEN {_filled(e, f'concat({_country(e)}, s)')}

@@ -288,3 +288,27 @@ def test_passages_do_not_depend_on_smaller_documents(docs):
     texts |= {20: other + fresh(80), 21: fresh(35) + other}
     got = {(r.doc_id, r.start, r.end, r.partner) for r in passages.repeated(docs({k: " ".join(t) for k, t in texts.items()})).collect()}
     assert got == {(3, 20, 70, 7), (7, 70, 120, 3), (20, 0, 60, 21), (21, 35, 95, 20)}
+
+
+def test_nothing_of_a_long_secret_or_name_is_left(docs):
+    rng = random.Random(3)
+    letters = "ABCDEFGHabcdefgh0123456789_-"
+    jwt = ".".join("".join(rng.choice(letters) for _ in range(n)) for n in (60, 120, 49))
+    late = "x" * 140 + "7secret"
+    texts = [
+        f"token: {jwt} end", f"api_key={late}", "password=Ab1!cd&Ef@gh$Ij, next", 'passwd: "correct horse 9 staple" ok',
+        "Señor Juan Carlos García López y", "Frau Ursula von der Leyen sagt", "Frau von der Leyen", "Mr Lee Mrs Kim",
+        "Mr " + " ".join(f"N{c}" for c in "abcdefghijkl"), "password=grün7süß",
+    ]
+    out = replaced(docs, texts)
+    assert all(jwt[k : k + 6] not in out[0] for k in range(len(jwt) - 5)) and out[0].endswith(" end")
+    assert "x" * 4 not in out[1] and "7secret" not in out[1]
+    assert re.fullmatch(r"password=[A-Z][a-z]\d![a-z]{2}&[A-Z][a-z]@[a-z]{2}\$[A-Z][a-z], next", out[2])
+    assert not any(p in out[2] for p in ("Ab1", "cd&", "Ef@", "gh$", "Ij"))
+    assert re.fullmatch(r'passwd: "[a-z]{7} [a-z]{5} \d [a-z]{6}" ok', out[3]) and "horse" not in out[3] and "staple" not in out[3]
+    assert re.fullmatch(r"Señor [A-Z]\w+n [A-Z]\w+n [A-Z]\w+n [A-Z]\w+r y", out[4]) and "López" not in out[4]
+    own = re.fullmatch(r"Frau [A-Z][a-z]+a von der ([A-Z][a-z]+r) sagt", out[5])
+    assert own and "Ursula" not in out[5] and own[1] != "Leyen" and out[6] == f"Frau von der {own[1]}"
+    assert re.fullmatch(r"Mr [A-Z][a-z]+r Mrs [A-Z][a-z]+r", out[7]) and "Lee" not in out[7] and "Kim" not in out[7]
+    assert not any(f"N{c}" in out[8].split() for c in "abcdefghijkl") and len(out[8].split()) == 13
+    assert not any(c in out[9] for c in "üß") and len(out[9]) == len(texts[9])
