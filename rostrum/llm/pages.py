@@ -95,6 +95,19 @@ def _beside(name: str, attributes: dict[str, str]) -> bool:
     return bool(parts & _BESIDE)
 
 
+def _header(page: str, at: int) -> tuple[int, bool]:
+    """Where the first end of a header or start of an h1 after ``at`` is, and whether it is an h1."""
+    while (m := _TAG.search(page, at)) is not None:
+        name = (m[2] or "").lower()
+        if name == ("header" if m[1] else "h1"):
+            return m.start(), not m[1]
+        at = m.end()
+        if not m[1] and name in _UNREAD and not m[3].endswith("/"):
+            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+    return len(page), False
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
     """``(zone, text)`` of the blocks of a page, in page order."""
     out: list[tuple[int, str]] = []
@@ -103,6 +116,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
     parts: list[str] = []
     aside: list[str] = []
     heading = 0
+    header = (-1, False)
 
     def flush() -> None:
         for zone, some in ((MAIN if articles else OTHER, parts), (OUTSIDE, aside)):
@@ -169,7 +183,9 @@ def blocks(page: str) -> list[tuple[int, str]]:
         article = article or any(x in attributes.get("class", "") or x in attributes.get("id", "") for x in _ARTICLE_PARTS)
         beside = name in _OUTSIDE
         if name == "header" and articles:
-            beside = "<h1" not in page[at : at + 2000].lower().partition("</header")[0]
+            if header[0] < at:  # else the one looked up for an earlier header is next
+                header = _header(page, at)
+            beside = not header[1]
         if attributes and name not in ("html", "body", "main") and _beside(name, attributes):
             beside = True
         if name == "head":

@@ -312,3 +312,10 @@ def test_nothing_of_a_long_secret_or_name_is_left(docs):
     assert re.fullmatch(r"Mr [A-Z][a-z]+r Mrs [A-Z][a-z]+r", out[7]) and "Lee" not in out[7] and "Kim" not in out[7]
     assert not any(f"N{c}" in out[8].split() for c in "abcdefghijkl") and len(out[8].split()) == 13
     assert not any(c in out[9] for c in "üß") and len(out[9]) == len(texts[9])
+
+
+@pytest.mark.parametrize("lead", ["<svg><path d='{}'/><h1></svg>", "<img src='data:{}'>", "<!-- {} </header> -->"])
+def test_a_header_is_read_to_its_end(lead):
+    page = f"<article><header>{lead.format('x' * 5000)}<h1>Title</h1><p>Standfirst</header><p>Body<header>Beside</header><p>End</article>"
+    assert pages.articles([pages.blocks(page)], np.array([1])) == ["Title\n\nStandfirst\n\nBody\n\nEnd"]
+    assert pages.blocks(page.replace("<h1>Title</h1>", ""))[0][0] == pages.OUTSIDE
