@@ -17,8 +17,10 @@ Markup says where a run may be boilerplate:
   most of such a page, the page is a copy of another, and that stretch stays.
 
 Hosts are dealt into shards of about ``SHARD`` bytes of html by a hash of the page, so that a
-host with a third of all pages is spread; a repeat counts within a shard, which holds hundreds
-of pages. Every page is returned; nothing is cut short.
+host with a third of all pages is spread. Evidence counts over the whole host: the runs of the
+pages of a host of several shards are first reduced by their hash to the least and greatest page,
+the same in articles, and whether they occur beside one, and each shard is given those of its
+runs that two pages have. Every page is returned; nothing is cut short.
 
 Defined results: null html is an empty page with empty text; a null url makes a host of its
 own; repeated rows of one page id are one page for the evidence, and each is returned; blocks
@@ -235,11 +237,31 @@ def _covered(starts: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(edge)[: len(starts)] > 0
 
 
-def repeats(tokens: np.ndarray, page: np.ndarray, zone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+_RUN = arrow.mix(np.arange(1, RUN + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def run_keys(tokens: np.ndarray, real: np.ndarray, site: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places where runs of ``RUN`` words start that lie in one page, and hashes of host and run."""
+    m = len(tokens) - RUN + 1
+    if m <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = np.zeros(m, np.uint64)
+    for k in range(RUN):
+        total += tokens[k : k + m] * _RUN[k]
+    marks = np.concatenate([[0], np.cumsum(~real)])
+    at = np.flatnonzero(marks[RUN:] == marks[:-RUN])
+    salt = arrow.mix(np.array([site], np.int64).view(np.uint64))
+    return at, arrow.mix(total[at] ^ salt).view(np.int64)
+
+
+def repeats(
+    tokens: np.ndarray, page: np.ndarray, zone: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Which tokens lie in runs of two pages, and in those that are boilerplate even in an article.
 
     ``tokens`` holds all pages; a separator of its own follows each, so no run crosses pages.
-    The latter are in the articles of two pages and beside the article on some page.
+    The latter are in the articles of two pages and beside the article on some page. ``known``
+    says of each place whether a run of either kind starts there by evidence of other shards.
     """
     if not len(tokens):
         return np.zeros(0, bool), np.zeros(0, bool)
@@ -250,17 +272,18 @@ def repeats(tokens: np.ndarray, page: np.ndarray, zone: np.ndarray) -> tuple[np.
     inner_low, inner_high = _spread(group, order, cuts, page, zone == MAIN)
     _, outer = _spread(group, order, cuts, page, zone == OUTSIDE)
     notice = (inner_low < inner_high) & (outer >= 0)
-    return _covered(low < high, RUN), _covered(notice, RUN)
+    shared = low < high
+    if known is not None:
+        shared, notice = shared | known[0], notice | known[1]
+    return _covered(shared, RUN), _covered(notice, RUN)
 
 
-def articles(pages: list[list[tuple[int, str]]], numbers: np.ndarray) -> list[str]:
-    """Main text of each page of a shard; ``numbers`` tells distinct pages apart."""
+def _line(pages: list[list[tuple[int, str]]], numbers: np.ndarray):
+    """Texts and zones of blocks; words of all pages, with a separator after each, their block, page and zone."""
     zones = np.array([z for p in pages for z, _ in p], np.int64)
     owner = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
     texts = [t for p in pages for _, t in p]
-    if not texts:
-        return [""] * len(pages)
-    hashes, block = [], []
+    hashes, block = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for w in arrow.words(pa.array(texts, pa.large_string()), fold=False):
         hashes.append(w.hashes)
         block.append(w.rows + w.first)
@@ -271,8 +294,33 @@ def articles(pages: list[list[tuple[int, str]]], numbers: np.ndarray) -> list[st
     tokens = np.insert(hashes, change, marks)
     block = np.insert(block, change, -1)
     real = block >= 0
-    page = np.where(real, numbers[owner[block]], -1 - np.arange(len(block)))
-    shared, told = repeats(tokens, page, np.where(real, zones[block], -1))
+    page = -1 - np.arange(len(block))
+    page[real] = numbers[owner[block[real]]]
+    zone = np.full(len(block), -1)
+    zone[real] = zones[block[real]]
+    return texts, zones, tokens, block, page, zone
+
+
+def articles(
+    pages: list[list[tuple[int, str]]], numbers: np.ndarray, site: int = 0,
+    evidence: tuple[np.ndarray, np.ndarray] | None = None,
+) -> list[str]:
+    """Main text of each page of a shard; ``numbers`` tells distinct pages apart.
+
+    ``evidence`` holds sorted keys of runs of the host on two pages and which of them are notices.
+    """
+    texts, zones, tokens, block, page, zone = _line(pages, numbers)
+    if not texts:
+        return [""] * len(pages)
+    real = block >= 0
+    known = None
+    if evidence is not None and len(evidence[0]):
+        at, key = run_keys(tokens, real, site)
+        spot = np.minimum(np.searchsorted(evidence[0], key), len(evidence[0]) - 1)
+        same = evidence[0][spot] == key
+        known = np.zeros(len(tokens), bool), np.zeros(len(tokens), bool)
+        known[0][at], known[1][at] = same, same & evidence[1][spot]
+    shared, told = repeats(tokens, page, zone, known)
     block, shared, told = block[real], shared[real], told[real]
     size = np.maximum(np.bincount(block, minlength=len(texts)), 1)
     shared = np.bincount(block, shared, len(texts)) >= size
@@ -304,8 +352,60 @@ def _copied(inside: np.ndarray, shared: np.ndarray, size: np.ndarray) -> np.ndar
     return keep
 
 
-def _extract(pdf: pd.DataFrame) -> pd.DataFrame:
-    texts = articles([blocks(h or "") for h in pdf["html"]], pdf["number"].to_numpy())
+_SEEN = pa.schema([
+    ("key", pa.int64()), ("part", pa.int64()), ("low", pa.int64()), ("high", pa.int64()),
+    ("inner_low", pa.int64()), ("inner_high", pa.int64()), ("outer", pa.bool_()),
+])
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of the pages of a batch, once for each shard, with the pages that have them."""
+    far = np.iinfo(np.int64).max
+    for batch in batches:
+        site, part, number = (batch.column(c).to_numpy() for c in ("site", "part", "number"))
+        pages = batch.column("html").to_pylist()
+        for p in np.unique(part).tolist():
+            rows = np.flatnonzero(part == p)
+            _, _, tokens, block, page, zone = _line([blocks(pages[r] or "") for r in rows], number[rows])
+            at, key = run_keys(tokens, block >= 0, int(site[rows[0]]))
+            if not len(at):
+                continue
+            order = np.argsort(key, kind="stable")
+            at, key = at[order], key[order]
+            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            page, inner = page[at], zone[at] == MAIN
+            inner_low = np.minimum.reduceat(np.where(inner, page, far), cuts)
+            none = inner_low == far
+            yield pa.RecordBatch.from_arrays([
+                pa.array(key[cuts]), pa.array(np.full(len(cuts), p, np.int64)),
+                pa.array(np.minimum.reduceat(page, cuts)), pa.array(np.maximum.reduceat(page, cuts)),
+                pa.array(inner_low, mask=none),
+                pa.array(np.maximum.reduceat(np.where(inner, page, -1), cuts), mask=none),
+                pa.array(np.logical_or.reduceat(zone[at] == OUTSIDE, cuts)),
+            ], schema=_SEEN)
+
+
+def _evidence(rows: DataFrame) -> DataFrame:
+    """``(part, key, told)``: runs of each shard that two pages of its host have."""
+    pages = rows.filter("shards > 1").select("site", "part", "number", "html")
+    seen = pages.mapInArrow(
+        _seen, "key bigint, part bigint, low bigint, high bigint, inner_low bigint, inner_high bigint, outer boolean"
+    )
+    runs = seen.groupBy("key").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("inner_low").alias("inner_low"),
+        F.max("inner_high").alias("inner_high"), F.max("outer").alias("outer"), F.collect_set("part").alias("parts"),
+    ).filter("low < high")
+    told = F.coalesce(F.col("inner_low") < F.col("inner_high"), F.lit(False)) & F.col("outer")
+    return runs.select(F.explode("parts").alias("part"), "key", told.alias("told"))
+
+
+def _extract(pdf: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+    evidence = None
+    if len(runs):
+        runs = runs.sort_values("key")
+        evidence = runs["key"].to_numpy(), runs["told"].to_numpy(bool)
+    site = int(pdf["site"].iloc[0]) if len(pdf) else 0
+    texts = articles([blocks(h or "") for h in pdf["html"]], pdf["number"].to_numpy(), site, evidence)
     return pd.DataFrame({
         "page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts],
     })
@@ -326,8 +426,10 @@ def extract(pages: DataFrame, id="page_id", url="url", html="html") -> DataFrame
     rows = rows.join(shards, "host").withColumn("number", F.shiftrightunsigned(number, 1))
     rows = rows.withColumn("shard", F.pmod("number", "shards"))
     kind = rows.schema["page_id"].dataType.simpleString()
-    rows = rows.select("host", "shard", "number", "page_id", "url", "html")
-    out = rows.groupBy("host", "shard").applyInPandas(
+    rows = rows.withColumns({"site": F.xxhash64("host"), "part": F.xxhash64("host", "shard")})
+    runs = _evidence(rows)
+    rows = rows.select("site", "part", "number", "page_id", "url", "html")
+    out = rows.groupBy("part").cogroup(runs.groupBy("part")).applyInPandas(
         _extract, f"page_id {kind}, url string, text string, n_chars bigint"
     )
     return out.withColumnsRenamed({"page_id": id, "url": url})

@@ -319,3 +319,18 @@ def test_a_header_is_read_to_its_end(lead):
     page = f"<article><header>{lead.format('x' * 5000)}<h1>Title</h1><p>Standfirst</header><p>Body<header>Beside</header><p>End</article>"
     assert pages.articles([pages.blocks(page)], np.array([1])) == ["Title\n\nStandfirst\n\nBody\n\nEnd"]
     assert pages.blocks(page.replace("<h1>Title</h1>", ""))[0][0] == pages.OUTSIDE
+
+
+def test_evidence_counts_over_all_shards_of_a_host(spark, monkeypatch):
+    foot, notice = words("f", 20), words("n", 30)
+    html = {}
+    for k in range(40):
+        html[k] = f"<body><div><p>{words(f'p{k}x', 30)}</p></div>" + f"<p>{foot}</p>" * (k in (3, 17))
+        html[100 + k] = f"<article><p>{words(f'q{k}x', 30)}</p>" + f"<p>{notice}</p>" * (k in (5, 21)) + "</article>"
+    html[200] = f"<article><p>{words('r', 30)}</p></article><aside>{notice}</aside>"
+    rows = spark.createDataFrame([(k, f"http://a.com/{k}", h) for k, h in html.items()], "page_id long, url string, html string")
+    whole = dict(zip(html, pages.articles([pages.blocks(h) for h in html.values()], np.arange(len(html)))))
+    assert not any(foot in t or notice in t for t in whole.values())
+    for shard in (300, 2000):
+        monkeypatch.setattr(pages, "SHARD", shard)
+        assert {r.page_id: r.text for r in pages.extract(rows).collect()} == whole
