@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rostrum.llm import (
+    codes,
     decontaminate,
     kneser,
     langid,
@@ -26,9 +27,11 @@ QUERIES = {
     "op8_repeated_passages": passages.op8_repeated_passages,
     "op9_language_id": langid.op9_language_id,
     "op10_near_duplicates": neardup.op10_near_duplicates,
+    "op12_vector_codes": codes.op12_vector_codes,
 }
 
 SQL: dict[str, str] = {
     "op4_decontamination": decontaminate.OP4_SQL,
     "op10_near_duplicates": neardup.OP10_SQL,
+    "op12_vector_codes": codes.OP12_SQL,
 }
