@@ -12,6 +12,7 @@ from rostrum.llm import (
     packing,
     pages,
     passages,
+    pieces,
     quality,
     surrogates,
 )
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_near_duplicates": neardup.op10_near_duplicates,
     "op12_vector_codes": codes.op12_vector_codes,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 
 SQL: dict[str, str] = {
