@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rostrum.llm import (
+    alignment,
     codes,
     decontaminate,
     kneser,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_repeated_passages": passages.op8_repeated_passages,
     "op9_language_id": langid.op9_language_id,
     "op10_near_duplicates": neardup.op10_near_duplicates,
+    "op11_token_alignment": alignment.op11_token_alignment,
     "op12_vector_codes": codes.op12_vector_codes,
     "op13_sentencepiece": pieces.op13_sentencepiece,
 }
