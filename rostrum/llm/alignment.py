@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,12 @@ KEPT_IDS = 64
 # Characters whose classes are the same in every version of Unicode that the libraries use; texts
 # of these take the faster of two libraries with the same vocabulary.
 _SETTLED = regex.compile("[\t\n\r -~¡-¬®-ɏͰ-ͷΆ-ΡΣ-ώЀ-ѿא-תぁ-ゖァ-ヺ一-龥가-힣“”‘’–—…€]*+")
-_LONG = regex.compile(r"[^ ]{2000}| {2000}")
+LONG = 2000
+
+
+def _has_long_run(text: str) -> bool:
+    """Whether one pre-token may be so long that the faster library is not."""
+    return len(text) >= LONG and (" " * LONG in text or max(map(len, text.split(" "))) >= LONG)
 
 
 def default_vocabularies() -> tuple[str, str, str]:
@@ -108,17 +115,17 @@ class Pair:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[tuple[bytes, bytes], int] = {}
+        self.slot: dict[tuple[tuple[int, ...], tuple[int, ...]], int] = {}
         self.texts: list[str] = []
-        self.groups: list[int] = []
-        self.links: list[np.ndarray] = []
+        # Of each window: number of groups, and the run of its links in ``codes``.
+        self.groups, self.starts, self.widths, self.codes = (np.zeros(0, np.int64) for _ in range(4))
 
     def encode_a(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text behind a space."""
         out: list = [None] * len(texts)
         rest = []
         for k, t in enumerate(texts):
-            if self.quick and _SETTLED.fullmatch(t) and not _LONG.search(t):
+            if self.quick and _SETTLED.fullmatch(t) and not _has_long_run(t):
                 out[k] = self.quick.encode_ordinary(" " + t)
             else:
                 rest.append(k)
@@ -127,37 +134,55 @@ class Pair:
                 out[k] = e.ids
         return out
 
-    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[str, int, np.ndarray]:
-        """Groups of a window as text, their number, and its links as ``a * |B| + b``."""
-        a_ends = np.cumsum(self.a.sizes[a])
-        b_ends = np.cumsum(self.b.sizes[b])
-        shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        a_cuts = np.searchsorted(a_ends, shared) + 1
-        b_cuts = np.searchsorted(b_ends, shared) + 1
-        ids_a, ids_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        text, i, j = [], 0, 0
-        for x, y in zip(a_cuts.tolist(), b_cuts.tolist()):
-            text.append(",".join(ids_a[i:x]) + "|" + ",".join(ids_b[j:y]))
+    def align(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> None:
+        """Add the alignments of windows, their ids given end to end on both sides."""
+        ends_a, ends_b = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
+        # Cuts into groups: ends that both sides have.
+        spot = np.searchsorted(ends_b, ends_a)
+        shared = np.flatnonzero(ends_b[spot] == ends_a)
+        cut_a, cut_b = shared + 1, spot[shared] + 1
+        # Links: B tokens that end after an A token begins and begin before it ends.
+        first = np.searchsorted(ends_b, ends_a - self.a.sizes[a], "right")
+        count = np.searchsorted(ends_b - self.b.sizes[b], ends_a, "left") - first
+        codes = np.repeat(a.astype(np.int64), count) * len(self.b.sizes) + b[arrow.ragged(first, count)]
+        texts, ids_a, ids_b, i, j = [], a.tolist(), b.tolist(), 0, 0
+        for x, y in zip(cut_a.tolist(), cut_b.tolist()):
+            if x - i == y - j == 1:
+                texts.append(f"{ids_a[i]}|{ids_b[j]}")
+            else:
+                texts.append(",".join(map(str, ids_a[i:x])) + "|" + ",".join(map(str, ids_b[j:y])))
             i, j = x, y
-        # B tokens that end after an A token begins and begin before it ends.
-        first = np.searchsorted(b_ends, a_ends - self.a.sizes[a], "right")
-        last = np.searchsorted(b_ends - self.b.sizes[b], a_ends, "left")
-        codes = np.repeat(a.astype(np.int64), last - first) * len(self.b.sizes) + b[arrow.ragged(first, last - first)]
-        return ";".join(text), len(text), codes
-
-    def window(self, a: np.ndarray, b: np.ndarray) -> int:
-        """Place of a window's alignment in the tables."""
-        key = (a.tobytes(), b.tobytes())
-        at = self.slot.get(key)
-        if at is None:
-            text, n, codes = self.align(a, b)
-            at = len(self.texts)
-            self.texts.append(text)
-            self.groups.append(n)
-            self.links.append(codes)
-            if len(a) + len(b) <= KEPT_IDS:
-                self.slot[key] = at
-        return at
+        bounds = np.concatenate([[0], np.cumsum(size_a)])
+        at = np.searchsorted(cut_a, bounds, "right")
+        self.texts += [";".join(texts[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+        widths = _run_sums(count, bounds)
+        self.groups = np.append(self.groups, np.diff(at))
+        self.starts = np.append(self.starts, len(self.codes) + np.cumsum(widths) - widths)
+        self.widths = np.append(self.widths, widths)
+        self.codes = np.append(self.codes, codes)
+
+    def windows(self, a: np.ndarray, b: np.ndarray, start_a, size_a, start_b, size_b) -> np.ndarray:
+        """Places of the alignments of windows, given as runs of both id arrays, in the tables."""
+        if len(self.texts) > KEPT_WINDOWS:
+            self.clear()
+        ids_a, ids_b, slot = a.tolist(), b.tolist(), self.slot
+        out, new, known = np.zeros(len(start_a), np.int64), [], len(self.texts)
+        runs = zip(start_a.tolist(), (start_a + size_a).tolist(), start_b.tolist(), (start_b + size_b).tolist())
+        for k, (i, j, x, y) in enumerate(runs):
+            key = (tuple(ids_a[i:j]), tuple(ids_b[x:y]))
+            at = slot.get(key)
+            if at is None:
+                at = known + len(new)
+                new.append(k)
+                if j - i + y - x <= KEPT_IDS:
+                    slot[key] = at
+            out[k] = at
+        if new:
+            at = np.array(new)
+            self.align(
+                a[arrow.ragged(start_a[at], size_a[at])], b[arrow.ragged(start_b[at], size_b[at])], size_a[at], size_b[at]
+            )
+        return out
 
 
 @functools.cache
@@ -188,7 +213,7 @@ class Slice:
                 found_a[k], found_b[k] = [], np.zeros(0, np.int32)
         count_a = np.array([len(x) for x in found_a], np.int64)
         count_b = np.array([len(x) for x in found_b], np.int64)
-        a = np.fromiter((i for x in found_a for i in x), np.int32, int(count_a.sum()))
+        a = np.fromiter(chain.from_iterable(found_a), np.int32, int(count_a.sum()))
         b = np.concatenate([np.zeros(0, np.int32), *found_b]).astype(np.int32)
         a, b, count_a, count_b = self._spelled(pair, texts, a, b, count_a, count_b)
         self.n_a, self.n_b = count_a, count_b
@@ -206,16 +231,10 @@ class Slice:
         size_a, size_b = stop_a - start_a, stop_b - start_b
         hashes = arrow.mix(_window_hashes(a, start_a, size_a) * np.uint64(3) + _window_hashes(b, start_b, size_b))
         _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(pair.texts) > KEPT_WINDOWS:
-            pair.clear()
-        slots = [pair.window(a[start_a[k] : stop_a[k]], b[start_b[k] : stop_b[k]]) for k in first.tolist()]
+        slots = pair.windows(a, b, start_a[first], size_a[first], start_b[first], size_b[first])
         # Windows of this slice: their texts, numbers of groups, and links end to end.
-        names = [pair.texts[s] for s in slots]
-        groups = np.array([pair.groups[s] for s in slots], np.int64)
-        links = [pair.links[s] for s in slots]
-        width = np.array([len(x) for x in links], np.int64)
-        flat = np.concatenate([np.zeros(0, np.int64), *links])
-        begin = np.cumsum(width) - width
+        names, groups, width = [pair.texts[s] for s in slots.tolist()], pair.groups[slots], pair.widths[slots]
+        flat, begin = pair.codes, pair.starts[slots]
         # Documents as runs of windows.
         bounds = np.searchsorted(stop_a, np.concatenate([[0], np.cumsum(count_a)]), "right")
         bounds[0] = 0
@@ -226,13 +245,10 @@ class Slice:
         codes = flat[arrow.ragged(begin[kind], width[kind])]
         doc = np.repeat(np.arange(n), self.n_links)
         # Distinct pairs of each document, and how often.
-        order = np.lexsort((codes, doc))
-        codes, doc = codes[order], doc[order]
-        new = np.ones(len(codes), bool)
-        new[1:] = (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(new)
-        self.codes, self.times = codes[at], np.diff(np.append(at, len(codes)))
-        self.pair_ends = np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=n))])
+        wide = len(pair.a.sizes) * len(pair.b.sizes)
+        keys, self.times = np.unique(doc * wide + codes, return_counts=True)
+        self.codes = keys % wide
+        self.pair_ends = np.concatenate([[0], np.cumsum(np.bincount(keys // wide, minlength=n))])
 
     @staticmethod
     def _spelled(pair, texts, a, b, count_a, count_b):
@@ -308,7 +324,10 @@ def _tokenise(batches: Iterator[pa.RecordBatch], files, kind) -> Iterator[pa.Rec
         id_kind = batch.column(0).type
         _, offsets = arrow.utf8(batch.column(1))
         for first, last in arrow.slices(offsets):
+            # Tuples and lists by the million, without a cycle: nothing for the collector to find.
+            gc.disable()
             s = Slice(pair, [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()])
+            gc.enable()
             yield _rows(block, batch.column(0).slice(first, last - first), s, kind)
             codes, times = map(lambda x: [x], _summed([*codes, s.codes], [*times, s.times]))
             size += int(offsets[last] - offsets[first])
