@@ -39,7 +39,8 @@ from rostrum.llm import arrow, folder
 from rostrum.llm.pieces import BYTE, model_of
 
 BLOCK_BYTES = 32_000_000
-KEPT_WINDOWS = 200_000
+KEPT_WINDOWS = 400_000
+SLICE_BYTES = 4_000_000
 # Longer windows are aligned, too, but not kept.
 KEPT_IDS = 64
 
@@ -115,7 +116,7 @@ class Pair:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[tuple[tuple[int, ...], tuple[int, ...]], int] = {}
+        self.slot: dict[tuple[bytes, bytes], int] = {}
         self.texts: list[str] = []
         # Of each window: number of groups, and the run of its links in ``codes``.
         self.groups, self.starts, self.widths, self.codes = (np.zeros(0, np.int64) for _ in range(4))
@@ -165,24 +166,25 @@ class Pair:
         """Places of the alignments of windows, given as runs of both id arrays, in the tables."""
         if len(self.texts) > KEPT_WINDOWS:
             self.clear()
-        ids_a, ids_b, slot = a.tolist(), b.tolist(), self.slot
-        out, new, known = np.zeros(len(start_a), np.int64), [], len(self.texts)
-        runs = zip(start_a.tolist(), (start_a + size_a).tolist(), start_b.tolist(), (start_b + size_b).tolist())
-        for k, (i, j, x, y) in enumerate(runs):
-            key = (tuple(ids_a[i:j]), tuple(ids_b[x:y]))
+        # Ids of the windows end to end; a key holds the ids of both sides, four bytes each.
+        a, b = a[arrow.ragged(start_a, size_a)], b[arrow.ragged(start_b, size_b)]
+        bytes_a, bytes_b, slot = a.tobytes(), b.tobytes(), self.slot
+        out, new, known, i, x = [], [], len(self.texts), 0, 0
+        for k, (j, y) in enumerate(zip((np.cumsum(size_a) * 4).tolist(), (np.cumsum(size_b) * 4).tolist())):
+            key = (bytes_a[i:j], bytes_b[x:y])
             at = slot.get(key)
             if at is None:
                 at = known + len(new)
                 new.append(k)
-                if j - i + y - x <= KEPT_IDS:
+                if j - i + y - x <= 4 * KEPT_IDS:
                     slot[key] = at
-            out[k] = at
+            out.append(at)
+            i, x = j, y
         if new:
-            at = np.array(new)
-            self.align(
-                a[arrow.ragged(start_a[at], size_a[at])], b[arrow.ragged(start_b[at], size_b[at])], size_a[at], size_b[at]
-            )
-        return out
+            fresh = np.zeros(len(size_a), bool)
+            fresh[new] = True
+            self.align(a[np.repeat(fresh, size_a)], b[np.repeat(fresh, size_b)], size_a[fresh], size_b[fresh])
+        return np.array(out, np.int64)
 
 
 @functools.cache
@@ -323,8 +325,8 @@ def _tokenise(batches: Iterator[pa.RecordBatch], files, kind) -> Iterator[pa.Rec
     for batch in batches:
         id_kind = batch.column(0).type
         _, offsets = arrow.utf8(batch.column(1))
-        for first, last in arrow.slices(offsets):
-            # Tuples and lists by the million, without a cycle: nothing for the collector to find.
+        for first, last in arrow.slices(offsets, SLICE_BYTES):
+            # Lists of ids and keys by the million, without a cycle: nothing for the collector to find.
             gc.disable()
             s = Slice(pair, [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()])
             gc.enable()
