@@ -207,9 +207,6 @@ def jn08(t):
 
 # --- gazetteer ---------------------------------------------------------------------------
 
-TERMS = ["the", "of the", "and the of", "the and", "of", "hehely hehely", "rewh", "than ble", "to the in"]
-
-
 def gazetteer_table(t):
     # The first one, two and three words of each benchmark text.
     start = F.split(F.lower("text"), " ")
@@ -221,7 +218,26 @@ def gazetteer_table(t):
     )
 
 
-@query("jn09_match_phrases")
+# Entries by their tokens, and the places of a sentence where they stand; longest first, then leftmost,
+# those that overlap an earlier one are dropped.
+HEADS = """heads AS (SELECT DISTINCT array_to_string(string_split(lower(text), ' ')[1:n], ' ') AS entry FROM benchmark, range(1, 4) r(n))"""
+GAZETTEER = f"""{HEADS},
+terms AS (SELECT DISTINCT kind, entry, regexp_extract_all(entry, {q(T.TOKEN)}) AS words FROM (
+  SELECT 'lemma' AS kind, entry FROM heads UNION ALL SELECT 'text', n_name FROM nation) WHERE trim(entry) <> ''),
+lists AS (SELECT id, sent_i, list(text ORDER BY i) AS texts, list(lemma ORDER BY i) AS lemmas FROM ann GROUP BY id, sent_i),
+places AS (SELECT ann.id, ann.sent_i, ann.i, ann.text, ann.lemma, texts, lemmas FROM ann JOIN lists USING (id, sent_i)),
+found AS (
+  SELECT DISTINCT id, sent_i, i AS start, i + len(words) AS "end", entry, array_to_string(texts[i + 1:i + len(words)], ' ') AS text, lemma AS first_lemma
+  FROM places JOIN terms ON CASE kind WHEN 'lemma' THEN lemma ELSE text END = words[1]
+  WHERE CASE kind WHEN 'lemma' THEN lemmas ELSE texts END[i + 1:i + len(words)] = words),
+greedy AS (SELECT id, sent_i, list_reduce(
+    list([struct_pack(start := start, "end" := "end", entry := entry, text := text, first_lemma := first_lemma)] ORDER BY start - "end", start, entry),
+    lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: x[1].start < k."end" AND x[1]."end" > k.start)) > 0 THEN kept ELSE list_concat(kept, x) END
+  ) AS kept FROM found GROUP BY id, sent_i)
+SELECT id, sent_i, m.start, m."end", m.entry, m.text, m.first_lemma FROM (SELECT id, sent_i, unnest(kept) AS m FROM greedy)"""
+
+
+@query("jn09_match_phrases", f"{ann_docs()},{GAZETTEER}")
 def jn09(t):
     return gazetteer.match_phrases(gathered(t), gazetteer.from_columns(gazetteer_table(t)))
 
@@ -232,10 +248,13 @@ GRAM = """g AS (SELECT id, sent_i, i AS start, i + 1 AS "end", lemma AS gram FRO
 
 @query(
     "jn09_gram_rows",
-    f"{ann_docs()},{AROUND},{GRAM} SELECT * FROM g WHERE gram IN {sql_list(TERMS)}",
+    f"{ann_docs()},{AROUND},{GRAM},{HEADS} SELECT * FROM g WHERE gram IN (SELECT entry FROM heads)",
 )
 def jn09_grams(t):
-    return spans.gram_rows(tagged_sentences(t), "lemma", (1, 2, 3)).filter(F.col("gram").isin(TERMS))
+    terms = gazetteer_table(t).select(F.col("lemmatized").alias("gram")).distinct()
+    return spans.gram_rows(tagged_sentences(t), "lemma", (1, 2, 3)).join(terms, "gram", "left_semi").select(
+        "id", "sent_i", "start", "end", "gram"
+    )
 
 
 # --- anonymisation: e-mails and runs of digits stand for entities -----------------------------

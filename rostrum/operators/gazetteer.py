@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
-from rostrum.operators import ordered, spans
+from rostrum.operators import phrases, spans
 
 KINDS = {"exact": "text", "lemmatized": "lemma", "hyphenated": "lemma"}
 
@@ -21,7 +21,7 @@ def from_columns(table: DataFrame) -> DataFrame:
 
 
 def match_phrases(
-    sents: DataFrame, gazetteer: DataFrame, names: DataFrame | None = None
+    sents: DataFrame, gazetteer: DataFrame, names: DataFrame | None = None, counted: bool = False
 ) -> DataFrame:
     """Longest non-overlapping gazetteer terms of each sentence: place, entry, the words as they
     stand in the text, and the lemma of the first one.
@@ -29,17 +29,21 @@ def match_phrases(
     ``sents`` is ``(id, sent_i, tokens)``. Entries are matched as token sequences: on the
     surface form for ``exact``, on lemmas otherwise. ``names(entry, qid, name)`` adds the
     distinct identifiers of the matched term; terms unknown to it are dropped.
-    The n-gram lengths are those of the entries, read from the gazetteer first.
+    Entries are found from their rarest token, see :mod:`rostrum.operators.phrases`: the rarest
+    one among the entries, or with ``counted`` in the corpus, which reads it once more.
     """
     terms = gazetteer.select(
-        "kind", "entry", F.array_join(T.tokens("entry"), " ").alias("gram"), T.n_tokens("entry").alias("n")
+        "kind", T.tokens("entry").alias("words"), F.struct("entry").alias("payload")
     ).distinct()
-    lengths = [r.n for r in terms.select("n").distinct().collect()] or [1]
-    terms = terms.drop("n")
     found = None
     for field, kinds in (("text", ["exact"]), ("lemma", ["lemmatized", "hyphenated"])):
-        grams = spans.gram_rows(sents, field, lengths, surface=True)
-        hit = grams.join(terms.filter(F.col("kind").isin(kinds)), "gram")
+        entries = terms.filter(F.col("kind").isin(kinds)).select("words", "payload").distinct()
+        counts = phrases.token_counts(sents, field, entries) if counted else None
+        hit = phrases.find(sents, field, phrases.parts(entries, counts), ["tokens"]).select(
+            "id", "sent_i", "start", "end", "payload.entry",
+            F.array_join(F.slice("tokens.text", F.col("start") + 1, F.col("end") - F.col("start")), " ").alias("text"),
+            F.get("tokens.lemma", F.col("start")).alias("first_lemma"),
+        )
         found = hit if found is None else found.unionByName(hit)
     per_sentence = found.groupBy("id", "sent_i").agg(
         F.collect_set(F.struct("start", "end", "entry", "text", "first_lemma")).alias("_s")

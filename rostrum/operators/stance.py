@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.functions import fixed
-from rostrum.operators import ordered, spans
+from rostrum.operators import phrases, spans
 
 HIT_COLUMNS = ["id", "sent_i", "category", "pos", "kind", "start", "end"]
 
@@ -50,23 +50,18 @@ def word_hits(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
     )
 
 
-def phrase_hits(sents: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Lemma sequences that are lexicon phrases.
-
-    The n-grams are those of the lengths that occur in the lexicon, read from it first: a
-    few numbers, whatever its size.
+def phrase_hits(sents: DataFrame, lexicon: DataFrame, counted: bool = False) -> DataFrame:
+    """Lemma sequences that are lexicon phrases, found from their rarest lemma; see
+    :mod:`rostrum.operators.phrases`. ``counted`` takes the rarest one in the corpus.
     """
-    entries = lexicon.filter(F.contains(F.col("entry"), F.lit(" ")))
-    sizes = entries.select(F.size(F.split("entry", " ")).alias("n")).distinct()
-    lengths = [r.n for r in sizes.collect()] or [2]
-    phrases = (
-        entries.select(
-            "category", F.coalesce("pos", F.lit("")).alias("pos"), F.col("entry").alias("gram")
-        ).distinct()
-    )
-    hit = spans.gram_rows(sents, "lemma", lengths).join(phrases, "gram")
+    entries = lexicon.filter(F.contains(F.col("entry"), F.lit(" "))).select(
+        F.split("entry", " ").alias("words"),
+        F.struct("category", F.coalesce("pos", F.lit("")).alias("pos")).alias("payload"),
+    ).distinct()
+    counts = phrases.token_counts(sents, "lemma", entries) if counted else None
+    hit = phrases.find(sents, "lemma", phrases.parts(entries, counts))
     return hit.select(
-        "id", "sent_i", "category", "pos", F.lit("phrase").alias("kind"), "start", "end"
+        "id", "sent_i", "payload.category", "payload.pos", F.lit("phrase").alias("kind"), "start", "end"
     )
 
 
