@@ -9,6 +9,9 @@ The vocabulary splits at white space before it merges, so the ids of a word do n
 its neighbours. Workers tokenise each distinct word of a slice once and keep a bounded table
 of words; documents are then assembled from that table as arrays.
 
+The ids are those of the vocabulary file as it is: a text that quotes one of its special tokens has
+that token's id there.
+
 Defined results: a null or empty text is a document of one token, the end id; repeated rows
 and null ids are packed like any others; an empty table gives no rows. Columns beyond id and
 text are not read, so their names cannot clash.
@@ -63,7 +66,9 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(vocabulary)
-        self.whole.encode_special_tokens = True
+        # A word that may hold one of the vocabulary's added tokens goes through the whole tokenizer.
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(map(regex.escape, added)) or "(?!)", regex.IGNORECASE)
         self.merges = Tokenizer(self.whole.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         names = self.whole.get_vocab()
@@ -93,7 +98,9 @@ class WordIds:
                 a = b
 
     def _encode(self, texts: list[str]) -> list[tuple[int, ...]]:
-        split = [_PARTS.findall(t.lower()) if _PLAIN.fullmatch(t) else None for t in texts]
+        split = [
+            _PARTS.findall(t.lower()) if _PLAIN.fullmatch(t) and not self.added.search(t) else None for t in texts
+        ]
         known = self.parts
         self._merge(list(dict.fromkeys(p for s in split if s for p in s if p not in known)))
         out = []

@@ -6,6 +6,8 @@ a value of its type that a keyed hash of its normal form derives:
 
 * Type and format stay: separators, brackets, letter case, number of digits, country codes,
   the prefix of a key, the first digit of a card, the reserved ``example`` domain for e-mail.
+* A card number is one whose check digit is right; other long numbers are left alone, and the
+  check digit of a surrogate is right, too.
 * Secrets run to their closing quote, white space or line end, names over all their parts.
 * Names keep particles, gender (given names take a gender's endings, from the title), script (Latin,
   Cyrillic, Greek) and case; each part of a name is replaced by itself, so "Mr Ann Lee" and
@@ -41,11 +43,13 @@ PARTICLES = tuple(
     "von vom van der den de del della dello degli dei di da do dos das du des la las los le el al bin bint ibn ben abu "
     "zu zum zur af av til ter ten te y e".split()
 )
-_PARTICLES = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
+# Repeated groups are possessive: Java walks these in a loop and the others by recursion, once per
+# repetition, which overflows its stack on a long text.
+_PARTICLES = rf"(?:(?:{'|'.join(PARTICLES)}) )*+"
 _PART = r"(?:\p{Ll}{1,4}['’])?\p{Lu}[\p{L}\p{M}'’-]*"
 # A title after a name begins another one; "Don" is a given name, too.
 _AGAIN = rf"(?!(?:{'|'.join(t for t in _TITLE.split('|') if t != 'Don')})\.? {_PARTICLES}\p{{Lu}})"
-_NAME = rf"(?<![\p{{L}}\d])(?:{_TITLE})\.? {_PARTICLES}{_PART}(?: {_PARTICLES}{_AGAIN}{_PART})*"
+_NAME = rf"(?<![\p{{L}}\d])(?:{_TITLE})\.? {_PARTICLES}{_PART}(?: {_PARTICLES}{_AGAIN}{_PART})*+"
 # To the closing quote, or to white space, a quote or the end; marks that close a sentence stay.
 _SECRET = (
     r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}(?:"
@@ -56,13 +60,13 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 PATTERN = "|".join([
     _SECRET,
-    r"(?<![\w.%+-])[\w.%+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}",
+    r"(?<![\w.%+-])[\w.%+-]++@[\w-]++(?:\.[\w-]++)++",
     r"\bAKIA[0-9A-Z]{16}\b",
     r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]\d{2,4}){1,4}(?!\d)",
+    r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]\d{2,12}){1,6}(?!\d)",
     r"\+\d{8,15}(?!\d)",
     r"(?<![\w+])\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)",
     r"(?<![\w.+-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
@@ -97,7 +101,8 @@ def _kind(e: str) -> str:
       WHEN {e} RLIKE {_q(r'[=:]')} THEN 'secret'
       WHEN {e} RLIKE {_q(r'^[0-9]{1,3}([.][0-9]{1,3}){3}$')} THEN 'ip'
       WHEN {e} RLIKE {_q(r'^[0-9]{3}-[0-9]{2}-[0-9]{4}$')} THEN 'ssn'
-      WHEN {e} RLIKE {_q(phone)} THEN 'phone' WHEN {e} RLIKE {_q(r'^[0-9]')} THEN 'card' ELSE 'name' END"""
+      WHEN {e} RLIKE {_q(phone)} THEN 'phone'
+      WHEN {e} RLIKE {_q(r'^[0-9]')} THEN CASE WHEN luhn_check({_digits(e)}) THEN 'card' ELSE 'number' END ELSE 'name' END"""
 
 
 _COUNTRY = r"^\+(\d{1,3})[ .(-]"
@@ -127,26 +132,24 @@ def _in(values: tuple[str, ...]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-def _title(e: str) -> str:
-    return f"substring_index({e}, ' ', 1)"
+def _name_kind(n: str, k: str) -> str:
+    """Kind of the ``k``-th part of a split name."""
+    return f"""CASE WHEN {k} = size({n}.words) - 1 THEN 'family' WHEN {n}.title IN {_in(MALE)} THEN 'given-m'
+      WHEN {n}.title IN {_in(FEMALE)} THEN 'given-f' ELSE 'given-n' END"""
 
 
-def _names(e: str) -> str:
-    """Parts of a name after the title, particles included."""
-    return f"slice(split({e}, ' '), 2, length({e}))"
-
-
-def _name_kind(e: str, k: str) -> str:
-    title = f"rtrim('.', {_title(e)})"
-    return f"""CASE WHEN {k} = size({_names(e)}) - 1 THEN 'family' WHEN {title} IN {_in(MALE)} THEN 'given-m'
-      WHEN {title} IN {_in(FEMALE)} THEN 'given-f' ELSE 'given-n' END"""
+def _split_name(e: str, body: str) -> str:
+    """``body`` over ``n``, the title of a name without its dot and the parts after it, particles
+    included: split once, whatever their number."""
+    return f"""transform(transform(array(split({e}, ' ')), w -> struct(w[0] AS as_it_stands,
+      rtrim('.', w[0]) AS title, slice(w, 2, size(w)) AS words)), n -> {body})[0]"""
 
 
 def _parts(e: str) -> str:
-    """The things that an entity names, as ``array<struct<kind, key>>``."""
-    names = f"""transform(filter(transform({_names(e)}, (t, k) -> struct({_name_kind(e, 'k')} AS kind, t AS word)),
-      p -> p.word NOT IN {_in(PARTICLES)}), p -> struct(p.kind AS kind, lower(p.word) AS key))"""
-    one = f"transform(array({_kind(e)}), kind -> struct(kind AS kind, {_key('kind', e)} AS key))"
+    """The things that an entity names, as ``array<struct<kind, key>>``; a number has none."""
+    names = _split_name(e, f"""transform(filter(transform(n.words, (t, k) -> struct({_name_kind('n', 'k')} AS kind, t AS word)),
+      p -> p.word NOT IN {_in(PARTICLES)}), p -> struct(p.kind AS kind, lower(p.word) AS key))""")
+    one = f"transform(filter(array({_kind(e)}), kind -> kind <> 'number'), kind -> struct(kind AS kind, {_key('kind', e)} AS key))"
     return f"CASE WHEN ({_kind(e)}) = 'name' THEN {names} ELSE {one} END"
 
 
@@ -160,13 +163,13 @@ def _numbers(h: str) -> str:
 
 def _shaped(s: str, h: str) -> str:
     """Every digit and letter of a string replaced by one of its sort."""
-    hexadecimal = f"substr({h}, (i - 1) % 64 + 1, 1)"
-    return f"""array_join(transform(sequence(1, length({s})), i -> CASE
-      WHEN substr({s}, i, 1) RLIKE '[0-9]' THEN {_numbers(hexadecimal)}
-      WHEN substr({s}, i, 1) RLIKE '[a-z]' THEN {_letters(hexadecimal)}
-      WHEN substr({s}, i, 1) RLIKE '[A-Z]' THEN upper({_letters(hexadecimal)})
-      WHEN substr({s}, i, 1) RLIKE {_q(r'[\p{L}\p{M}]')} THEN {_letters(hexadecimal)}
-      WHEN substr({s}, i, 1) RLIKE {_q(r'\p{N}')} THEN {_numbers(hexadecimal)} ELSE substr({s}, i, 1) END), '')"""
+    hexadecimal = f"substr({h}, i % 64 + 1, 1)"
+    return f"""array_join(transform(split({s}, ''), (c, i) -> CASE
+      WHEN c RLIKE '[0-9]' THEN {_numbers(hexadecimal)}
+      WHEN c RLIKE '[a-z]' THEN {_letters(hexadecimal)}
+      WHEN c RLIKE '[A-Z]' THEN upper({_letters(hexadecimal)})
+      WHEN c RLIKE {_q(r'[\p{L}\p{M}]')} THEN {_letters(hexadecimal)}
+      WHEN c RLIKE {_q(r'\p{N}')} THEN {_numbers(hexadecimal)} ELSE c END), '')"""
 
 
 def _octet(h: str, at: int, base: int, least: int) -> str:
@@ -196,6 +199,9 @@ def surrogate(secret: str, kind: str, key: str, attempt: str) -> str:
       '@', {_letters(f'substr({domain}, 1, 6)')}, '.example.',
       CASE WHEN {top} IN ('com', 'net', 'org') THEN {top} ELSE 'com' END)"""
     number = f"substr(concat({_numbers('h')}, {_numbers('reverse(h)')}), 1, length({key}))"
+    # The last digit is the check digit.
+    body = f"concat(substr({key}, 1, 1), substr({number}, 2, length({key}) - 2))"
+    card = f"filter(transform(sequence(0, 9), d -> concat({body}, cast(d as string))), n -> luhn_check(n))[0]"
     ip = "concat_ws('.', " + ", ".join(
         [_octet("h", 1, 223, 1), _octet("h", 5, 256, 0), _octet("h", 9, 256, 0), _octet("h", 13, 254, 1)]
     ) + ")"
@@ -203,7 +209,7 @@ def surrogate(secret: str, kind: str, key: str, attempt: str) -> str:
       WHEN {key} RLIKE '[\\\\u0370-\\\\u03ff]' THEN {_name('greek', kind, 'h', attempt)}
       ELSE {_name('latin', kind, 'h', attempt)} END"""
     body = f"""CASE {kind} WHEN 'email' THEN {email} WHEN 'ip' THEN {ip}
-      WHEN 'card' THEN concat(substr({key}, 1, 1), substr({number}, 2)) WHEN 'ssn' THEN {number}
+      WHEN 'card' THEN {card} WHEN 'ssn' THEN {number}
       WHEN 'phone' THEN {number} WHEN 'iban' THEN concat(substr({key}, 1, 2), {_shaped(f'substr({key}, 3)', 'h')})
       WHEN 'access' THEN concat('AKIA', upper(substr(h, 1, 16)))
       WHEN 'secret' THEN CASE WHEN {key} RLIKE '^[0-9a-f]+$' AND length({key}) <= 128
@@ -232,14 +238,14 @@ def _replaced(secret: str, e: str) -> str:
         attempt = f"coalesce(_pii_over[concat({kind}, ':', {key})], 0)"
         return f"transform(array({attempt}), n -> {surrogate(secret, kind, key, 'n')})[0]"
 
-    names = f"""concat({_title(e)}, ' ', array_join(transform(transform({_names(e)}, (t, k) ->
-      struct({_name_kind(e, 'k')} AS kind, lower(t) AS key, t AS word)), p -> CASE WHEN p.word IN {_in(PARTICLES)} THEN p.word
-      ELSE {_cased(value('p.kind', 'p.key'), 'p.word')} END), ' '))"""
+    names = _split_name(e, f"""concat(n.as_it_stands, ' ', array_join(transform(transform(n.words, (t, k) ->
+      struct({_name_kind('n', 'k')} AS kind, lower(t) AS key, t AS word)), p -> CASE WHEN p.word IN {_in(PARTICLES)} THEN p.word
+      ELSE {_cased(value('p.kind', 'p.key'), 'p.word')} END), ' '))""")
     one = f"""transform({_parts(e)}, p -> transform(array({value('p.kind', 'p.key')}), s -> CASE p.kind
       WHEN 'email' THEN CASE WHEN {e} = upper({e}) THEN upper(s) ELSE s END
       WHEN 'secret' THEN concat({_secret_part(e, 1)}, s) WHEN 'phone' THEN {_filled(e, f'concat({_country(e)}, s)')}
       WHEN 'ip' THEN s WHEN 'access' THEN s ELSE {_filled(e, 's')} END)[0])[0]"""
-    return f"CASE WHEN ({_kind(e)}) = 'name' THEN {names} ELSE {one} END"
+    return f"CASE ({_kind(e)}) WHEN 'name' THEN {names} WHEN 'number' THEN {e} ELSE {one} END"
 
 
 def entities(text: str) -> Column:
@@ -324,7 +330,8 @@ def replace(docs: DataFrame, text="text", key: str = "rostrum") -> DataFrame:
       slice(_pii_gaps, 1, size(_pii_found)), transform(_pii_found, e -> {_replaced(key, 'e')}), (g, s) -> concat(g, s)), ''),
       element_at(_pii_gaps, -1)) ELSE `{text}` END""")
     out = rows.withColumn(text, made)
-    return out.select(*docs.columns, F.size("_pii_found").alias("_pii_entities"))
+    real = F.expr(f"filter(_pii_found, e -> ({_kind('e')}) <> 'number')")
+    return out.select(*docs.columns, F.size(real).alias("_pii_entities"))
 
 
 def op2_pii_surrogates(spark, sf_dir: str) -> DataFrame:

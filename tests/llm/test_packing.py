@@ -7,16 +7,14 @@ from tokenizers import Tokenizer
 from rostrum.llm import packing
 
 TEXTS = [
-    "Don't stop, it's 1234 o'clock!", "İSTANBUL ΣΑΣ naïve café ﬁ ½ x² 東京", "<|endoftext|> </w> &amp; ___", None, "", "  \t\n",
+    "Don't stop, it's 1234 o'clock!", "İSTANBUL ΣΑΣ naïve café ﬁ ½ x² 東京", "<|endoftext|> </w> &amp; ___", "a <|endoftext|> b<|startoftext|><|ENDOFTEXT|>c<|end <|endoftext|", None, "", "  \t\n",
     "áb é x y", "word " * 5000, "a" * 3000, "ß ẞ ǅ µ × ÷ \x00\x1f \x7f",
 ]
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.default_vocabulary())
 
 
 def test_pieces_are_the_binary_digits():
@@ -47,7 +45,7 @@ def test_table_of_words_starts_anew(monkeypatch, spark, docs, tokenizer):
 
     from rostrum.llm import arrow
 
-    for text in ("one two three", "four five one", "one, two. three"):
+    for text in ("one two three", "four five one", "one, two. three", "x<|endoftext|>y"):
         (w,) = arrow.words(pa.array([text]), fold=False)
         assert table.look_up(w)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 

@@ -61,7 +61,6 @@ def test_pii_stage(outputs):
 
 def test_packing_stage_is_an_exact_round_trip(outputs):
     tokenizer = Tokenizer.from_file(packing.default_vocabulary())
-    tokenizer.encode_special_tokens = True
     got = outputs[5].toPandas().sort_values(["doc_id", "start"])
     for r in outputs[4].collect():
         flat = [x for part in got[got.doc_id == r.doc_id].ids for x in part]
