@@ -6,15 +6,14 @@ Pair tokens are ``(id, side, i, text, lemma, pos, …)`` with ``side`` 1 or 2. A
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.functions import fixed
 from rostrum.functions import text as T
-from rostrum.operators import ordered
+from rostrum.operators import ordered, similar
 from rostrum.operators.anonymize import pair_text
+from rostrum.streaming import resume
 
 KINDS = ["lexical", "syntactic", "semantic", "coreference", "transition_continue"]
 FINDING = ["id", "kind", "s1_word", "s1_i", "s2_word", "s2_i"]
@@ -142,27 +141,22 @@ def syntactic_links(toks: DataFrame) -> DataFrame:
     return _shared(units, ["head_lemma", "lemma", "dep"], "syntactic", "lemma")
 
 
-def similar_positions(threshold: float):
-    """Arrow function: positions of vector pairs whose cosine reaches the threshold."""
+def vector_classes(vectors: DataFrame) -> DataFrame:
+    """``(lemma, class)``: lemmas with one vector are one class, named by the vector's hash."""
+    name = F.md5(F.array_join(F.col("embedding").cast("array<string>"), ",").cast("binary"))
+    return vectors.select("lemma", name.alias("class"), "embedding")
 
-    @F.pandas_udf("array<struct<a:int,b:int,similarity:double>>")
-    def find(left: pd.Series, right: pd.Series) -> pd.Series:
-        def unit(vectors):
-            m = np.array([np.asarray(v, dtype="float64") for v in vectors])
-            norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
-        out = []
-        for a, b in zip(left, right):
-            if len(a) == 0 or len(b) == 0:
-                out.append([])
-                continue
-            sim = unit(a) @ unit(b).T
-            hits = np.argwhere(sim >= threshold)
-            out.append([{"a": int(p), "b": int(q), "similarity": float(sim[p, q])} for p, q in hits])
-        return pd.Series(out)
-
-    return find
+def similar_classes(
+    vectors: DataFrame, threshold: float = fixed.SIMILARITY_THRESHOLD
+) -> DataFrame:
+    """``(x, y, similarity)``: classes of vectors that are close, both ways and with themselves."""
+    distinct = vector_classes(vectors).groupBy("class").agg(F.first("embedding").alias("embedding"))
+    pairs = resume.cut_lineage(similar.similar_pairs(distinct, threshold, "class"))
+    own = distinct.filter(F.exists("embedding", lambda v: v != 0)).select(
+        F.col("class").alias("x"), F.col("class").alias("y"), F.lit(1.0).alias("similarity")
+    )
+    return own.union(pairs.select("a", "b", "similarity")).union(pairs.select("b", "a", "similarity"))
 
 
 def semantic_links(
@@ -170,35 +164,27 @@ def semantic_links(
 ) -> DataFrame:
     """Token pairs of the two members with different lemmas and a close meaning.
 
-    ``vectors`` is ``(lemma, embedding)``. Each pair of sentences is one row with the
-    distinct lemmas of each member, compared by one matrix product; only the close ones
-    leave it.
+    ``vectors`` is ``(lemma, embedding)``. The close pairs of the vocabulary are found once, by
+    :func:`rostrum.operators.similar.similar_pairs` over its distinct vectors, before any sentence
+    is read. The lemmas of a first member then meet the classes close to their own, and the lemmas
+    of the second by pair and class; no vector goes with them.
     """
     units = toks.filter(F.col("pos").isin(fixed.SEMANTIC_POS)).select(
         "id", "side", "i", F.lower("lemma").alias("lemma")
     )
     units = units.groupBy("id", "side", "lemma").agg(F.array_sort(F.collect_list("i")).alias("at"))
-    known = units.join(vectors.select("lemma", "embedding"), "lemma")
-    item = F.struct("lemma", "at", "embedding")
-    g = known.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("side") == 1, item))).alias("_l"),
-        F.array_sort(F.collect_list(F.when(F.col("side") == 2, item))).alias("_r"),
-    )
-    g = g.filter((F.size("_l") > 0) & (F.size("_r") > 0))
-    close = g.withColumn(
-        "_hits", similar_positions(threshold)(F.col("_l.embedding"), F.col("_r.embedding"))
+    known = units.join(vector_classes(vectors).select("lemma", "class"), "lemma")
+    first = known.filter("side = 1").select(
+        "id", F.col("lemma").alias("s1_word"), F.col("at").alias("_a1"), F.col("class").alias("x")
     )
-    rows = close.select("id", "_l", "_r", F.explode("_hits").alias("_h")).select(
-        "id",
-        F.get("_l", F.col("_h.a")).alias("_x"),
-        F.get("_r", F.col("_h.b")).alias("_y"),
-        F.col("_h.similarity").alias("similarity"),
+    second = known.filter("side = 2").select(
+        "id", F.col("lemma").alias("s2_word"), F.col("at").alias("_a2"), F.col("class").alias("y")
     )
-    rows = rows.filter(F.col("_x.lemma") != F.col("_y.lemma"))
-    rows = rows.withColumn("s1_i", F.explode("_x.at")).withColumn("s2_i", F.explode("_y.at"))
+    rows = first.join(similar_classes(vectors, threshold), "x").join(second, ["id", "y"])
+    rows = rows.filter(F.col("s1_word") != F.col("s2_word"))
+    rows = rows.withColumn("s1_i", F.explode("_a1")).withColumn("s2_i", F.explode("_a2"))
     out = rows.select(
-        "id", F.lit("semantic").alias("kind"), F.col("_x.lemma").alias("s1_word"), "s1_i",
-        F.col("_y.lemma").alias("s2_word"), "s2_i", "similarity",
+        "id", F.lit("semantic").alias("kind"), "s1_word", "s1_i", "s2_word", "s2_i", "similarity"
     )
     return out if score else out.drop("similarity")
 
