@@ -9,6 +9,7 @@ from rostrum.catalog.base import (
 from rostrum.functions import fixed, tails
 from rostrum.functions import text as T
 from rostrum.operators import curate, features, stats
+from rostrum.streaming import resume
 
 SUFFIX = "(" + "|".join(fixed.NOMINAL_SUFFIXES) + ")$"
 SENT_FEATURES = f"""
@@ -104,7 +105,8 @@ FROM l GROUP BY quality, feature""",
 def ag03_features(t):
     feats = features.linguistic_features(with_parse(labelled_tokens(t)))
     rows = feats.join(t.labels.select(F.col("doc_id").cast("string").alias("id"), "quality"), "id")
-    out = stats.describe_by(rows, "quality", SF)
+    # Tagged once: the statistics read their rows several times.
+    out = stats.describe_by(resume.cut_lineage(rows.select("quality", *SF)), "quality", SF)
     return rounded(out.select("quality", "feature", "n", "mean", "median", "min", "max", "sd"))
 
 

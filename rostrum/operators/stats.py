@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions import fixed, tails
-from rostrum.operators import ordered
+from rostrum.operators import ordered, selection
 from rostrum.streaming import resume
 
 
@@ -48,35 +48,35 @@ def _safe_div(a, b) -> Column:
     return F.try_divide(a, b)
 
 
-def value_table(long: DataFrame, by) -> DataFrame:
-    """``(*by, value, _c)``: how often each value occurs, written once for all that reads it."""
-    counts = long.filter(F.col("value").isNotNull()).groupBy(*_list(by), "value").agg(F.count(F.lit(1)).alias("_c"))
-    return resume.cut_lineage(counts)
-
-
 def describe_long(long: DataFrame, by) -> DataFrame:
     """Statistics per group of a long table. Deviation and variance are those of the
     population, skewness is biased and kurtosis is the excess; the mode is the lowest of
-    the most frequent values. The median is exact and comes from value counts."""
+    the most frequent values. The median is exact, see :mod:`rostrum.operators.selection`.
+
+    The table is read once for the moments, once per round of the median, and once for the mode,
+    whose counts are the only step that follows the number of distinct values."""
     by = _list(by)
     v = F.col("value")
-    basic = long.groupBy(*by).agg(
-        F.count(v).alias("n"),
-        F.avg(v).alias("mean"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        (F.max(v) - F.min(v)).alias("range"),
-        F.stddev_pop(v).alias("sd"),
-        F.var_pop(v).alias("variance"),
-        F.skewness(v).alias("skewness"),
-        F.kurtosis(v).alias("kurtosis"),
+    basic = resume.cut_lineage(
+        long.groupBy(*by).agg(
+            F.count(v).alias("n"),
+            F.avg(v).alias("mean"),
+            F.min(v).alias("min"),
+            F.max(v).alias("max"),
+            (F.max(v) - F.min(v)).alias("range"),
+            F.stddev_pop(v).alias("sd"),
+            F.var_pop(v).alias("variance"),
+            F.skewness(v).alias("skewness"),
+            F.kurtosis(v).alias("kurtosis"),
+            *selection.extremes_of(v),
+        )
     )
-    counts = value_table(long, by)
+    counts = long.filter(v.isNotNull()).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_c"))
     modes = counts.groupBy(*by).agg(
-        F.min_by("value", F.struct((-F.col("_c")).alias("c"), F.col("value").alias("v"))).alias("mode")
+        F.min_by("value", F.struct((-F.col("_c")).alias("c"), v.alias("v"))).alias("mode")
     )
-    medians = ordered.count_quantiles(counts, by, "value", {"median": 0.5})
-    out = ordered.match_groups(basic, modes, by)
+    medians = selection.quantiles(long, by, {"median": 0.5}, extremes=basic.select(*by, "_n", "_lo", "_hi"))
+    out = ordered.match_groups(basic.drop("_n", "_lo", "_hi"), modes, by)
     return ordered.match_groups(out, medians, by)
 
 
@@ -386,17 +386,19 @@ def histogram(df: DataFrame, by, cols, bins: int = 20) -> DataFrame:
 
 
 def box_summary(df: DataFrame, by, cols) -> DataFrame:
-    """Quartiles, whiskers at 1.5 × IQR and the number of outliers per group."""
+    """Quartiles, whiskers at 1.5 × IQR and the number of outliers per group: the quartiles by
+    selection, the rest by one more aggregate of the rows."""
     by = _list(by)
     keys = by + ["feature"]
-    counts = value_table(melt(df, by, cols), keys)
-    q = ordered.count_quantiles(counts, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    x = ordered.match_groups(counts, q, keys)
+    long = melt(df, by, cols).filter(F.col("value").isNotNull())
+    points = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    q = resume.cut_lineage(selection.quantiles(long, keys, points))
+    x = ordered.match_groups(long, q, keys)
     v, iqr = F.col("value"), F.col("q3") - F.col("q1")
     inside = v.between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
     return x.groupBy(*keys).agg(
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("_c"))), F.lit(0)).alias("outliers"),
+        F.count_if(~inside).alias("outliers"),
     )
