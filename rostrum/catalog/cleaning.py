@@ -97,7 +97,18 @@ def tx05a(t):
     return cleaned(t, clean.drop_speaker_prefix("text", "reference"))
 
 
-@query("tx05b_unopened_brackets")
+# A closing bracket was never opened where the running balance falls below all before it.
+UNOPENED = f"""WITH src AS (SELECT doc_id, 'a (b) c] d) ' || text AS text FROM documents),
+ch AS (SELECT doc_id, i, substr(text, i, 1) AS c FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM src) WHERE substr(text, i, 1) IN ('(', ')', '[', ']')),
+bal AS (SELECT doc_id, i, c, sum(CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w AS r, sum(CASE c WHEN '[' THEN 1 WHEN ']' THEN -1 ELSE 0 END) OVER w AS s
+  FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+low AS (SELECT doc_id, i, c, r, s, least(0, min(r) OVER p) AS r0, least(0, min(s) OVER p) AS s0 FROM bal
+  WINDOW p AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT doc_id, max(i) AS place FROM low WHERE (c = ')' AND r < coalesce(r0, 0)) OR (c = ']' AND s < coalesce(s0, 0)) GROUP BY doc_id)
+SELECT doc_id, regexp_replace(substr(text, coalesce(place, 0) + 1), '^\\s+|\\s+$', '', 'g') AS text FROM src LEFT JOIN cut USING (doc_id)"""
+
+
+@query("tx05b_unopened_brackets", UNOPENED)
 def tx05b(t):
     return t.documents.select(
         "doc_id", clean.drop_unopened(F.concat(F.lit("a (b) c] d) "), F.col("text"))).alias("text")
@@ -148,7 +159,21 @@ def tx09(t):
     return cleaned(t, clean.placeholders("text"))
 
 
-@query("tx10_entity_placeholders")
+# Entities in order of their first occurrence, each replaced in the text that the one before left.
+ENTITIES = """list_concat(list_transform(regexp_extract_all(text, '\\d+'), lambda x: {'l': 'NUMBER', 't': x}),
+  list_transform(regexp_extract_all(text, '\\b(?:june|the)\\b'), lambda x: {'l': 'DATE', 't': x}))"""
+BARE = sub(sub("text", EMOJI, "EMOJI"), fixed.BARE_NUMBER, "NUMBER")
+
+
+@query(
+    "tx10_entity_placeholders",
+    f"""WITH src AS (SELECT doc_id, {BARE} AS bare, {ENTITIES} AS every FROM {SOURCE}),
+one AS (SELECT doc_id, bare, list_filter(every, lambda x, i: list_position(every, x) = i) AS ents FROM src),
+done AS (SELECT doc_id, (list_reduce(list_prepend({{'l': '', 't': bare}}, ents), lambda a, e: {{'l': '', 't': replace(a.t, e.t, e.l)}})).t AS text FROM one)
+SELECT doc_id, """ + sub(sub(sub("text",
+        r"(^|[^-0-9A-Za-z_])\d{2,4}'?s([^-0-9A-Za-z_]|$)", r"\1DATE\2"), fixed.NUMERIC_DATE, "DATE"), fixed.CLOCK_TIME, "TIME")
+    + " AS text FROM done",
+)
 def tx10(t):
     from rostrum.operators.anonymize import spans_of
 

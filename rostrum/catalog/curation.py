@@ -1,5 +1,7 @@
 """Dedupe, balance, split, scale, set operations, lookups, sources."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rostrum.catalog.base import LABELLED_SQL, Tables, labelled, q, query, rounded, sents_sql, doc_sentences
@@ -256,6 +258,15 @@ def io08(t):
     return tables.scan(t.pages.select("page_id", "url"))
 
 
+@query("io08_scan_limit", "SELECT least(25, count(*)) AS n, 0 AS strangers FROM pages")
+def io08_limit(t):
+    some = tables.scan(t.pages.select("page_id", "url"), 25)
+    known = t.pages.select("page_id", "url", F.lit(1).alias("known")).distinct()
+    return some.join(known, ["page_id", "url"], "left").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("known").isNull()).alias("strangers")
+    )
+
+
 @query(
     "io11_upsert",
     """SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)
@@ -289,6 +300,20 @@ def io15(t):
     return resume.unprocessed(t.events.select("event_id", "user_id"), done, "user_id")
 
 
+@query("io15_resumed_stream", "SELECT event_id, user_id, event_type FROM events WHERE user_id % 3 <> 0")
+def io15_stream(t):
+    """The files of the table as a stream; a second start finds nothing new and adds nothing."""
+    folder = f"{resume.shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    for _ in range(2):
+        resume.process_new(
+            # A pattern: the table may be one file or a folder of files.
+            t.spark, f"{t.folder}/events.parque[t]", t.events.schema,
+            lambda new: new.filter("user_id % 3 <> 0").select("event_id", "user_id", "event_type"),
+            f"{folder}/rows", f"{folder}/checkpoint", "parquet",
+        )
+    return t.spark.read.parquet(f"{folder}/rows").select("event_id", "user_id", "event_type")
+
+
 @query("io_parse_literal", "SELECT event_id, CAST(props::JSON->>'k' AS BIGINT) AS k FROM events")
 def io_literal(t):
     cell = F.replace("props", F.lit('"'), F.lit("'"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from rostrum.catalog.base import (
     ANN_LABELLED, Tables, ann_docs, doc_sentences, doc_tokens, labelled_tokens, q, query, r6, rounded, sents_sql,
-    sql_list, tagged_sentences,
+    sql_list, tagged_sentences, with_parse,
 )
+from rostrum.catalog.statistics import SENT_FEATURES
 from rostrum.functions import fixed
 from rostrum.functions import text as T
 from rostrum.operators import annotate, anonymize, features, gazetteer, spans, stance, terms
@@ -87,7 +88,21 @@ def st04(t):
     return stance.word_hits(toks, lex).unionByName(stance.phrase_hits(gathered(t, toks), lex))
 
 
-@query("st05_pattern_hits")
+# Spans of kept tokens by pattern; longest first, then leftmost, those that overlap an earlier one are dropped.
+PATTERN_HITS = f"""
+kt AS (SELECT id, sent_i, k, pos, lemma, lead(lower(text)) OVER w AS w1, lead(lemma) OVER w AS l1, lead(pos) OVER w AS p1, lead(pos, 2) OVER w AS p2
+  FROM (SELECT *, row_number() OVER (PARTITION BY id, sent_i ORDER BY i) - 1 AS k FROM ann WHERE text NOT IN {sql_list(fixed.DROPPED_PUNCT)})
+  WINDOW w AS (PARTITION BY id, sent_i ORDER BY k)),
+sp AS (SELECT id, sent_i, 'pro' AS category, 'VERB' AS pos, k AS start, k + 2 AS "end" FROM kt WHERE pos = 'VERB' AND p1 IN ('ADV', 'ADJ')
+  UNION SELECT id, sent_i, 'pro', 'VERB', k, k + 3 FROM kt WHERE pos = 'VERB' AND w1 IN ('the', 'of') AND p2 IN ('ADV', 'ADJ')
+  UNION SELECT id, sent_i, 'con', 'ADJ', k, k + 2 FROM kt WHERE pos = 'ADJ' AND (l1 IN ('of', 'the') OR p1 = 'NOUN')),
+gr AS (SELECT id, sent_i, category, pos, list_reduce(list([struct_pack(s := start, e := "end")] ORDER BY start - "end", start),
+  lambda kept, x: CASE WHEN len(list_filter(kept, lambda h: x[1].s < h.e AND x[1].e > h.s)) > 0 THEN kept ELSE list_concat(kept, x) END) AS kept
+  FROM sp GROUP BY ALL)
+SELECT id, sent_i, category, pos, m.s AS start, m.e AS "end" FROM (SELECT id, sent_i, category, pos, unnest(kept) AS m FROM gr)"""
+
+
+@query("st05_pattern_hits", f"{ann_docs()},{PATTERN_HITS}")
 def st05(t):
     return stance.pattern_hits(tagged_sentences(t), PATTERNS).drop("kind")
 
@@ -322,21 +337,44 @@ def an04(t):
 POOLS = {"NOUN": ["thing", "item", "part"], "VERB": ["make", "take"], "ADV": ["now"]}
 
 
+BIASED = ["ed", "ing", "ly", "thly", "thatin", "rewh"]
+CHOICE = "CAST('0x' || substr(md5('42-' || id || '-' || sent_i || '-' || i), 1, 8) AS BIGINT)"
+PICKED = " ".join(
+    f"WHEN pos = '{pos}' THEN [{', '.join(map(q, pool))}][{CHOICE} % {len(pool)} + 1]" for pos, pool in POOLS.items()
+)
+# White space after a token belongs to it.
+NEUTRAL = f"""{ann_docs()},
+ws AS (SELECT id, sent_i, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i FROM (
+  SELECT id, sent_i, regexp_extract_all(sentence, '(?:{T.TOKEN})\\s*') AS pieces FROM sents)),
+pk AS (SELECT id, sent_i, i, CASE WHEN lemma NOT IN {sql_list(BIASED)} OR is_stop OR kind = 'punct' THEN text {PICKED} ELSE text END
+  || substr(piece, length(text) + 1) AS w FROM ann JOIN ws USING (id, sent_i, i))
+SELECT id, string_agg(w, '' ORDER BY sent_i, i) AS text FROM pk GROUP BY id"""
+
+
 def neutral(t):
-    biased = ["ed", "ing", "ly", "thly", "thatin", "rewh"]
-    return anonymize.neutralize(doc_tokens(t), biased, POOLS)
+    return anonymize.neutralize(doc_tokens(t), BIASED, POOLS)
 
 
-@query("an05_neutralize")
+@query("an05_neutralize", NEUTRAL)
 def an05(t):
     return neutral(t)
 
 
-@query("an06_feature_shift")
+def document_means_sql(ann: str) -> str:
+    means = ", ".join(f"avg({f}) AS {f}" for f in features.SENTENCE_FEATURES)
+    return f"({ann},{SENT_FEATURES} SELECT id, {means}, sum(chars) / sum(sentence_length) AS word_length FROM fs GROUP BY id)"
+
+
+@query(
+    "an06_feature_shift",
+    f"SELECT b.id, " + ", ".join(
+        f"round(b.{f}, 6) AS {f}_before, round(a.{f}, 6) AS {f}_after, round(a.{f} - b.{f}, 6) AS {f}_shift" for f in features.FEATURES)
+    + f" FROM {document_means_sql(ann_docs())} b JOIN {document_means_sql(ann_docs(source=f'(SELECT id AS doc_id, text FROM ({NEUTRAL}))'))} a USING (id)",
+)
 def an06(t):
     toks = doc_tokens(t)
     changed = annotate.tokens(annotate.sentences(neutral(t), "id", "text"))
-    before, after = (features.document_means(x) for x in (toks, changed))
+    before, after = (features.document_means(with_parse(x)) for x in (toks, changed))
     return rounded(anonymize.feature_shift(before, after))
 
 

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from rostrum.catalog.base import (
-    ANN_LABELLED, LABELLED_SQL, Tables, ann_docs, doc_tokens, labelled_tokens, parsed_in_row, query, r6,
-    rounded, sql_list, tagged_sentences, with_parse,
+    ANN_LABELLED, LABELLED_SQL, Tables, ann_docs, doc_tokens, labelled_tokens, query, r6,
+    rounded, sql_list, with_parse,
 )
 from rostrum.functions import fixed, tails
 from rostrum.functions import text as T
@@ -61,7 +61,7 @@ def ag02(t):
 
 @query("ag02_document_means", ann_docs() + "," + SENT_FEATURES + f" SELECT id, {MEANS} FROM fs GROUP BY id")
 def ag02_direct(t):
-    return rounded(features.document_means(parsed_in_row(tagged_sentences(t))))
+    return rounded(features.document_means(with_parse(doc_tokens(t))))
 
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

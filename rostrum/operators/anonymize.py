@@ -91,12 +91,13 @@ def anonymize_pairs(pairs: DataFrame, entities: DataFrame, extra=None, text="tex
 def neutralize(toks: DataFrame, words, pools: dict, seed: int = 42) -> DataFrame:
     """Replace biased words by neutral words of the same class and rebuild the text.
 
-    The choice is a hash of ``(id, sent_i, i, seed)``: the same on every run and every
-    partitioning. White space is kept. Returns ``(id, text)``.
+    The choice is the MD5 of ``seed-id-sent_i-i``: the same on every run, every partitioning
+    and in every engine. White space is kept. Returns ``(id, text)``.
     """
     picked = F.col("text")
     biased = F.col("lemma").isin(list(words)) & ~F.col("is_stop") & ~F.col("is_punct")
-    at = F.xxhash64("id", "sent_i", "i", F.lit(seed))
+    name = F.md5(F.concat_ws("-", F.lit(str(seed)), "id", "sent_i", "i").cast("binary"))
+    at = F.conv(F.substr(name, F.lit(1), F.lit(8)), 16, 10).cast("long")
     for pos, pool in pools.items():
         options = F.array(*[F.lit(w) for w in pool])
         choice = F.get(options, F.pmod(at, F.lit(len(pool)).cast("long")).cast("int"))

@@ -4,11 +4,11 @@ Every wanted rank of every group starts with the bracket of its group's smallest
 A round counts the rows of all open brackets in bins, map-side first, so that a task hands on at
 most ``BINS`` rows per bracket, with the smallest and largest value of each bin. The bin that holds the
 rank is the next bracket, as narrow as its values. A bracket of one value is settled. One round
-settles columns of few values, two or three columns of continuous ones.
+settles columns of few values.
 
 Bins have equal widths; where a bracket spans orders of magnitude on one side of zero they have equal
 ratios, and a bracket on both sides is cut at zero after the first round, so heavy tails come to
-an end as fast. Each bin function is monotone, and the ends of a bracket never share a bin: rounds
+an end as fast. A bracket of at most ``HELD`` rows is settled by its sorted values. Each bin function is monotone, and the ends of a bracket never share a bin: rounds
 always narrow. Infinities and NaN, which is above all numbers, have bins of their own.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from rostrum.streaming import resume
 
 BINS = 4096
+HELD = 4096
 RATIO = 1000.0
 MOST = "cast('Infinity' as double)"
 LEAST = "cast('-Infinity' as double)"
@@ -88,16 +89,29 @@ def at_ranks(rows: DataFrame, by, wanted: DataFrame) -> DataFrame:
         state = resume.cut_lineage(
             state.join(right, same & holds).select(
                 *by, "_rank", F.col("_least").alias("_lo"), F.col("_most").alias("_hi"),
-                (F.col("_upto") - F.col("_c")).alias("_below"),
+                (F.col("_upto") - F.col("_c")).alias("_below"), "_c",
             )
         )
         done = state.filter("_lo = _hi").select(*by, "_rank", F.col("_lo").alias("_x"))
         settled = done if settled is None else settled.union(done)
-        state, first = state.filter("_lo < _hi"), False
+        few = state.filter(f"_lo < _hi AND _c <= {HELD}")
+        settled = settled.union(_sorted(rows, by, few))
+        state, first = state.filter(f"_lo < _hi AND _c > {HELD}").drop("_c"), False
         if state.isEmpty():
             return settled
 
 
+def _sorted(rows: DataFrame, by, few: DataFrame) -> DataFrame:
+    """The values at the ranks of brackets that hold few rows."""
+    place = [*by, "_lo", "_hi", "_below"]
+    same, right = _same(rows, few.select(*place).distinct(), by)
+    met = rows.join(right, same & F.col("_x").between(F.col("_lo"), F.col("_hi")))
+    held = met.groupBy(*place).agg(F.sort_array(F.collect_list("_x")).alias("_all"))
+    same, right = _same(few, held, place)
+    at = F.get("_all", (F.col("_rank") - F.col("_below")).cast("int"))
+    return few.join(right, same).select(*by, "_rank", at.alias("_x"))
+
+
 def quantiles(
     long: DataFrame, by, points: dict, value: str = "value", extremes: DataFrame | None = None
 ) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -36,7 +37,9 @@ def check(spark, groups):
             assert not vs or same(got[g][name], plain(vs, q)), (g, name, got[g][name], plain(vs, q))
 
 
-def test_equals_sorted_values(spark):
+@pytest.mark.parametrize("held", [0, 60, selection.HELD])
+def test_equals_sorted_values(spark, monkeypatch, held):
+    monkeypatch.setattr(selection, "HELD", held)
     rng = np.random.default_rng(2)
     inf, nan = math.inf, math.nan
     check(spark, {
