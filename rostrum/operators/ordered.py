@@ -62,8 +62,8 @@ def with_range(df: DataFrame, key: Column, out: str = "_range") -> DataFrame:
     return df.withColumn(out, F.coalesce(found, F.lit(0))).drop("_bounds")
 
 
-def running_totals(df: DataFrame, values: dict, order_by, by=(), whole: str = "") -> DataFrame:
-    """Inclusive running sum of each ``values[name]`` within ``by``.
+def running_totals(df: DataFrame, values: dict, order_by, by=(), whole: str = "", least: bool = False) -> DataFrame:
+    """Inclusive running sum of each ``values[name]`` within ``by``; ``least``: the running minimum.
 
     ``order_by`` must identify a row within ``by``: break ties with an id. With ``whole``
     the sum over the whole group is added as ``name + whole``; it comes for free.
@@ -75,8 +75,9 @@ def running_totals(df: DataFrame, values: dict, order_by, by=(), whole: str = ""
         {"_group": group, **{f"_v_{name}": v for name, v in values.items()}}
     )
     work = with_range(work, key)
+    taken = F.min if least else F.sum
     totals = work.groupBy("_group", "_range").agg(
-        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values]
+        *[taken(f"_v_{n}").alias(f"_t_{n}") for n in values]
     )
     # One row per group and range: small, whatever the number of rows.
     earlier = (
@@ -86,9 +87,10 @@ def running_totals(df: DataFrame, values: dict, order_by, by=(), whole: str = ""
     offsets = totals.select(
         F.col("_group").alias("_og"),
         F.col("_range").alias("_or"),
-        *[F.sum(f"_t_{n}").over(group).alias(f"_w_{n}") for n in values if whole],
+        *[taken(f"_t_{n}").over(group).alias(f"_w_{n}") for n in values if whole],
         *[
-            F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_e_{n}")
+            (taken(f"_t_{n}").over(earlier) if least else F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)))
+            .alias(f"_e_{n}")
             for n in values
         ],
     )
@@ -97,14 +99,18 @@ def running_totals(df: DataFrame, values: dict, order_by, by=(), whole: str = ""
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    work = work.withColumns({f"_r_{n}": F.sum(f"_v_{n}").over(inside) for n in values})
+    work = work.withColumns({f"_r_{n}": taken(f"_v_{n}").over(inside) for n in values})
     # A struct equals itself even with NULL inside, and plain equality lets the join
     # reuse the partitioning of the window.
     same = (F.col("_group") == F.col("_og")) & (F.col("_range") == F.col("_or"))
     out = work.join(offsets, same)
     return out.select(
         *[F.col(f"`{c}`") for c in df.columns],
-        *[(F.col(f"_r_{n}") + F.col(f"_e_{n}")).alias(n) for n in values],
+        # Of a minimum and nothing earlier, the minimum.
+        *[
+            (F.least(f"_r_{n}", f"_e_{n}") if least else F.col(f"_r_{n}") + F.col(f"_e_{n}")).alias(n)
+            for n in values
+        ],
         *[F.col(f"_w_{n}").alias(n + whole) for n in values if whole],
     )
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,30 +205,28 @@ def log_t_tests(long: DataFrame, label, classes, alpha: float = 0.05) -> DataFra
 def correct(df: DataFrame, p="p", alpha: float = 0.05, by=()) -> DataFrame:
     """Bonferroni and Benjamini-Hochberg corrected p values and reject flags.
 
-    ``df`` has one row per tested feature; a family of tests is one window partition.
+    ``df`` has one row per tested feature. A family may hold most of them: its p values are counted,
+    summed up in ranges of p for the ranks, and the step-up is a running minimum over the same kind
+    of ranges from the largest p down. A row without a p value counts for nothing and gets 1.
     """
-    family = Window.partitionBy(*(by or [F.lit(0)]))
-    m = F.count(F.col(p)).over(family)
-    rank = F.rank().over(family.orderBy(F.col(p).asc_nulls_last()))
-    ties = F.count(F.lit(1)).over(family.orderBy(F.col(p).asc_nulls_last()).rangeBetween(0, 0))
-    out = df.withColumns({"_m": m, "_rank": rank + ties - 1})
-    running = family.orderBy(F.col(p).desc_nulls_first()).rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    out = out.withColumns(
-        {
-            "bonferroni": F.least(F.lit(1.0), F.col(p) * F.col("_m")),
-            "bh": F.least(
-                F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(running)
-            ),
-        }
+    by = _list(by)
+    counts = resume.cut_lineage(
+        df.filter(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
     )
-    return out.withColumns(
-        {
-            "reject_bonferroni": F.col("bonferroni") <= alpha,
-            "reject_bh": F.col("bh") <= alpha,
-        }
-    ).drop("_m", "_rank")
+    ranked = ordered.running_totals(counts, {"_rank": F.col("_c")}, "_p", by, whole="_all")
+    ranked = resume.cut_lineage(ranked.withColumnRenamed("_rank_all", "_m"))
+    step = F.col("_p") * F.col("_m") / F.col("_rank")
+    stepped = ordered.running_totals(ranked, {"_bh": step}, -F.col("_p"), by, least=True)
+    stepped = stepped.select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(by)], "_p", "_m", "_bh")
+    same = F.col(p) == F.col("_p")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{k}"))
+    out = df.join(stepped, same, "left").withColumns({
+        "bonferroni": F.least(F.lit(1.0), F.col(p) * F.col("_m")), "bh": F.least(F.lit(1.0), F.col("_bh")),
+    })
+    return out.withColumns({
+        "reject_bonferroni": F.col("bonferroni") <= alpha, "reject_bh": F.col("bh") <= alpha,
+    }).drop("_m", "_bh", "_p", *[f"_g{k}" for k in range(len(by))])
 
 
 def yates(a, b, c, d) -> Column:
@@ -358,15 +357,55 @@ def jarque_bera(df: DataFrame, by, cols, alpha: float = 0.05) -> DataFrame:
     return out.withColumn("normal", F.col("p") > alpha)
 
 
-def ks_normality(df: DataFrame, col: str):
-    """Kolmogorov-Smirnov test of one column against the normal law with its own mean
-    and deviation. Returns the test row of Spark ML."""
-    from pyspark.ml.stat import KolmogorovSmirnovTest
+# Terms of the series of the normal law, and how far out it is 0 or 1 to all digits.
+TERMS, FAR = 120, 8.0
+
+
+def normal_cdf(z: Column) -> Column:
+    """Normal distribution function: ``1/2 + phi(z) (z + z^3/3 + z^5/15 + ...)``, by Horner's rule."""
+    square = z * z
+    inner = F.aggregate(
+        F.sequence(F.lit(TERMS), F.lit(1), F.lit(-1)), F.lit(1.0),
+        lambda acc, k: F.lit(1.0) + acc * square / (2 * k + 1),
+    )
+    near = 0.5 + z * inner * F.exp(-square / 2) / float(np.sqrt(2 * np.pi))
+    return F.when(z < -FAR, 0.0).when(z > FAR, 1.0).otherwise(near)
+
+
+def kolmogorov_p(d: Column, n: Column) -> Column:
+    """Limit of the chance of a gap above ``d``: ``2 sum (-1)^(k-1) exp(-2 k^2 n d^2)``."""
+    x = n * d * d
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(100)), F.lit(0.0),
+        lambda acc, k: acc + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x),
+    )
+    return F.when(x < 0.04, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+
+
+def ks_normality(df: DataFrame, by, cols, alpha: float = 0.05) -> DataFrame:
+    """Kolmogorov-Smirnov test per class and feature against the normal law with the group's own
+    mean and sample deviation: ``n, statistic, p, normal``.
 
-    m, s = df.agg(F.avg(col), F.stddev_samp(col)).first()
-    return KolmogorovSmirnovTest.test(
-        df.select(F.col(col).cast("double").alias(col)).dropna(), col, "norm", float(m), float(s)
+    Equal values are counted, the counts summed up in ranges of values, and the largest gap on either
+    side of each step taken by one aggregate: no group is sorted in one task. ``p`` is Kolmogorov's
+    limit for a law given beforehand, so with fitted parameters it is too large. A constant feature
+    and one of fewer than two values have no statistic.
+    """
+    keys = [*_list(by), "feature"]
+    long = melt(df, by, cols).select(*keys, F.col("value").cast("double").alias("value")).filter("value IS NOT NULL")
+    fitted = long.groupBy(*keys).agg(
+        F.count("value").alias("n"), F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_sd")
+    )
+    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_c"))
+    run = ordered.running_totals(resume.cut_lineage(counts), {"_upto": F.col("_c")}, "value", keys)
+    x = ordered.match_groups(run, fitted, keys)
+    x = x.withColumn("_f", normal_cdf(F.try_divide(F.col("value") - F.col("_mean"), F.col("_sd"))))
+    gap = F.greatest(
+        F.col("_upto") / F.col("n") - F.col("_f"), F.col("_f") - (F.col("_upto") - F.col("_c")) / F.col("n")
     )
+    out = x.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.when(F.col("_f").isNotNull(), gap)).alias("statistic"))
+    out = out.withColumn("p", kolmogorov_p(F.col("statistic"), F.col("n")))
+    return out.withColumns({"p": F.when(F.col("statistic").isNotNull(), F.col("p")), "normal": F.col("p") > alpha})
 
 
 # --- shapes of distributions ----------------------------------------------------

@@ -136,8 +136,44 @@ def test_ks_statistic_by_its_definition(spark):
     sd = math.sqrt(sum((x - mean) ** 2 for x in values) / (n - 1))
     cdf = [(1 + math.erf((x - mean) / sd / math.sqrt(2))) / 2 for x in values]
     want = max(max((k + 1) / n - c, c - k / n) for k, c in enumerate(cdf))
-    row = stats.ks_normality(spark.createDataFrame([(x,) for x in values], "value double"), "value").first()
-    assert row["statistic"] == pytest.approx(want, abs=1e-9)
+    rows = [(c, x) for c in ("a", None) for x in values] + [("one", 3.0), ("same", 1.0), ("same", 1.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, value double")
+    got = {r.g: r for r in stats.ks_normality(df, "g", ["value"]).collect()}
+    assert set(got) == {"a", None, "one", "same"}
+    series = sum(2 * (-1) ** (k - 1) * math.exp(-2 * k * k * n * want * want) for k in range(1, 101))
+    for c in ("a", None):
+        assert got[c].statistic == pytest.approx(want, abs=1e-9) and got[c].n == n
+        assert got[c].p == pytest.approx(min(1.0, series), abs=1e-9) and got[c].normal == (series > 0.05)
+    assert got["one"].statistic is None and got["same"].p is None
+
+
+def test_normal_law(spark):
+    from pyspark.sql import functions as F
+
+    zs = [-30.0, -8.0, -5.5, -1.0, 0.0, 0.3, 2.0, 6.0, 7.9, 40.0]
+    rows = spark.createDataFrame([(z,) for z in zs], "z double").select("z", stats.normal_cdf(F.col("z")).alias("f")).collect()
+    for r in rows:
+        assert r.f == pytest.approx((1 + math.erf(r.z / math.sqrt(2))) / 2, abs=1e-12)
+
+
+def test_step_up_of_a_large_family(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [("big", i, rng.choice([0.0, 1.0, round(rng.random() ** 3, 3)])) for i in range(900)]
+    rows += [(None, 1000 + i, 0.01 * (i + 1)) for i in range(5)] + [("big", 2000, None), ("none", 2001, None)]
+    out = stats.correct(spark.createDataFrame(rows, "family string, i int, p double"), by=["family"])
+    got = {r.i: r for r in out.collect()}
+    assert len(got) == len(rows) and out.columns[:3] == ["family", "i", "p"]
+    for family in ("big", None):
+        known = sorted((r[2], r[1]) for r in rows if r[0] == family and r[2] is not None)
+        best, m = 1.0, len(known)
+        for rank in range(m, 0, -1):
+            p, i = known[rank - 1]
+            best = min(best, p * m / rank)
+            assert got[i].bh == pytest.approx(best, abs=1e-12) and got[i].bonferroni == pytest.approx(min(1.0, p * m))
+            assert got[i].reject_bh == (got[i].bh <= 0.05)
+    assert got[2000].bh == got[2001].bonferroni == 1.0
 
 
 def test_class_bias_is_term_bias_of_two_tables(spark):
