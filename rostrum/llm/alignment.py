@@ -26,7 +26,6 @@ import functools
 import gc
 import os
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.llm import arrow, folder
-from rostrum.llm.pieces import BYTE, model_of
+from rostrum.llm.pieces import BYTE, PART_BYTES, model_of
 
 BLOCK_BYTES = 32_000_000
-KEPT_WINDOWS = 400_000
-SLICE_BYTES = 4_000_000
+KEPT_WINDOWS = 150_000
+SLICE_BYTES = 1_000_000
 # Longer windows are aligned, too, but not kept.
 KEPT_IDS = 64
 
@@ -121,20 +120,25 @@ class Pair:
         # Of each window: number of groups, and the run of its links in ``codes``.
         self.groups, self.starts, self.widths, self.codes = (np.zeros(0, np.int64) for _ in range(4))
 
-    def encode_a(self, texts: list[str]) -> list[list[int]]:
+    def encode_a(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text behind a space."""
         out: list = [None] * len(texts)
         rest = []
         for k, t in enumerate(texts):
             if self.quick and _SETTLED.fullmatch(t) and not _has_long_run(t):
-                out[k] = self.quick.encode_ordinary(" " + t)
+                out[k] = np.array(self.quick.encode_ordinary(" " + t), np.int32)
             else:
                 rest.append(k)
         if rest:
             for k, e in zip(rest, self.whole.encode_batch([" " + texts[k] for k in rest], add_special_tokens=False)):
-                out[k] = e.ids
+                out[k] = np.array(e.ids, np.int32)
         return out
 
+    def encode_b(self, texts: list[str]) -> list[np.ndarray]:
+        if any(len(t) >= PART_BYTES for t in texts):
+            return self.model.ids(texts)
+        return [x.astype(np.int32) for x in self.model.lib.encode(texts, num_threads=1, return_type="numpy")]
+
     def align(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> None:
         """Add the alignments of windows, their ids given end to end on both sides."""
         ends_a, ends_b = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
@@ -208,14 +212,14 @@ class Slice:
     """Some texts, aligned: arrays over documents, and over their windows."""
 
     def __init__(self, pair: Pair, texts: list[str]):
-        found_a, found_b = pair.encode_a(texts), pair.model.ids(texts)
+        found_a, found_b = pair.encode_a(texts), pair.encode_b(texts)
         n = len(texts)
         for k, t in enumerate(texts):
             if not t:
-                found_a[k], found_b[k] = [], np.zeros(0, np.int32)
+                found_a[k] = found_b[k] = np.zeros(0, np.int32)
         count_a = np.array([len(x) for x in found_a], np.int64)
         count_b = np.array([len(x) for x in found_b], np.int64)
-        a = np.fromiter(chain.from_iterable(found_a), np.int32, int(count_a.sum()))
+        a = np.concatenate([np.zeros(0, np.int32), *found_a]).astype(np.int32)
         b = np.concatenate([np.zeros(0, np.int32), *found_b]).astype(np.int32)
         a, b, count_a, count_b = self._spelled(pair, texts, a, b, count_a, count_b)
         self.n_a, self.n_b = count_a, count_b
