@@ -69,6 +69,8 @@ class WordIds:
         # A word that may hold one of the vocabulary's added tokens goes through the whole tokenizer.
         added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.added = regex.compile("|".join(map(regex.escape, added)) or "(?!)", regex.IGNORECASE)
+        # Most words do not hold what all of them begin with.
+        self.sign = os.path.commonprefix(added)
         self.merges = Tokenizer(self.whole.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         names = self.whole.get_vocab()
@@ -99,7 +101,8 @@ class WordIds:
 
     def _encode(self, texts: list[str]) -> list[tuple[int, ...]]:
         split = [
-            _PARTS.findall(t.lower()) if _PLAIN.fullmatch(t) and not self.added.search(t) else None for t in texts
+            _PARTS.findall(t.lower()) if _PLAIN.fullmatch(t) and not (self.sign in t and self.added.search(t)) else None
+            for t in texts
         ]
         known = self.parts
         self._merge(list(dict.fromkeys(p for s in split if s for p in s if p not in known)))
