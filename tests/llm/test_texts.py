@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rostrum.llm import arrow, decontaminate, pages, passages, surrogates
@@ -327,6 +328,49 @@ def test_passages_do_not_depend_on_smaller_documents(docs):
     assert got == {(3, 20, 70, 7), (7, 70, 120, 3), (20, 0, 60, 21), (21, 35, 95, 20)}
 
 
+def test_recall_of_passages_against_all_pairs(docs):
+    """Near copies of passages at many similarities, beside a stock line that all documents have."""
+    rng = random.Random(23)
+    fresh = lambda n: [f"h{rng.randrange(10**9)}" for _ in range(n)]
+    stock, texts = fresh(40), []
+    for k in range(30):
+        passage = fresh(rng.randrange(55, 160))
+        for edits in (0, len(passage) // (30 + 3 * k)):
+            some = list(passage)
+            for at in rng.sample(range(5, len(some) - 5), edits):
+                some[at] = f"edit{rng.randrange(10**9)}"
+            texts.append(" ".join(fresh(20) + some + stock + fresh(15)))
+    signs = []
+    for w in arrow.words(pa.array(texts, pa.large_string())):
+        hashes, bounds = arrow.shingles(w, 5)
+        signs += [hashes[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+    true = {}
+    for j in range(len(texts)):
+        for i in range(j):
+            for a0, a1, b0, b1 in passages.passages(signs[j], signs[i], np.ones(len(signs[j]), bool), 46):
+                true.setdefault(j, set()).update(range(a0, a1 + 5))
+                true.setdefault(i, set()).update(range(b0, b1 + 5))
+    got = {}
+    for r in passages.repeated(docs(texts)).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    found = sum(len(v & got.get(d, set())) for d, v in true.items())
+    assert len(true) > 40 and found >= 0.9 * sum(map(len, true.values()))
+
+
+def test_pairs_of_windows_hold_every_stretch():
+    rng = np.random.default_rng(3)
+    least, values = 6, [arrow.mix(rng.integers(0, 60, 40).astype(np.uint64) + np.uint64(s)) for s in (1, 100)]
+    rows = [passages.windows(v, np.array([0, 40]), least) for v in values]
+    function = np.repeat([0, 1], [len(r[0]) for r in rows])
+    centre, first, last = (np.concatenate(c) for c in zip(*rows))
+    key = np.concatenate([v[r[0]] for v, r in zip(values, rows)]).view(np.int64)
+    p, q = passages.pairs_of_windows(key, function, first, last, centre, least)
+    got = set(zip(centre[p].tolist(), centre[q].tolist()))
+    for i in range(40 - least + 1):
+        assert tuple(i + int(np.argmin(v[i : i + least])) for v in values) in got
+    assert passages.within(np.array([[0, 9], [3, 20]]), np.array([2, 4, 0]), np.array([9, 20, 12])).tolist() == [True, True, False]
+
+
 def test_nothing_of_a_long_secret_or_name_is_left(docs):
     rng = random.Random(3)
     letters = "ABCDEFGHabcdefgh0123456789_-"
