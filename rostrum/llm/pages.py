@@ -18,9 +18,9 @@ Markup says where a run may be boilerplate:
 
 Hosts are dealt into shards of about ``SHARD`` bytes of html by a hash of the page, so that a
 host with a third of all pages is spread. Evidence counts over the whole host: the runs of the
-pages of a host of several shards are first reduced by their hash to the least and greatest page,
-the same in articles, and whether they occur beside one, and each shard is given those of its
-runs that two pages have. Every page is returned; nothing is cut short.
+pages of a host of several shards are handed on as sorted arrays of eight bytes a run, by the
+first bits of their hash; each shard is given those of its runs that two pages have, and which of
+them are notices. Every page is returned; nothing is cut short.
 
 Defined results: null html is an empty page with empty text; a null url makes a host of its
 own; repeated rows of one page id are one page for the evidence, and each is returned; blocks
@@ -35,7 +35,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +45,8 @@ RUN = 8
 NOTICE = 25
 SHARD = 1_000_000
 MOST = 0.5
+# Shards whose runs of one bucket are looked at together.
+BUCKET = 64
 
 MAIN, OTHER, OUTSIDE = 0, 1, 2
 
@@ -352,62 +353,132 @@ def _copied(inside: np.ndarray, shared: np.ndarray, size: np.ndarray) -> np.ndar
     return keep
 
 
-_SEEN = pa.schema([
-    ("key", pa.int64()), ("part", pa.int64()), ("low", pa.int64()), ("high", pa.int64()),
-    ("inner_low", pa.int64()), ("inner_high", pa.int64()), ("outer", pa.bool_()),
-])
+# Flags of a run, in the high bits of its packed key.
+TWO, INNER, INNER_TWO, OUTER = (np.uint64(1 << k) for k in (60, 61, 62, 63))
+_LOW = np.uint64((1 << 60) - 1)
+_BLOCKS = "site bigint, part bigint, bits int, number bigint, page_id {}, url string, zones binary, texts array<string>"
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of pages in place of their html."""
+    for batch in batches:
+        kept = batch.drop_columns(["html"])
+        for k in range(0, len(batch), 64):
+            pages = [blocks(h or "") for h in batch.column("html").slice(k, 64).to_pylist()]
+            zones = pa.array([bytes(z for z, _ in p) for p in pages], pa.binary())
+            texts = pa.array([[t for _, t in p] for p in pages], pa.list_(pa.string()))
+            some = kept.slice(k, 64)
+            yield pa.RecordBatch.from_arrays([*some.columns, zones, texts], [*some.schema.names, "zones", "texts"])
+
+
+def _pages(batch, rows) -> list[list[tuple[int, str]]]:
+    zones, texts = batch["zones"], batch["texts"]
+    return [list(zip(zones[r].as_py(), texts[r].as_py(), strict=True)) for r in rows]
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of the pages of a batch, once for each shard, with the pages that have them."""
-    far = np.iinfo(np.int64).max
+    """Runs of pages as packed keys, by shard and by the first bits of the key.
+
+    A key holds 60 bits of the hash and the flags; the first ``bits`` (4 or more) are the bucket.
+    """
     for batch in batches:
-        site, part, number = (batch.column(c).to_numpy() for c in ("site", "part", "number"))
-        pages = batch.column("html").to_pylist()
+        site, part, bits, number = (batch.column(c).to_numpy() for c in ("site", "part", "bits", "number"))
         for p in np.unique(part).tolist():
             rows = np.flatnonzero(part == p)
-            _, _, tokens, block, page, zone = _line([blocks(pages[r] or "") for r in rows], number[rows])
+            _, _, tokens, block, page, zone = _line(_pages(batch, rows), number[rows])
             at, key = run_keys(tokens, block >= 0, int(site[rows[0]]))
             if not len(at):
                 continue
+            key = key.view(np.uint64)
             order = np.argsort(key, kind="stable")
             at, key = at[order], key[order]
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            page, inner = page[at], zone[at] == MAIN
-            inner_low = np.minimum.reduceat(np.where(inner, page, far), cuts)
-            none = inner_low == far
+            page, zone, key = page[at], zone[at], key[cuts]
+            inner = zone == MAIN
+            far = np.iinfo(np.int64).max
+            low = np.minimum.reduceat(np.where(inner, page, far), cuts)
+            high = np.maximum.reduceat(np.where(inner, page, -1), cuts)
+            packed = key & _LOW
+            packed[np.minimum.reduceat(page, cuts) < np.maximum.reduceat(page, cuts)] |= TWO
+            packed[high >= 0] |= INNER
+            packed[low < high] |= INNER_TWO
+            packed[np.logical_or.reduceat(zone == OUTSIDE, cuts)] |= OUTER
+            width = int(bits[rows[0]])
+            bucket = (key >> np.uint64(64 - width)).astype(np.int64)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             yield pa.RecordBatch.from_arrays([
-                pa.array(key[cuts]), pa.array(np.full(len(cuts), p, np.int64)),
-                pa.array(np.minimum.reduceat(page, cuts)), pa.array(np.maximum.reduceat(page, cuts)),
-                pa.array(inner_low, mask=none),
-                pa.array(np.maximum.reduceat(np.where(inner, page, -1), cuts), mask=none),
-                pa.array(np.logical_or.reduceat(zone[at] == OUTSIDE, cuts)),
-            ], schema=_SEEN)
+                pa.array(np.full(len(edges) - 1, site[rows[0]])), pa.array(bucket[edges[:-1]]),
+                pa.array(np.full(len(edges) - 1, p, np.int64)), pa.array(np.full(len(edges) - 1, width, np.int32)),
+                pa.array([packed[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
+            ], ["site", "bucket", "part", "bits", "keys"])
+
+
+_KEYS = "site bigint, bucket bigint, part bigint, bits int, keys binary"
+
+
+def _shared_runs(rows: pa.Table) -> pa.Table:
+    """Of the runs of a host in one bucket, those of two pages, packed by shard with their verdict.
+
+    Different rows are of different pages, as a page's rows were brought together before.
+    """
+    keys = [np.frombuffer(k, np.uint64) for k in rows["keys"].to_pylist()]
+    part = np.repeat(rows["part"].to_numpy(), [len(k) for k in keys])
+    packed = np.concatenate(keys)
+    order = np.argsort(packed & _LOW, kind="stable")
+    packed, part = packed[order], part[order]
+    low = packed & _LOW
+    cuts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    size = np.diff(np.concatenate([cuts, [len(low)]]))
+    flags = np.bitwise_or.reduceat(packed, cuts)
+    inner = np.add.reduceat(((packed & INNER) > 0).astype(np.int64), cuts)
+    two = (size > 1) | ((flags & TWO) > 0)
+    told = ((inner > 1) | ((flags & INNER_TWO) > 0)) & ((flags & OUTER) > 0)
+    two, told = np.repeat(two, size), np.repeat(told, size)
+    part, low, told = part[two], low[two], told[two]
+    width = int(rows["bits"][0].as_py())
+    # The bits of the bucket that the packed key does not hold (the first four).
+    top = np.uint64(int(rows["bucket"][0].as_py()) >> (width - 4) << 60)
+    order = np.argsort(part, kind="stable")
+    part, low, told = part[order], low[order] | top, told[order]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, int)
+    spans = list(zip(edges[:-1], edges[1:], strict=True))
+    return pa.table({
+        "part": pa.array(part[edges[:-1]] if spans else [], pa.int64()),
+        "keys": pa.array([np.unique(low[x:y]).tobytes() for x, y in spans], pa.binary()),
+        "told": pa.array([np.unique(low[x:y][told[x:y]]).tobytes() for x, y in spans], pa.binary()),
+    })
 
 
 def _evidence(rows: DataFrame) -> DataFrame:
-    """``(part, key, told)``: runs of each shard that two pages of its host have."""
-    pages = rows.filter("shards > 1").select("site", "part", "number", "html")
-    seen = pages.mapInArrow(
-        _seen, "key bigint, part bigint, low bigint, high bigint, inner_low bigint, inner_high bigint, outer boolean"
+    """``(part, keys, told)``: runs of each shard that two pages of its host have, and the notices of them."""
+    rows = rows.filter("bits is not null").drop("page_id", "url")
+    twice = folder.written(rows.groupBy("number").count().filter("count > 1").select("number"), "twice")
+    # Rows of one page are put together as one; hardly any page has two.
+    once = rows.join(twice, "number", "left_anti")
+    names = ["zones", "texts"]
+    # Copies go first, before the shuffle.
+    again = rows.join(twice, "number", "left_semi").distinct().groupBy("site", "part", "bits", "number").agg(
+        F.sort_array(F.collect_list(F.struct(*names))).alias("rows")
     )
-    runs = seen.groupBy("key").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.min("inner_low").alias("inner_low"),
-        F.max("inner_high").alias("inner_high"), F.max("outer").alias("outer"), F.collect_set("part").alias("parts"),
-    ).filter("low < high")
-    told = F.coalesce(F.col("inner_low") < F.col("inner_high"), F.lit(False)) & F.col("outer")
-    return runs.select(F.explode("parts").alias("part"), "key", told.alias("told"))
+    zones = F.aggregate("rows", F.lit(b""), lambda z, r: F.concat(z, r["zones"]))
+    texts = F.flatten(F.transform("rows", lambda r: r["texts"]))
+    again = again.select("site", "part", "bits", "number", zones.alias("zones"), texts.alias("texts"))
+    seen = once.select(again.columns).unionByName(again).mapInArrow(_seen, _KEYS)
+    runs = seen.groupBy("site", "bucket").applyInArrow(_shared_runs, "part bigint, keys binary, told binary")
+    return runs
 
 
-def _extract(pdf: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+def _extract(pages: pa.Table, runs: pa.Table) -> pa.Table:
     evidence = None
     if len(runs):
-        runs = runs.sort_values("key")
-        evidence = runs["key"].to_numpy(), runs["told"].to_numpy(bool)
-    site = int(pdf["site"].iloc[0]) if len(pdf) else 0
-    texts = articles([blocks(h or "") for h in pdf["html"]], pdf["number"].to_numpy(), site, evidence)
-    return pd.DataFrame({
-        "page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts],
+        keys, told = (np.frombuffer(b"".join(runs[c].to_pylist()), np.int64) for c in ("keys", "told"))
+        keys = np.sort(keys)
+        evidence = keys, np.isin(keys, told)
+    site = pages["site"][0].as_py() if len(pages) else 0
+    texts = articles(_pages(pages, range(len(pages))), pages["number"].to_numpy(), site, evidence)
+    return pa.table({
+        "page_id": pages["page_id"], "url": pages["url"], "text": pa.array(texts, pa.string()),
+        "n_chars": pa.array([len(t) for t in texts], pa.int64()),
     })
 
 
@@ -426,10 +497,15 @@ def extract(pages: DataFrame, id="page_id", url="url", html="html") -> DataFrame
     rows = rows.join(shards, "host").withColumn("number", F.shiftrightunsigned(number, 1))
     rows = rows.withColumn("shard", F.pmod("number", "shards"))
     kind = rows.schema["page_id"].dataType.simpleString()
-    rows = rows.withColumns({"site": F.xxhash64("host"), "part": F.xxhash64("host", "shard")})
+    bits = F.greatest(F.lit(4), F.ceil(F.log2(F.col("shards") / BUCKET)).cast("int"))
+    rows = rows.select(
+        F.xxhash64("host").alias("site"), F.xxhash64("host", "shard").alias("part"),
+        F.when(F.col("shards") > 1, bits).alias("bits"), "number", "page_id", "url", "html",
+    )
+    # Parsed once: both the evidence and the shards read the blocks, which are smaller than the html.
+    rows = folder.written(rows.mapInArrow(_parsed, _BLOCKS.format(kind)), "blocks")
     runs = _evidence(rows)
-    rows = rows.select("site", "part", "number", "page_id", "url", "html")
-    out = rows.groupBy("part").cogroup(runs.groupBy("part")).applyInPandas(
+    out = rows.drop("bits").groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(
         _extract, f"page_id {kind}, url string, text string, n_chars bigint"
     )
     return out.withColumnsRenamed({"page_id": id, "url": url})
