@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,6 +116,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
     """``(zone, text)`` of the blocks of a page, in page order."""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, beside the article, article
+    # How many elements of a name are open: an end tag of none needs no search.
+    opened: Counter[str] = Counter()
     outside = articles = 0
     parts: list[str] = []
     aside: list[str] = []
@@ -132,7 +135,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
     def pop(to: int) -> None:
         nonlocal outside, articles
         while len(stack) > to:
-            _, beside, article = stack.pop()
+            name, beside, article = stack.pop()
+            opened[name] -= 1
             outside -= beside
             articles -= article
 
@@ -158,11 +162,10 @@ def blocks(page: str) -> list[tuple[int, str]]:
         elif name == "br":
             say(" ")
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if name in _HEADING:
                 heading = max(0, heading - 1)
-            if depth is not None:
-                pop(depth)
+            if opened[name]:
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             continue
         if name in _VOID:
             continue
@@ -173,7 +176,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             continue
         if name in _CLOSES:
             closed, limit = _CLOSES[name]
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(opened[c] for c in closed) else ():
                 if stack[k][0] in limit:
                     break
                 if stack[k][0] in closed:
@@ -196,6 +199,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         article = article and not beside and not outside
         if name in _BLOCK or beside or article:
             stack.append((name, beside, article))
+            opened[name] += 1
             outside += beside
             articles += article
     flush()

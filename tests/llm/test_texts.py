@@ -328,6 +328,28 @@ def test_passages_do_not_depend_on_smaller_documents(docs):
     assert got == {(3, 20, 70, 7), (7, 70, 120, 3), (20, 0, 60, 21), (21, 35, 95, 20)}
 
 
+def test_end_tags_without_a_start_take_no_search():
+    import time
+
+    page = "<div>" * 20000 + "word </p></li>" * 20000 + "<li>item" * 3
+    start = time.process_time()
+    assert [t for _, t in pages.blocks(page)][-1] == "item"
+    assert time.process_time() - start < 5
+
+
+def test_repeated_rows_of_a_page_are_one_in_a_host_of_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(pages, "SHARD", 300)
+    # Less than half of a page, as most of one would make it a copy, which stays.
+    line = "this line stands on two pages of the host and goes from both"
+    page = "<body><p>{}</p><p>" + line + "</p></body>"
+    own = "only the repeated page has this line of its own here and so it stays"
+    rows = [(k, f"http://h.example/{k}", page.format(f"unique words number {k} " * 9)) for k in range(6)]
+    rows += [(9, "http://h.example/9", f"<body><p>{own}</p></body>")] * 5
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 11 and all(line not in r.text for r in got if r.page_id < 6)
+    assert [r.text for r in got if r.page_id == 9] == [own] * 5
+
+
 def test_recall_of_passages_against_all_pairs(docs):
     """Near copies of passages at many similarities, beside a stock line that all documents have."""
     rng = random.Random(23)
