@@ -139,9 +139,9 @@ def doc_tokens(t: Tables, keep=()) -> DataFrame:
     return annotate.tokens(doc_sentences(t, keep), keep)
 
 
-def tagged_sentences(t: Tables, keep=()) -> DataFrame:
+def tagged_sentences(t: Tables, keep=(), fields=annotate.ARRAY_FIELDS) -> DataFrame:
     """Token arrays in the rows of the sentences."""
-    return annotate.tagged(doc_sentences(t, keep), keep)
+    return annotate.tagged(doc_sentences(t, keep), keep, fields)
 
 
 def parsed_in_row(sents: DataFrame) -> DataFrame:

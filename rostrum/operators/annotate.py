@@ -128,43 +128,96 @@ def tokens(sents: DataFrame, keep=()) -> DataFrame:
     return rows.select("id", "sent_i", *keep, F.inline(F.array(token)))
 
 
-def tagged(sents: DataFrame, keep=()) -> DataFrame:
+ARRAY_FIELDS = (
+    "i", "text", "ws", "lemma", "pos", "tag", "dep", "head_i", "is_alpha", "is_punct", "is_stop"
+)
+
+
+def _spark_pos(word: str, kind: str) -> str:
+    """:func:`pos_rule` with one hashed test in front of the closed classes."""
+    closed = _sql_list([w for ws in CLOSED_CLASSES.values() for w in ws])
+    suffixes = " ".join(f"WHEN {word} LIKE '%{s}' THEN '{pos}'" for s, pos in SUFFIX_CLASSES)
+    return (
+        f"CASE WHEN {kind} = 'punct' THEN 'PUNCT' WHEN {kind} = 'num' THEN 'NUM' "
+        f"WHEN {word} IN {closed} THEN {pos_rule(word, kind)} {suffixes} ELSE 'NOUN' END"
+    )
+
+
+def _tags(rows: DataFrame, sentences, fields) -> DataFrame:
+    """``rows`` with ``tokens``: those of all ``sentences``, one after the other, with ``fields``.
+
+    Each step adds the fields that the next one reads, so no expression is evaluated twice, and
+    only those that ``fields`` need are there.
+    """
+    spaced = "ws" in fields
+    tagged = not set(fields) <= {"i", "text", "ws", "dep", "head_i"}
+    # White space after a token belongs to it.
+    found = F.lit(rf"(?:{T.TOKEN})\s*" if spaced else T.TOKEN)
+    rows = rows.withColumn("tokens", F.flatten(F.transform(sentences, lambda s: F.transform(
+        F.regexp_extract_all(s, found, F.lit(0)), lambda t, i: F.struct(i.alias("i"), t.alias("text"))
+    ))))
+    if spaced:
+        rows = rows.withColumn("tokens", F.transform("tokens", lambda x: F.struct(
+            x["i"].alias("i"), F.regexp_replace(x["text"], r"\s+$", "").alias("text"), x["text"].alias("piece")
+        )))
+    if tagged:
+        def kinds(x, word):
+            t = x["text"]
+            kind = (
+                F.when(T.is_alpha(t), "alpha").when(t.rlike(r"^\p{N}+$"), "num")
+                .when(t.rlike(rf"^[{T.WORD_CHAR}]+$"), "word").otherwise("punct")
+            )
+            more = [x["piece"].alias("piece")] if spaced else []
+            return F.struct(x["i"].alias("i"), t.alias("text"), word.alias("word"), kind.alias("kind"), *more)
+
+        # One call for a sentence; no token holds a line end, so each is lowered as if by itself.
+        lowered = F.split(F.lower(F.array_join("tokens.text", "\n")), "\n")
+        rows = rows.withColumn("tokens", F.zip_with("tokens", F.slice(lowered, F.lit(1), F.size("tokens")), kinds))
+        more = ", x.piece" if spaced else ""
+        if {"lemma", "pos", "tag"} & set(fields):
+            pos = _spark_pos("x.word", "x.kind")
+            rows = rows.withColumn("tokens", F.expr(
+                f"transform(tokens, x -> struct(x.i, x.text, x.word, x.kind, {pos} AS pos{more}))"
+            ))
+    rules = {
+        "i": "x.i", "text": "x.text", "ws": "substr(x.piece, length(x.text) + 1, length(x.piece))",
+        "lemma": lemma_rule("x.word", "x.pos"), "pos": "x.pos", "tag": tag_rule("x.word", "x.pos"),
+        "dep": "cast(null as string)", "head_i": "cast(null as int)", "is_alpha": "x.kind = 'alpha'",
+        "is_punct": "x.kind = 'punct'", "is_stop": f"x.word IN {_sql_list(STOP_WORDS)}",
+    }
+    if tuple(fields) == ("i", "text"):
+        return rows
+    out = ", ".join(f"{rules[f]} AS {f}" for f in fields)
+    return rows.withColumn("tokens", F.expr(f"transform(tokens, x -> struct({out}))"))
+
+
+def bound(name: str):
+    """The column through a generator: filters and generators above it read its finished values, where
+    Spark would else write its expression into each of them."""
+    return F.explode(F.array(name)).alias(name)
+
+
+def tagged(sents: DataFrame, keep=(), fields=ARRAY_FIELDS) -> DataFrame:
     """The same tokens as one array per sentence, ``id, sent_i, *keep, tokens``.
 
     Everything is computed in the row of the sentence: tokens are neither exploded nor
-    gathered, so nothing is shuffled. For operators that read a sentence at a time; several
-    branches over one table do better with :func:`sentence_arrays`, whose shuffle they share.
+    gathered, so nothing is shuffled. ``fields`` names those to compute.
     """
-    # White space after a token belongs to it. Each step adds the fields that the next one reads.
-    pieces = F.regexp_extract_all("sentence", F.lit(rf"(?:{T.TOKEN})\s*"), F.lit(0))
-
-    def words(piece, i):
-        text = F.regexp_replace(piece, r"\s+$", "")
-        kind = (
-            F.when(T.is_alpha(text), "alpha").when(text.rlike(r"^\p{N}+$"), "num")
-            .when(text.rlike(rf"^[{T.WORD_CHAR}]+$"), "word").otherwise("punct")
-        )
-        return F.struct(
-            i.alias("i"), text.alias("text"), F.substr(piece, F.length(text) + 1, F.length(piece)).alias("ws"),
-            F.lower(text).alias("word"), kind.alias("kind"),
-        )
-
-    rows = sents.select("id", "sent_i", *keep, F.transform(pieces, words).alias("tokens"))
-    pos = pos_rule("x.word", "x.kind")
-    rows = rows.withColumn("tokens", F.expr(
-        f"transform(tokens, x -> struct(x.i, x.text, x.ws, x.word, x.kind, {pos} AS pos))"
-    ))
-    lemma, tag = lemma_rule("x.word", "x.pos"), tag_rule("x.word", "x.pos")
-    return rows.withColumn("tokens", F.expr(
-        f"""transform(tokens, x -> struct(x.i, x.text, x.ws, {lemma} AS lemma, x.pos, {tag} AS tag,
-        cast(null as string) AS dep, cast(null as int) AS head_i, x.kind = 'alpha' AS is_alpha,
-        x.kind = 'punct' AS is_punct, x.word IN {_sql_list(STOP_WORDS)} AS is_stop))"""
-    ))
+    rows = sents.select("id", "sent_i", *keep, F.array("sentence").alias("_sentences"))
+    rows = _tags(rows, F.col("_sentences"), fields)
+    return rows.select("id", "sent_i", *keep, bound("tokens"))
 
 
-ARRAY_FIELDS = (
-    "i", "text", "ws", "lemma", "pos", "tag", "dep", "head_i", "is_alpha", "is_punct", "is_stop"
-)
+def gathered(sents: DataFrame, keep=(), fields=ARRAY_FIELDS) -> DataFrame:
+    """``sentence_arrays(tokens(sents))`` with one shuffle of the sentences in place of their tokens.
+
+    Sentences that share their ``(id, sent_i)`` are one, with their tokens in order.
+    """
+    rows = sents.groupBy("id", "sent_i", *keep).agg(F.collect_list("sentence").alias("_sentences"))
+    rows = _tags(rows, F.col("_sentences"), fields)
+    rows = rows.select("id", "sent_i", *keep, F.size("_sentences").alias("_n"), bound("tokens"))
+    ordered = F.when(F.col("_n") > 1, F.array_sort("tokens")).otherwise(F.col("tokens"))
+    return rows.filter(F.size("tokens") > 0).select("id", "sent_i", *keep, ordered.alias("tokens"))
 
 
 def sentence_arrays(toks: DataFrame, keep=(), fields=ARRAY_FIELDS) -> DataFrame:

@@ -5,7 +5,8 @@ the entry's first token. A part is a trie: a map from the path of a node to the
 there. A sentence meets the parts whose anchor it holds, by one join on the token; where the first
 token stands in its place too, the trie is walked from there, token by token, until no node follows.
 So the work of a sentence follows the rare tokens it holds, not its n-grams or the number of entries.
-The parts are a plain join side: small tables of entries are broadcast by their bytes.
+The parts are written as a table before the join, so that their bytes are known when it is planned:
+small tables of entries are broadcast, and the sentences are not shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rostrum.streaming.resume import cut_lineage
+
 
 def token_counts(sents: DataFrame, field: str, entries: DataFrame) -> DataFrame:
     """``(token, n)``: how often the tokens of ``entries`` occur in the corpus."""
@@ -21,24 +24,29 @@ def token_counts(sents: DataFrame, field: str, entries: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("n")).join(wanted, "token", "left_semi")
 
 
-def parts(entries: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """``(anchor, at, first, depth, trie)`` from ``(words, payload)``.
+def anchors(entries: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """``(words, anchor, at)``: the rarest token of each ``words`` and its place.
 
-    The anchor is the token with the smallest count, of equal ones the longest; ``counts(token, n)``
-    are those of a corpus, where a token that is missing counts 0, or else the numbers of entries.
+    It is the token with the smallest count, of equal ones the longest; ``counts(token, n)`` are
+    those of a corpus, where a token that is missing counts 0, or else the numbers of entries.
     """
-    entries = entries.filter(F.size("words") > 0)
     places = entries.select("words", F.posexplode("words").alias("at", "token")).distinct()
     if counts is None:
         counts = places.groupBy("token").agg(F.countDistinct("words").alias("n"))
     rarity = F.struct(
         F.coalesce("n", F.lit(0)).alias("n"), (-F.length("token")).alias("size"), "token", "at"
     )
-    chosen = (
+    return (
         places.join(counts.select("token", "n"), "token", "left")
         .groupBy("words").agg(F.min(rarity).alias("r"))
         .select("words", F.col("r.token").alias("anchor"), F.col("r.at").alias("at"))
     )
+
+
+def parts(entries: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """``(anchor, at, first, depth, trie)`` from ``(words, payload)``, by their :func:`anchors`."""
+    entries = entries.filter(F.size("words") > 0)
+    chosen = anchors(entries, counts)
     steps = entries.join(chosen, "words").select(
         "anchor", "at", F.get("words", F.lit(0)).alias("first"), "words", "payload",
         F.explode(F.sequence(F.lit(1), F.size("words"))).alias("k"),
@@ -72,6 +80,7 @@ def find(sents: DataFrame, field: str, found_parts: DataFrame, keep=()) -> DataF
 
     ``sents`` is ``(id, sent_i, tokens)``; ``field`` of the tokens is compared.
     """
+    found_parts = cut_lineage(found_parts)
     kind = found_parts.schema["trie"].dataType.valueType.elementType.simpleString()
     rows = sents.select(
         "id", "sent_i", *keep, F.col(f"tokens.{field}").alias("_words")
