@@ -7,7 +7,7 @@ stands for the negator.
 from pyspark.sql import functions as F
 
 from rostrum.catalog.base import (
-    ANN_LABELLED, Tables, ann_docs, doc_sentences, doc_tokens, labelled_tokens, q, query, r6, rounded, sents_sql,
+    ANN_LABELLED, Tables, ann_docs, doc_sentences, doc_tokens, labelled, labelled_tokens, q, query, r6, rounded, sents_sql,
     sql_list, tagged_sentences, with_parse,
 )
 from rostrum.catalog.statistics import SENT_FEATURES
@@ -44,8 +44,8 @@ def lexicon(t):
     return t.spark.createDataFrame(ROWS, "category string, pos string, entry string")
 
 
-def gathered(t, toks=None):
-    return annotate.sentence_arrays(doc_tokens(t) if toks is None else toks, fields=FIELDS)
+def gathered(t, sents=None):
+    return annotate.gathered(doc_sentences(t) if sents is None else sents, fields=FIELDS)
 
 
 FIELDS = ("i", "text", "lemma", "pos")
@@ -59,12 +59,12 @@ def st01(t):
 
 @query("st02_phrase_hits", f"{BASE} {PHRASE_HITS}")
 def st02(t):
-    return stance.phrase_hits(tagged_sentences(t), lexicon(t))
+    return stance.phrase_hits(tagged_sentences(t, fields=FIELDS), lexicon(t))
 
 
 @query("st03_negation_hits", f"{BASE} {NEG_HITS}")
 def st03(t):
-    return stance.negation_hits(tagged_sentences(t), lexicon(t), **NEG)
+    return stance.negation_hits(tagged_sentences(t, fields=FIELDS), lexicon(t), **NEG)
 
 
 # Modals are put in front of the sentences, for they do not occur in the texts.
@@ -83,9 +83,8 @@ def st04(t):
         .when(F.col("lang") == "de", "It would ought to be. ").otherwise("They can. ")
     )
     docs = t.texts.withColumn("text", F.concat(front, "text"))
-    toks = annotate.tokens(annotate.sentences(docs, "doc_id", "text"))
-    lex = stance.modal_lexicon(t.spark)
-    return stance.word_hits(toks, lex).unionByName(stance.phrase_hits(gathered(t, toks), lex))
+    sents = gathered(t, annotate.sentences(docs, "doc_id", "text"))
+    return stance.hit_rows(stance.with_hits(sents, stance.modal_lexicon(t.spark), ("word", "phrase")))
 
 
 # Spans of kept tokens by pattern; longest first, then leftmost, those that overlap an earlier one are dropped.
@@ -104,7 +103,7 @@ SELECT id, sent_i, category, pos, m.s AS start, m.e AS "end" FROM (SELECT id, se
 
 @query("st05_pattern_hits", f"{ann_docs()},{PATTERN_HITS}")
 def st05(t):
-    return stance.pattern_hits(tagged_sentences(t), PATTERNS).drop("kind")
+    return stance.pattern_hits(tagged_sentences(t, fields=FIELDS), PATTERNS).drop("kind")
 
 
 PATTERNS = {
@@ -118,7 +117,7 @@ KEPT = f"""kp AS (SELECT id, sent_i, i, text, row_number() OVER (PARTITION BY id
 
 @query("st06_kept_tokens", ann_docs() + f",{KEPT} SELECT id, sent_i, k, i, text FROM kp")
 def st06(t):
-    return stance.kept_tokens(tagged_sentences(t))
+    return stance.kept_tokens(tagged_sentences(t, fields=("i", "text")))
 
 
 FEAT_LIST = "(VALUES " + ", ".join(f"({q(c)}, {q(p)}, {q(stance.feature_name(c, p))})" for c, p in FEATS) + ") f(category, pos, name)"
@@ -131,10 +130,8 @@ vec AS (SELECT kp.id, kp.sent_i, f.name, string_agg(CASE WHEN cov.k IS NULL THEN
 
 
 def stance_vectors(t, words_only=False):
-    toks = doc_tokens(t)
-    sents = gathered(t, toks)
-    hits = stance.all_hits(sents, toks, lexicon(t), words_only=words_only, **({} if words_only else NEG))
-    return stance.vectors(sents, hits, FEATS)
+    kinds = ("word",) if words_only else ("word", "phrase", "negation")
+    return stance.vectors(stance.with_hits(gathered(t), lexicon(t), kinds, **NEG), None, FEATS)
 
 
 def long_vectors(vec):
@@ -203,8 +200,8 @@ def st11(t):
     ANN_LABELLED + f",{LEX},{OPP},{AROUND},{HITS} SELECT quality, hits.pos, category, kind, count(*) AS n FROM hits JOIN (SELECT CAST(doc_id AS VARCHAR) AS id, quality FROM labels) USING (id) GROUP BY ALL",
 )
 def ag23(t):
-    toks = labelled_tokens(t)
-    hits = stance.all_hits(gathered(t, toks), toks, lexicon(t), **NEG)
+    sents = gathered(t, annotate.sentences(labelled(t), "doc_id", "text"))
+    hits = stance.all_hits(sents, None, lexicon(t), **NEG)
     classes = t.labels.select(F.col("doc_id").cast("string").alias("id"), "quality")
     return terms.feature_hits(hits.join(classes, "id"), "quality")
 
@@ -267,7 +264,7 @@ GRAM = """g AS (SELECT id, sent_i, i AS start, i + 1 AS "end", lemma AS gram FRO
 )
 def jn09_grams(t):
     terms = gazetteer_table(t).select(F.col("lemmatized").alias("gram")).distinct()
-    return spans.gram_rows(tagged_sentences(t), "lemma", (1, 2, 3)).join(terms, "gram", "left_semi").select(
+    return spans.gram_rows(tagged_sentences(t, fields=FIELDS), "lemma", (1, 2, 3)).join(terms, "gram", "left_semi").select(
         "id", "sent_i", "start", "end", "gram"
     )
 

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.functions import fixed
-from rostrum.operators import phrases, spans
+from rostrum.operators import annotate, phrases, spans
+from rostrum.streaming.resume import cut_lineage
 
 HIT_COLUMNS = ["id", "sent_i", "category", "pos", "kind", "start", "end"]
 
@@ -42,6 +43,8 @@ def word_hits(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
         .select("category", F.coalesce("pos", F.lit("")).alias("_pos"), F.col("entry").alias("lemma"))
         .distinct()
     )
+    # As a table it is broadcast by its bytes: the tokens stay where they are.
+    words = cut_lineage(words)
     hit = toks.select("id", "sent_i", "i", "lemma", F.col("pos").alias("_tok_pos")).join(words, "lemma")
     hit = hit.filter((F.col("_pos") == "") | (F.col("_pos") == F.col("_tok_pos")))
     return hit.select(
@@ -73,52 +76,120 @@ def negation_hits(
     ADJ: a negator, an optional hyphen, then the lemma in any class. ADV: ``not`` and the
     lemma in any class. VERB: ``not`` and the lemma as a verb.
     """
-    opposites = fixed.OPPOSITES if opposites is None else opposites
-    around = F.transform(
-        "tokens",
-        lambda t, i: F.struct(
-            i.alias("i"), t["lemma"].alias("lemma"), t["pos"].alias("tok_pos"),
-            F.lower(F.get("tokens", i - 1)["text"]).alias("before"),
-            F.lower(F.get("tokens", i - 2)["text"]).alias("before2"),
-        ),
+    return hit_rows(with_hits(sents, lexicon, ("negation",), opposites, negators, plain))
+
+
+def _entries(lexicon: DataFrame, kinds, opposites) -> DataFrame:
+    """One row with ``_lexicon``: lists of entries by the lemma that finds them, dealt by its hash.
+
+    A list is an array of maps, so that a lemma is compared with few others.
+    """
+    pos = F.coalesce("pos", F.lit("")).alias("pos")
+    single = lexicon.filter(~F.contains(F.col("entry"), F.lit(" ")))
+    one = F.array("entry").alias("words"), F.lit(0).alias("at"), F.col("entry").alias("lemma")
+    out = []
+    if "word" in kinds:
+        out.append(single.select("category", pos, F.lit("word").alias("kind"), *one))
+    if "negation" in kinds:
+        table = F.create_map(*[F.lit(x) for kv in opposites.items() for x in kv])
+        turned = single.withColumn("category", F.element_at(table, F.col("category")))
+        turned = turned.filter(F.col("category").isNotNull())
+        out.append(turned.select("category", pos, F.lit("negation").alias("kind"), *one))
+    if "phrase" in kinds:
+        words = F.split("entry", " ")
+        several = lexicon.filter(F.contains(F.col("entry"), F.lit(" ")))
+        found = phrases.anchors(several.select(words.alias("words"))).withColumnRenamed("anchor", "lemma")
+        several = several.select("category", pos, F.lit("phrase").alias("kind"), words.alias("words"))
+        out.append(several.join(found, "words").select("category", "pos", "kind", "words", "at", "lemma"))
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    listed = every.groupBy("lemma").agg(
+        F.collect_set(F.struct("category", "pos", "kind", "words", "at")).alias("entries")
     )
-    near = F.filter(
-        around,
-        lambda a: a["before"].isin(list(negators))
-        | (a["before"].isin("-", "–") & a["before2"].isin(list(negators))),
+    dealt = listed.groupBy(F.pmod(F.hash("lemma"), F.lit(BUCKETS)).alias("bucket")).agg(
+        F.map_from_entries(F.collect_list(F.struct("lemma", "entries"))).alias("lists")
     )
-    rows = sents.select("id", "sent_i", F.explode(near).alias("_a")).select("id", "sent_i", "_a.*")
-    table = F.create_map(*[F.lit(x) for kv in opposites.items() for x in kv])
-    words = (
-        lexicon.filter(~F.contains(F.col("entry"), F.lit(" ")))
-        .select(
-            F.element_at(table, F.col("category")).alias("category"),
-            "pos",
-            F.col("entry").alias("lemma"),
+    whole = dealt.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "lists"))).alias("m"))
+    buckets = F.sequence(F.lit(0), F.lit(BUCKETS - 1))
+    return whole.select(F.transform(buckets, lambda b: F.try_element_at(F.col("m"), b)).alias("_lexicon"))
+
+
+BUCKETS = 256
+
+
+def with_hits(
+    sents: DataFrame, lexicon: DataFrame, kinds=("word", "phrase", "negation"), opposites=None,
+    negators=("non", "not"), plain="not",
+) -> DataFrame:
+    """``sents`` with ``hits``: those of :func:`word_hits`, :func:`phrase_hits` and :func:`negation_hits`.
+
+    The lexicon is one broadcast row and the hits are found in the row of the sentence, so no
+    token is shuffled. For lexicons of words and phrases; large tables of phrases have
+    :mod:`rostrum.operators.phrases`.
+    """
+    opposites = fixed.OPPOSITES if opposites is None else opposites
+    x = sents.crossJoin(F.broadcast(cut_lineage(_entries(lexicon, kinds, opposites))))
+
+    def looked_up(t, i):
+        found = F.try_element_at(F.get("_lexicon", F.pmod(F.hash(t["lemma"]), F.lit(BUCKETS))), t["lemma"])
+        return F.struct(t["i"].alias("i"), i.alias("at"), t["pos"].alias("pos"), found.alias("entries"))
+
+    met = F.filter(F.transform("tokens", looked_up), lambda m: m["entries"].isNotNull())
+    x = x.withColumn("_met", met)
+
+    def lower(at):
+        return F.lower(F.get("tokens", at)["text"])
+
+    def stands(e, m):
+        start = m["at"] - e["at"]
+        same = F.transform(e["words"], lambda w, k: F.get("tokens", start + k)["lemma"] == w)
+        before = lower(m["at"] - 1)
+        dashed = before.isin("-", "–") & lower(m["at"] - 2).isin(list(negators))
+        direct = before == plain
+        negated = (before.isin(list(negators)) | dashed) & (
+            F.when(e["pos"] == "ADJ", F.lit(True))
+            .when(e["pos"] == "ADV", direct)
+            .when(e["pos"] == "VERB", direct & (m["pos"] == "VERB"))
+            .otherwise(F.lit(False))
         )
-        .filter(F.col("category").isNotNull())
-        .distinct()
-    )
-    hit = rows.join(words, "lemma")
-    direct = F.col("before") == plain
-    dashed = F.col("before").isin("-", "–")
-    ok = (
-        F.when(F.col("pos") == "ADJ", F.lit(True))
-        .when(F.col("pos") == "ADV", direct)
-        .when(F.col("pos") == "VERB", direct & (F.col("tok_pos") == "VERB"))
-        .otherwise(F.lit(False))
-    )
-    return hit.filter(ok).select(
-        "id", "sent_i", "category", "pos", F.lit("negation").alias("kind"),
-        F.when(dashed, F.col("i") - 2).otherwise(F.col("i") - 1).alias("start"),
-        (F.col("i") + 1).alias("end"),
+        return (
+            F.when(e["kind"] == "word", (e["pos"] == "") | (e["pos"] == m["pos"]))
+            .when(e["kind"] == "phrase", (start >= 0) & F.forall(same, lambda s: F.coalesce(s, F.lit(False))))
+            .otherwise(negated)
+        )
+
+    def hit(e, m):
+        start = (
+            F.when(e["kind"] == "word", m["i"]).when(e["kind"] == "phrase", m["at"] - e["at"])
+            .when(lower(m["at"] - 1).isin("-", "–"), m["at"] - 2).otherwise(m["at"] - 1)
+        )
+        end = (
+            F.when(e["kind"] == "word", m["i"] + 1)
+            .when(e["kind"] == "phrase", m["at"] - e["at"] + F.size(e["words"])).otherwise(m["at"] + 1)
+        )
+        return F.struct(
+            e["category"].alias("category"), e["pos"].alias("pos"), e["kind"].alias("kind"),
+            start.alias("start"), end.alias("end"),
+        )
+
+    hits = F.transform(
+        "_met", lambda m: F.transform(F.filter(m["entries"], lambda e: stands(e, m)), lambda e: hit(e, m))
     )
+    x = x.withColumn("hits", F.flatten(hits))
+    return x.select(*sents.columns, annotate.bound("hits"))
 
 
 def all_hits(
-    sents: DataFrame, toks: DataFrame, lexicon: DataFrame, opposites=None, words_only=False, **negation
+    sents: DataFrame, toks: DataFrame | None, lexicon: DataFrame, opposites=None, words_only=False, **negation
 ) -> DataFrame:
-    """Word, phrase and negation hits; ``words_only`` is the token-level variant."""
+    """Word, phrase and negation hits; ``words_only`` is the token-level variant.
+
+    Without ``toks`` the words are found in the rows of ``sents`` too.
+    """
+    if toks is None:
+        kinds = ("word",) if words_only else ("word", "phrase", "negation")
+        return hit_rows(with_hits(sents, lexicon, kinds, opposites, **negation))
     hits = word_hits(toks, lexicon)
     if words_only:
         return hits
@@ -127,6 +198,11 @@ def all_hits(
     )
 
 
+def hit_rows(sents: DataFrame) -> DataFrame:
+    """The ``hits`` of sentences as rows."""
+    return sents.select("id", "sent_i", F.inline("hits")).select(*HIT_COLUMNS)
+
+
 # --- punctuation-free tokens and vectors ----------------------------------------------
 
 
@@ -142,46 +218,54 @@ def feature_name(category: str, pos: str) -> str:
     return f"{category}_{pos.lower()}" if pos else category
 
 
-def vectors(sents: DataFrame, hits: DataFrame, features: list[tuple[str, str]], patterns=None) -> DataFrame:
+def vectors(sents: DataFrame, hits: DataFrame | None, features: list[tuple[str, str]], patterns=None) -> DataFrame:
     """One 0/1 array over the punctuation-free tokens for each ``(category, pos)``.
 
     Each array has exactly one value per kept token, whatever the number of hits.
+    Without ``hits`` they are the column of :func:`with_hits` in ``sents``.
     ``patterns`` adds spans on the punctuation-free index, see :func:`pattern_hits`.
     """
-    grouped = hits.groupBy("id", "sent_i").agg(
-        F.collect_set(F.struct("category", "pos", "start", "end")).alias("_hits")
-    )
-    x = sents.join(grouped, ["id", "sent_i"], "left")
-    if patterns is not None:
-        p = patterns.groupBy("id", "sent_i").agg(
-            F.collect_set(F.struct("category", "pos", "start", "end")).alias("_patterns")
-        )
-        x = x.join(p, ["id", "sent_i"], "left")
-    kept = F.filter("tokens", lambda t: ~t["text"].isin(fixed.DROPPED_PUNCT))
-    x = x.withColumn("_kept", F.transform(kept, lambda t: t["i"]))
-
-    def covered(source, at, category, pos):
-        return F.coalesce(
-            F.exists(
-                source,
-                lambda h: (h["category"] == category) & (h["pos"] == pos)
-                & (h["start"] <= at) & (at < h["end"]),
-            ),
-            F.lit(False),
-        )
+    kept = F.transform(F.filter("tokens", lambda t: ~t["text"].isin(fixed.DROPPED_PUNCT)), lambda t: t["i"])
+    found = [] if hits is not None else [F.when(F.col("id").isNotNull(), F.col("hits")).alias("_hits")]
+    # Only the indexes of the tokens go through the joins.
+    x = sents.select("id", "sent_i", kept.alias("_kept"), *found)
+    for name, rows in (("_hits", hits), ("_patterns", patterns)):
+        if rows is not None:
+            grouped = rows.groupBy("id", "sent_i").agg(
+                F.collect_set(F.struct("category", "pos", "start", "end")).alias(name)
+            )
+            x = x.join(grouped, ["id", "sent_i"], "left")
+
+    def mine(source, category, pos):
+        own = F.filter(source, lambda h: (h["category"] == category) & (h["pos"] == pos))
+        return F.coalesce(F.transform(own, lambda h: F.struct(h["start"], h["end"])), F.array().cast(SPANS))
+
+    def covered(source, at):
+        return F.exists(source, lambda h: (h["start"] <= at) & (at < h["end"]))
 
     def vector(category, pos):
-        def bit(i, k):
-            hit = covered(F.col("_hits"), i, category, pos)
-            if patterns is not None:
-                hit = hit | covered(F.col("_patterns"), k, category, pos)
-            return hit.cast("int")
+        spans_of = [mine(c, category, pos) for c in ("_hits", "_patterns") if c in x.columns]
+
+        def bits(own):
+            def bit(i, k):
+                hit = covered(own["s0"], i)
+                return ((hit | covered(own["s1"], k)) if len(spans_of) > 1 else hit).cast("int")
+
+            none = F.size(own["s0"]) == 0
+            if len(spans_of) > 1:
+                none = none & (F.size(own["s1"]) == 0)
+            return F.when(none, F.array_repeat(F.lit(0), F.size("_kept"))).otherwise(F.transform("_kept", bit))
 
-        return F.transform("_kept", bit)
+        # Bound by a one-element array, so that the spans of a feature are looked up once.
+        bound = F.array(F.struct(*[s.alias(f"s{n}") for n, s in enumerate(spans_of)]))
+        return F.get(F.transform(bound, bits), F.lit(0))
 
     return x.select("id", "sent_i", *[vector(c, p).alias(feature_name(c, p)) for c, p in features])
 
 
+SPANS = "array<struct<start: int, end: int>>"
+
+
 def standard_features() -> list[tuple[str, str]]:
     """Eight categories in three classes, and three modal kinds."""
     return [(c, p) for c, p in product(fixed.OPPOSITES, fixed.STANCE_POS)] + [
