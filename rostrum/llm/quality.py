@@ -6,9 +6,8 @@ the sorted keys of each shard, so the documents are never shuffled, and a worker
 shards that it meets. A document is kept if its perplexity is at most the quantile of its
 language, taken over trusted documents that were not counted.
 
-The trusted documents are a bounded sample of the labelled rows (``most_trusted`` rows in the
-order of a hash of their ids); three quarters of them are counted, the rest sets the quantiles.
-All documents are scored and judged.
+All trusted documents are used: three quarters of them, by a hash of their ids, are counted, and the
+rest sets the quantiles, which are exact. All documents are scored and judged.
 
 Defined results: a null or empty text has one token, the end, and is judged by its perplexity;
 a null language, and one with fewer than ``least`` rows for its quantile, takes the quantile
@@ -22,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.llm import folder, kneser
+from rostrum.operators import selection
 
-MOST_TRUSTED = 20_000
 QUANTILE = 0.995
 LEAST = 50
 
@@ -33,29 +32,29 @@ def log_perplexity():
 
 
 def judge(
-    docs: DataFrame, trusted: DataFrame, id="doc_id", text="text", lang="lang", most_trusted: int = MOST_TRUSTED,
-    quantile: float = QUANTILE, least: int = LEAST,
+    docs: DataFrame, trusted: DataFrame, id="doc_id", text="text", lang="lang", quantile: float = QUANTILE,
+    least: int = LEAST,
 ) -> DataFrame:
     """``docs`` with ``log_perplexity``, ``threshold`` and ``kept``; ``trusted`` has ids in ``id``.
 
-    The sample has at most ``most_trusted`` ids, so it may be broadcast.
-    """
+    The ids alone are broadcast, all of them: a plain join would shuffle every text for them.
+    """
     own = [c for c in docs.columns if c not in (*kneser.SCORES, "log_perplexity", "threshold", "kept")]
     ids = trusted.select(F.col(id).alias(id)).filter(F.col(id).isNotNull()).distinct()
-    order = F.xxhash64(F.col(id), F.lit(7))
-    sample = folder.written(ids.orderBy(order, id).limit(most_trusted), "trusted")
-    known = docs.select(id, text, lang).join(F.broadcast(sample), id, "left_semi")
+    known = docs.select(id, text, lang).join(F.broadcast(folder.written(ids, "trusted")), id, "left_semi")
     counted = F.pmod(F.xxhash64(F.col(id), F.lit(8)), F.lit(4)) != 0
     model = kneser.train(known.filter(counted), text)
     scored = kneser.score(known.filter(~counted).select(F.col(text).alias(text), F.col(lang).alias(lang)), model, text)
     rest = scored.select(F.col(lang).alias("lang"), log_perplexity().alias("x"))
     rest = folder.written(rest, "calibration")
-    point = F.percentile("x", F.lit(quantile))
-    each = rest.filter("lang is not null").groupBy("lang").agg(point.alias("own"), F.count("*").alias("n"))
-    each = each.filter(F.col("n") >= least).select("lang", "own")
-    # One row per language of the bounded sample.
+    points = {"own": quantile}
+    spoken = rest.filter("lang is not null")
+    enough = spoken.groupBy("lang").count().filter(F.col("count") >= least)
+    each = selection.quantiles(spoken, "lang", points, "x").join(enough, "lang")
+    # One row per language.
     thresholds = {r.lang: r.own for r in each.collect()}
-    overall = rest.agg(point).first()[0]
+    whole = selection.quantiles(rest.withColumn("every", F.lit(0)), "every", points, "x").first()
+    overall = whole.own if whole else None
     value = F.lit(overall if overall is not None else float("inf"))
     for name, x in sorted(thresholds.items()):
         value = F.when(F.col(lang) == name, F.lit(x)).otherwise(value)
