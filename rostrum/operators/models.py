@@ -107,6 +107,17 @@ def with_folds(df: DataFrame, label, id="id", folds: int = 5, seed: int = 42) ->
     return rows.withColumn("fold", F.pmod(F.col("_n"), F.lit(folds)).cast("int")).drop("_n")
 
 
+PASS_BYTES = 16 << 20
+
+
+def passes_partitions(rows: int, width: int) -> int:
+    """Partitions of about ``PASS_BYTES`` for ``rows`` vectors of ``width`` doubles that many passes read.
+
+    The number grows with the rows, so a partition never does.
+    """
+    return max(1, -(-rows * width * 8 // PASS_BYTES))
+
+
 def linear_svm(
     df: DataFrame, label, cols, id="id", folds=5, seed=42, grid=(0.1, 1, 10, 100, 1000), max_iter=50, tol=1e-4,
     parallelism=4,
@@ -119,6 +130,8 @@ def linear_svm(
     data = with_folds(curate.class_weights(df, label), label, id, folds, seed)
     data = assemble(data.withColumn(label, F.col(label).cast("double")), cols)
     data = data.select(label, "features", "weight", "fold")
+    # A fit reads the rows up to a hundred times: partitions follow the bytes, not the shuffles before.
+    data = data.coalesce(passes_partitions(df.count(), len(cols)))
     evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
 
     def fit(rows, cost, n):
