@@ -133,21 +133,41 @@ ARRAY_FIELDS = (
 )
 
 
-def _spark_pos(word: str, kind: str) -> str:
-    """:func:`pos_rule` with one hashed test in front of the closed classes."""
+def _spark_pos(text: str, word: str) -> str:
+    """:func:`pos_rule` with cheap tests first: closed classes and suffixes hold letters only, so their
+    words are neither numbers nor punctuation, and few other words do not end in a plain letter."""
     closed = _sql_list([w for ws in CLOSED_CLASSES.values() for w in ws])
     suffixes = " ".join(f"WHEN {word} LIKE '%{s}' THEN '{pos}'" for s, pos in SUFFIX_CLASSES)
     return (
-        f"CASE WHEN {kind} = 'punct' THEN 'PUNCT' WHEN {kind} = 'num' THEN 'NUM' "
-        f"WHEN {word} IN {closed} THEN {pos_rule(word, kind)} {suffixes} ELSE 'NOUN' END"
+        f"CASE WHEN {word} IN {closed} THEN {pos_rule(word, repr('alpha'))} {suffixes} "
+        f"WHEN substring({word}, -1) BETWEEN 'a' AND 'z' THEN 'NOUN' WHEN {text} RLIKE '{NUMBER}' THEN 'NUM' "
+        f"WHEN length({text}) = 1 AND NOT {text} RLIKE '^[{WORD}]$' THEN 'PUNCT' ELSE 'NOUN' END"
     )
 
 
+def _spark_lemma(word: str, pos: str) -> str:
+    """:func:`lemma_rule` with a hashed test in front of the irregular forms, the class of a word being
+    asked for last."""
+    closed = [w for ws in CLOSED_CLASSES.values() for w in ws]
+    irregular = [w for ws in LEMMAS.values() for w in ws]
+    forms = " ".join(f"WHEN {word} IN {_sql_list(ws)} THEN '{lemma}'" for lemma, ws in LEMMAS.items())
+    return (
+        f"CASE WHEN {word} IN {_sql_list(dict.fromkeys(irregular + closed))} THEN CASE {forms} ELSE {word} END "
+        f"WHEN {word} LIKE '%s' AND length({word}) > 3 AND {word} NOT LIKE '%ss' AND {pos} = 'NOUN' "
+        f"THEN substring({word}, 1, length({word}) - 1) ELSE {word} END"
+    )
+
+
+# Patterns inside SQL text, where a backslash is written twice.
+WORD = T.WORD_CHAR.replace("\\", "\\\\")
+NUMBER, LETTERS = (p.replace("\\", "\\\\") for p in (r"^\p{N}+$", T.ALPHA))
+
+
 def _tags(rows: DataFrame, sentences, fields) -> DataFrame:
     """``rows`` with ``tokens``: those of all ``sentences``, one after the other, with ``fields``.
 
-    Each step adds the fields that the next one reads, so no expression is evaluated twice, and
-    only those that ``fields`` need are there.
+    The rules run over arrays of strings, not of structs, and each array is an argument of the next
+    function, so that it is made once; only those that ``fields`` need are there.
     """
     spaced = "ws" in fields
     tagged = not set(fields) <= {"i", "text", "ws", "dep", "head_i"}
@@ -160,35 +180,27 @@ def _tags(rows: DataFrame, sentences, fields) -> DataFrame:
         rows = rows.withColumn("tokens", F.transform("tokens", lambda x: F.struct(
             x["i"].alias("i"), F.regexp_replace(x["text"], r"\s+$", "").alias("text"), x["text"].alias("piece")
         )))
+    if tuple(fields) == ("i", "text"):
+        return rows
+    kept = rows.columns
     if tagged:
-        def kinds(x, word):
-            t = x["text"]
-            kind = (
-                F.when(T.is_alpha(t), "alpha").when(t.rlike(r"^\p{N}+$"), "num")
-                .when(t.rlike(rf"^[{T.WORD_CHAR}]+$"), "word").otherwise("punct")
-            )
-            more = [x["piece"].alias("piece")] if spaced else []
-            return F.struct(x["i"].alias("i"), t.alias("text"), word.alias("word"), kind.alias("kind"), *more)
-
         # One call for a sentence; no token holds a line end, so each is lowered as if by itself.
         lowered = F.split(F.lower(F.array_join("tokens.text", "\n")), "\n")
-        rows = rows.withColumn("tokens", F.zip_with("tokens", F.slice(lowered, F.lit(1), F.size("tokens")), kinds))
-        more = ", x.piece" if spaced else ""
-        if {"lemma", "pos", "tag"} & set(fields):
-            pos = _spark_pos("x.word", "x.kind")
-            rows = rows.withColumn("tokens", F.expr(
-                f"transform(tokens, x -> struct(x.i, x.text, x.word, x.kind, {pos} AS pos{more}))"
-            ))
+        rows = rows.withColumn("_words", F.slice(lowered, F.lit(1), F.size("tokens")))
+    if {"lemma", "pos", "tag", "is_punct"} & set(fields):
+        rows = rows.withColumn("_pos", F.expr(f"zip_with(tokens.text, _words, (t, w) -> {_spark_pos('t', 'w')})"))
     rules = {
-        "i": "x.i", "text": "x.text", "ws": "substr(x.piece, length(x.text) + 1, length(x.piece))",
-        "lemma": lemma_rule("x.word", "x.pos"), "pos": "x.pos", "tag": tag_rule("x.word", "x.pos"),
-        "dep": "cast(null as string)", "head_i": "cast(null as int)", "is_alpha": "x.kind = 'alpha'",
-        "is_punct": "x.kind = 'punct'", "is_stop": f"x.word IN {_sql_list(STOP_WORDS)}",
+        "i": "tokens.i", "text": "tokens.text",
+        "ws": "transform(tokens, x -> substr(x.piece, length(x.text) + 1, length(x.piece)))",
+        "lemma": f"zip_with(_words, _pos, (w, p) -> {_spark_lemma('w', 'p')})", "pos": "_pos",
+        "tag": f"zip_with(_words, _pos, (w, p) -> {tag_rule('w', 'p')})",
+        "dep": "array_repeat(cast(null as string), size(tokens))",
+        "head_i": "array_repeat(cast(null as int), size(tokens))",
+        "is_alpha": f"transform(tokens.text, t -> t RLIKE '{LETTERS}')", "is_punct": "transform(_pos, p -> p = 'PUNCT')",
+        "is_stop": f"transform(_words, w -> w IN {_sql_list(STOP_WORDS)})",
     }
-    if tuple(fields) == ("i", "text"):
-        return rows
-    out = ", ".join(f"{rules[f]} AS {f}" for f in fields)
-    return rows.withColumn("tokens", F.expr(f"transform(tokens, x -> struct({out}))"))
+    columns = F.arrays_zip(*[F.expr(rules[f]).alias(f) for f in fields])
+    return rows.withColumn("tokens", columns).select(*kept)
 
 
 def bound(name: str):

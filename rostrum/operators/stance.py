@@ -131,12 +131,17 @@ def with_hits(
     opposites = fixed.OPPOSITES if opposites is None else opposites
     x = sents.crossJoin(F.broadcast(cut_lineage(_entries(lexicon, kinds, opposites))))
 
-    def looked_up(t, i):
-        found = F.try_element_at(F.get("_lexicon", F.pmod(F.hash(t["lemma"]), F.lit(BUCKETS))), t["lemma"])
-        return F.struct(t["i"].alias("i"), i.alias("at"), t["pos"].alias("pos"), found.alias("entries"))
+    def looked_up(lemma, i):
+        found = F.try_element_at(F.get("_lexicon", F.pmod(F.hash(lemma), F.lit(BUCKETS))), lemma)
+        return F.when(found.isNotNull(), F.struct(i.alias("at"), found.alias("entries")))
 
-    met = F.filter(F.transform("tokens", looked_up), lambda m: m["entries"].isNotNull())
-    x = x.withColumn("_met", met)
+    def placed(m):
+        token = F.get("tokens", m["at"])
+        return F.struct(token["i"].alias("i"), m["at"].alias("at"), token["pos"].alias("pos"), m["entries"].alias("entries"))
+
+    # Over the lemmas alone: few tokens are met.
+    met = F.filter(F.transform("tokens.lemma", looked_up), lambda m: m.isNotNull())
+    x = x.withColumn("_met", F.transform(met, placed))
 
     def lower(at):
         return F.lower(F.get("tokens", at)["text"])

@@ -59,3 +59,13 @@ def test_no_token_is_shuffled(spark):
     ):
         plan = out._jdf.queryExecution().sparkPlan().toString()
         assert "SortMergeJoin" not in plan and "Aggregate" not in plan
+
+
+def test_odd_characters_are_tagged_as_in_the_token_table(spark):
+    # Some of these have a lower case that is a letter, though the pattern of words does not know them.
+    odd = "Ɤ Ƛ Ⓐ ⓐs Ⅷ ½ x12 12x a_s news Glass US thes K İS ẞs ªs $ - – _ \U0001f600"
+    s = annotate.sentences(spark.createDataFrame([(1, odd), (2, "It is not news. Cats were seen quickly")], "id long, text string"))
+    toks = annotate.tokens(s)
+    for fields in (annotate.ARRAY_FIELDS, ("i", "text", "lemma", "pos"), ("i", "lemma"), ("i", "is_punct")):
+        got = annotate.tagged(s, fields=fields).select("id", "sent_i", F.inline("tokens"))
+        assert rows(got) == rows(toks.select(got.columns))
