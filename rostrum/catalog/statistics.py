@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rostrum.catalog.base import (
-    ANN_LABELLED, LABELLED_SQL, Tables, ann_docs, doc_tokens, labelled_tokens, query, r6,
+    ANN_LABELLED, LABELLED_SQL, Tables, ann_docs, doc_parses, doc_tokens, labelled_tokens, query, r6,
     rounded, sql_list, with_parse,
 )
 from rostrum.functions import fixed, tails
@@ -34,7 +34,7 @@ SF = features.SENTENCE_FEATURES
     ann_docs() + "," + SENT_FEATURES + f" SELECT id, sent_i, {', '.join(SF)}, word_length FROM fs",
 )
 def ag01(t):
-    out = features.sentence_features(with_parse(doc_tokens(t)))
+    out = features.sentence_features(doc_parses(t))
     return out.withColumn("word_length", F.array_join(F.col("word_length").cast("array<string>"), ","))
 
 
@@ -45,7 +45,7 @@ def ag01(t):
     + " FROM fs GROUP BY id",
 )
 def ag01_docs(t):
-    out = features.linguistic_features(with_parse(doc_tokens(t)))
+    out = features.linguistic_features(doc_parses(t))
     return out.select(
         "id", *[F.array_join(F.col(f).cast("array<string>"), ",").alias(f) for f in features.FEATURES]
     )
@@ -56,7 +56,7 @@ MEANS = ", ".join(f"round(avg({f}), 6) AS {f}" for f in SF) + ", round(sum(chars
 
 @query("ag02_array_means", ann_docs() + "," + SENT_FEATURES + f" SELECT id, {MEANS} FROM fs GROUP BY id")
 def ag02(t):
-    return rounded(features.array_means(features.linguistic_features(with_parse(doc_tokens(t)))))
+    return rounded(features.array_means(features.linguistic_features(doc_parses(t))))
 
 
 @query("ag02_document_means", ann_docs() + "," + SENT_FEATURES + f" SELECT id, {MEANS} FROM fs GROUP BY id")

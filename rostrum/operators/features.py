@@ -51,19 +51,28 @@ def sentence_counts(toks: DataFrame, markers=None) -> DataFrame:
     return counts.filter(F.col("sentence_length") > 0)
 
 
-def _counts_in_row(sents: DataFrame, markers) -> DataFrame:
+def _counts_in_row(sents: DataFrame, markers, lengths=False) -> DataFrame:
     def count(name):
         hits = F.filter("tokens", lambda t: F.coalesce(_rules(markers, lambda f: t[f])[name], F.lit(False)))
         return F.size(hits).alias(name)
 
     words = F.filter("tokens", lambda t: t["is_alpha"])
-    letters = F.aggregate(words, F.lit(0).cast("long"), lambda n, t: n + F.length(t["text"])).alias("letters")
-    counts = sents.select("id", "sent_i", *[count(name) for name in _rules(markers)], letters)
+    if lengths:
+        placed = F.array_sort(F.transform(words, lambda t: F.struct(t["i"].alias("i"), F.length(t["text"]).alias("n"))))
+        more = F.transform(placed, lambda w: w["n"]).alias("word_length")
+    else:
+        more = F.aggregate(words, F.lit(0).cast("long"), lambda n, t: n + F.length(t["text"])).alias("letters")
+    counts = sents.select("id", "sent_i", *[count(name) for name in _rules(markers)], more)
     return counts.filter(F.col("sentence_length") > 0)
 
 
 def sentence_features(toks: DataFrame, markers=None) -> DataFrame:
-    """The same counts, with the length of each word in order."""
+    """The same counts, with the length of each word in order.
+
+    Token arrays, one row per sentence, are counted in their rows and not shuffled.
+    """
+    if "tokens" in toks.columns:
+        return _counts_in_row(toks, markers, lengths=True)
     rules = _rules(markers)
     word = F.when(F.col("is_alpha"), F.struct(F.col("i").alias("i"), F.length("text").alias("n")))
     return (
