@@ -7,8 +7,8 @@ stands for the negator.
 from pyspark.sql import functions as F
 
 from rostrum.catalog.base import (
-    ANN_LABELLED, Tables, ann_docs, doc_sentences, doc_tokens, labelled, labelled_tokens, q, query, r6, rounded, sents_sql,
-    sql_list, tagged_sentences, with_parse,
+    ANN_LABELLED, PARSED_FIELDS, Tables, ann_docs, doc_parses, doc_sentences, doc_tokens, labelled, labelled_tokens,
+    parsed_in_row, q, query, r6, rounded, sents_sql, sql_list, tagged_sentences, with_parse,
 )
 from rostrum.catalog.statistics import SENT_FEATURES
 from rostrum.functions import fixed
@@ -349,7 +349,8 @@ SELECT id, string_agg(w, '' ORDER BY sent_i, i) AS text FROM pk GROUP BY id"""
 
 
 def neutral(t):
-    return anonymize.neutralize(doc_tokens(t), BIASED, POOLS)
+    fields = ("i", "text", "ws", "lemma", "pos", "is_punct", "is_stop")
+    return anonymize.neutralize(annotate.gathered(doc_sentences(t), fields=fields), BIASED, POOLS)
 
 
 @query("an05_neutralize", NEUTRAL)
@@ -369,9 +370,9 @@ def document_means_sql(ann: str) -> str:
     + f" FROM {document_means_sql(ann_docs())} b JOIN {document_means_sql(ann_docs(source=f'(SELECT id AS doc_id, text FROM ({NEUTRAL}))'))} a USING (id)",
 )
 def an06(t):
-    toks = doc_tokens(t)
-    changed = annotate.tokens(annotate.sentences(neutral(t), "id", "text"))
-    before, after = (features.document_means(with_parse(x)) for x in (toks, changed))
+    # The new texts have one row per id, so that their sentences need no gathering.
+    changed = annotate.tagged(annotate.sentences(neutral(t), "id", "text"), fields=PARSED_FIELDS)
+    before, after = (features.document_means(x) for x in (doc_parses(t), parsed_in_row(changed)))
     return rounded(anonymize.feature_shift(before, after))
 
 

@@ -92,20 +92,29 @@ def neutralize(toks: DataFrame, words, pools: dict, seed: int = 42) -> DataFrame
     """Replace biased words by neutral words of the same class and rebuild the text.
 
     The choice is the MD5 of ``seed-id-sent_i-i``: the same on every run, every partitioning
-    and in every engine. White space is kept. Returns ``(id, text)``.
+    and in every engine. White space is kept. Returns ``(id, text)``. Of token arrays, one row per
+    sentence (:func:`rostrum.operators.annotate.gathered`), only the new texts are shuffled.
     """
-    picked = F.col("text")
-    biased = F.col("lemma").isin(list(words)) & ~F.col("is_stop") & ~F.col("is_punct")
-    name = F.md5(F.concat_ws("-", F.lit(str(seed)), "id", "sent_i", "i").cast("binary"))
-    at = F.conv(F.substr(name, F.lit(1), F.lit(8)), 16, 10).cast("long")
-    for pos, pool in pools.items():
-        options = F.array(*[F.lit(w) for w in pool])
-        choice = F.get(options, F.pmod(at, F.lit(len(pool)).cast("long")).cast("int"))
-        picked = F.when(biased & (F.col("pos") == pos), choice).otherwise(picked)
-    rows = F.array_sort(
-        F.collect_list(F.struct("sent_i", "i", F.concat(picked, F.col("ws")).alias("w")))
-    )
-    return toks.groupBy("id").agg(rows.alias("_r")).select(
+    in_row = "tokens" in toks.columns
+
+    def word(get):
+        picked = get("text")
+        biased = get("lemma").isin(list(words)) & ~get("is_stop") & ~get("is_punct")
+        name = F.md5(F.concat_ws("-", F.lit(str(seed)), "id", "sent_i", get("i")).cast("binary"))
+        at = F.conv(F.substr(name, F.lit(1), F.lit(8)), 16, 10).cast("long")
+        for pos, pool in pools.items():
+            options = F.array(*[F.lit(w) for w in pool])
+            choice = F.get(options, F.pmod(at, F.lit(len(pool)).cast("long")).cast("int"))
+            picked = F.when(biased & (get("pos") == pos), choice).otherwise(picked)
+        return F.concat(picked, get("ws"))
+
+    if in_row:
+        placed = F.array_sort(F.transform("tokens", lambda t: F.struct(t["i"].alias("i"), word(lambda f: t[f]).alias("w"))))
+        joined = F.array_join(F.transform(placed, lambda p: p["w"]), "")
+        rows = toks.select("id", F.struct("sent_i", joined.alias("w")).alias("_w"))
+    else:
+        rows = toks.select("id", F.struct("sent_i", "i", word(F.col).alias("w")).alias("_w"))
+    return rows.groupBy("id").agg(F.array_sort(F.collect_list("_w")).alias("_r")).select(
         "id", F.array_join(F.transform("_r", lambda r: r["w"]), "").alias("text")
     )
 
