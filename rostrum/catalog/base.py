@@ -152,14 +152,6 @@ def parsed_in_row(sents: DataFrame) -> DataFrame:
     ))
 
 
-def doc_parses(t: Tables) -> DataFrame:
-    """``with_parse(doc_tokens(t))`` as token arrays, one row per sentence."""
-    return parsed_in_row(annotate.gathered(doc_sentences(t), fields=PARSED_FIELDS))
-
-
-PARSED_FIELDS = ("i", "text", "lemma", "pos", "tag", "is_alpha")
-
-
 def labelled(t: Tables) -> DataFrame:
     """Documents with their class."""
     return t.documents.join(t.labels, "doc_id")

@@ -105,7 +105,9 @@ def neutralize(toks: DataFrame, words, pools: dict, seed: int = 42) -> DataFrame
         for pos, pool in pools.items():
             options = F.array(*[F.lit(w) for w in pool])
             choice = F.get(options, F.pmod(at, F.lit(len(pool)).cast("long")).cast("int"))
-            picked = F.when(biased & (get("pos") == pos), choice).otherwise(picked)
+            picked = F.when(get("pos") == pos, choice).otherwise(picked)
+        # Few words are biased: for the others nothing more is evaluated.
+        picked = F.when(biased, picked).otherwise(get("text"))
         return F.concat(picked, get("ws"))
 
     if in_row:
