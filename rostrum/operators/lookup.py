@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rostrum.operators.annotate import bound
+
 
 def transfer_labels(df: DataFrame, labelled: DataFrame, key="text", label="label") -> DataFrame:
     """Give each row the label of an equal text, once per distinct label.
@@ -51,11 +53,13 @@ def frame_rule_matches(df: DataFrame, rules: DataFrame, frames="frames", mode="m
     or not. Distinct lists of frame names meet the rules by a join, so neither the rules
     nor the sentences are gathered; a list then carries the few rules that it meets.
     """
-    listed = F.array_sort(F.array_distinct(F.transform(frames, lambda f: f["frame"])))
-    lists = df.select(listed.alias("_names")).distinct()
+    # Sorted without a comparator in SQL, and bound: filters on the lists find them finished.
+    listed = F.sort_array(F.array_distinct(F.transform(frames, lambda f: f["frame"])))
+    df = df.withColumn("_names", listed).select(*[F.col(f"`{c}`") for c in df.columns], bound("_names"))
+    lists = df.select("_names").distinct()
     met = lists.withColumn("name", F.explode("_names")).join(rules.select("name").distinct(), "name")
-    met = met.groupBy("_names").agg(F.array_sort(F.collect_list("name")).alias("_rules"))
-    x = df.withColumn("_names", listed).join(met, "_names").drop("_names")
+    met = met.groupBy("_names").agg(F.sort_array(F.collect_list("name")).alias("_rules"))
+    x = df.join(met, "_names").drop("_names")
     x = x.withColumn("matched_frames", F.col("_rules"))
     if mode == "matched":
         picked = F.filter(frames, lambda f: F.array_contains(F.col("_rules"), f["frame"]))
