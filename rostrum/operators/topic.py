@@ -267,14 +267,16 @@ def main_topic(toks: DataFrame, issues: DataFrame, most: int = fixed.TOPIC_MAX_D
 
     ``issues`` is ``(id, sent_i, issue)`` with the lemma of the issue.
     """
-    roots = toks.filter(F.col("dep") == "ROOT").groupBy("id", "sent_i").agg(F.min("i").alias("root_i"))
-    near = (
-        toks.filter(F.col("dep").isin(fixed.TOPIC_DEPS))
-        .select("id", "sent_i", "i", F.col("lemma").alias("issue"))
-        .join(issues.select("id", "sent_i", "issue").distinct(), ["id", "sent_i", "issue"])
-        .join(roots, ["id", "sent_i"])
+    # The root and its candidates come from one pass: a sentence bounds the set of its tokens.
+    root, close = F.col("dep") == "ROOT", F.col("dep").isin(fixed.TOPIC_DEPS)
+    parses = toks.filter(root | close).groupBy("id", "sent_i").agg(
+        F.min(F.when(root, F.col("i"))).alias("_root"),
+        F.collect_set(F.when(close, F.struct("i", F.col("lemma").alias("issue")))).alias("_close"),
     )
-    return near.filter(F.abs(F.col("i") - F.col("root_i")) <= most).select("id", "sent_i", "issue").distinct()
+    near = F.filter("_close", lambda t: F.abs(t["i"] - F.col("_root")) <= most)
+    named = F.array_distinct(F.transform(near, lambda t: t["issue"]))
+    found = parses.select("id", "sent_i", F.explode(named).alias("issue"))
+    return found.join(issues.select("id", "sent_i", "issue"), ["id", "sent_i", "issue"], "left_semi")
 
 
 def mentions_lemma(toks: DataFrame, lemma: str) -> DataFrame:

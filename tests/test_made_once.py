@@ -27,3 +27,15 @@ def test_frame_lists_are_made_once_a_side(spark):
     assert optimized(out).count("array_distinct") == 2
     got = sorted((str(r.id), r.main_frame, tuple(r.matched_frames)) for r in out.collect())
     assert got == [("1", "b", ("a", "b")), ("1", "b", ("a", "b")), ("None", "a", ("a",))]
+
+
+def test_main_topic_reads_the_tokens_once(spark):
+    rows = [(i, d, k, dep, x) for i, d in ((1, 0), (1, 1), (None, 0)) for k, dep, x in (
+        (0, "nsubj", "tax"), (1, "ROOT", "rise"), (2, "dobj", "tax"), (3, "dobj", None), (9, "dobj", "far"))]
+    toks = spark.createDataFrame([*rows, (2, 0, 0, "nsubj", "tax")], "id long, sent_i int, i int, dep string, lemma string")
+    issues = spark.createDataFrame(
+        [(1, 0, "tax"), (1, 0, "tax"), (1, 1, "far"), (2, 0, "tax"), (None, 0, "tax")], "id long, sent_i int, issue string"
+    )
+    out = topic.main_topic(toks, issues, 3)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 2
+    assert [tuple(r) for r in out.collect()] == [(1, 0, "tax")]
