@@ -8,7 +8,7 @@ from rostrum.catalog.base import (
 )
 from rostrum.functions import fixed, tails
 from rostrum.functions import text as T
-from rostrum.operators import curate, features, stats
+from rostrum.operators import annotate, curate, features, stats
 from rostrum.streaming import resume
 
 SUFFIX = "(" + "|".join(fixed.NOMINAL_SUFFIXES) + ")$"
@@ -265,8 +265,11 @@ VEC_SQL = ", ".join(f"CAST(list_contains(ws, '{w}') AS INT)" for w in VOCAB)
 
 def vectors(t, label="quality"):
     words = F.array_distinct(T.tokens(F.lower("text")))
-    docs = t.documents.select("doc_id", words.alias("words")).join(t.labels.select("doc_id", label), "doc_id")
-    return docs.select("doc_id", label, T.encode_multi_hot("words", VOCAB).alias("semantic_frames"))
+    # Bound, so that a filter on the vectors finds finished words, and a join carries vectors only.
+    docs = t.documents.select("doc_id", F.explode(F.array(words)).alias("words"))
+    docs = docs.select("doc_id", T.encode_multi_hot("words", VOCAB).alias("semantic_frames"))
+    docs = docs.select("doc_id", annotate.bound("semantic_frames"))
+    return docs.join(t.labels.select("doc_id", label), "doc_id").select("doc_id", label, "semantic_frames")
 
 
 @query(

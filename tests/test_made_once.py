@@ -19,6 +19,15 @@ def found(spark, pattern, texts):
     return [r[0] for r in rows.select(F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).collect()]
 
 
+def test_vectors_cut_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "The the it"), (2, None), (3, ""), (None, "of")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0), (None, 1)], "doc_id long, quality int")
+    rows = vectors(SimpleNamespace(documents=docs, labels=labels))
+    assert optimized(stats.frame_bias(rows, "quality", 1)).count("regexp_extract_all") == 1
+    got = stats.frame_bias(rows, "quality", 1).collect()
+    assert [(r.a, r.b, r.c, r.d) for r in got if r.frame_index == 0] == [(1, 0, 1, 1)]
+
+
 def test_frame_lists_are_made_once_a_side(spark):
     docs = spark.createDataFrame([(1, "b a b"), (1, "b a b"), (None, "a"), (2, "c"), (3, None)], "id long, text string")
     frames = F.transform(F.split("text", " "), lambda w: F.struct(w.alias("frame"), F.array(w).alias("denotations")))
