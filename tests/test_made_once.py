@@ -19,6 +19,19 @@ def found(spark, pattern, texts):
     return [r[0] for r in rows.select(F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).collect()]
 
 
+def test_contractions_are_asked_for_by_their_characters(spark):
+    search, keys = clean.contraction_search(), list(fixed.CONTRACTIONS)
+    # One branch for each first character, which is looked for ahead, in place of one for each word.
+    assert search.count("I") == 2
+    texts = [*keys, " ".join(keys), "x" + "x".join(keys), "éI've I'veé can'ts Cannot. we'rewe're", "It's-it's_it's", ""]
+    assert found(spark, search, texts) == found(spark, clean.contraction_pattern(), texts)
+
+
+@pytest.mark.parametrize("mapping", [{}, {"a": "1", "ab": "2"}, {"a.c": "1"}])
+def test_other_words_are_alternatives(mapping):
+    assert clean.contraction_search(mapping) == clean.contraction_pattern(mapping)
+
+
 def test_vectors_cut_a_text_once(spark):
     docs = spark.createDataFrame([(1, "The the it"), (2, None), (3, ""), (None, "of")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0), (None, 1)], "doc_id long, quality int")
