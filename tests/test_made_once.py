@@ -1,5 +1,6 @@
 """Expensive values are made once a row: filters that the optimizer infers find them finished."""
 
+import statistics
 from types import SimpleNamespace
 
 import pytest
@@ -61,3 +62,15 @@ def test_main_topic_reads_the_tokens_once(spark):
     out = topic.main_topic(toks, issues, 3)
     assert out._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 2
     assert [tuple(r) for r in out.collect()] == [(1, 0, "tax")]
+
+
+def test_normal_law_standardizes_a_value_once(spark):
+    df = spark.createDataFrame([("a", float(k * k)) for k in range(9)] + [("b", 1.0), ("c", None)], "g string, x double")
+    out = stats.ks_normality(df, "g", ["x"])
+    assert optimized(out).count(" - _mean#") == 1
+    got = {r.g: (r.n, r.statistic and round(r.statistic, 9)) for r in out.collect()}
+    values = [float(k * k) for k in range(9)]
+    mean, sd = statistics.mean(values), statistics.stdev(values)
+    law = [statistics.NormalDist(mean, sd).cdf(v) for v in values]
+    gap = max(max((k + 1) / 9 - f, f - k / 9) for k, f in enumerate(law))
+    assert got == {"a": (9, round(gap, 9)), "b": (1, None)}
