@@ -437,3 +437,48 @@ def test_evidence_counts_over_all_shards_of_a_host(spark, monkeypatch):
     for shard in (300, 2000):
         monkeypatch.setattr(pages, "SHARD", shard)
         assert {r.page_id: r.text for r in pages.extract(rows).collect()} == whole
+
+
+def test_the_sieve_leaves_out_only_meetings_without_a_stretch():
+    rng = np.random.default_rng(41)
+    least, line = 12, rng.integers(0, 2**32, 9).astype(np.uint32)
+    for _ in range(20):
+        whole = rng.integers(0, 2**32, 30).astype(np.uint32)
+        texts = []
+        for k in range(40):
+            # A short line that all have, and for some a longer stretch with changes, or a part of it.
+            tail = whole[rng.integers(0, 12):].copy() if k % 3 else rng.integers(0, 2**32, 20).astype(np.uint32)
+            tail[rng.random(len(tail)) < 0.3 * rng.random()] = k
+            texts.append(np.concatenate([rng.integers(0, 2**32, rng.integers(0, 30)).astype(np.uint32), line, tail]))
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        docs = np.arange(100, 140)
+        sieve = passages._Sieve(docs[:25], np.concatenate(texts[:25]), bounds[:26])
+        got = {(r, m) for r, who in sieve.passed(docs, np.concatenate(texts), bounds, least) for m in who.tolist() if docs[m] != docs[r]}
+        true = {
+            (r, m) for r in range(25) for m in range(40)
+            if r != m and len(passages._reaching(np.flatnonzero(np.isin(texts[r], texts[m])), least)[0])
+        }
+        assert got == true and 0 < len(true) < 25 * 39
+
+
+def test_documents_of_a_stock_line_do_not_all_meet(docs, monkeypatch):
+    """A line that is too short for a passage, and long enough for both signatures of a key."""
+    rng = random.Random(43)
+    fresh = lambda n: [f"k{rng.randrange(10**9)}" for _ in range(n)]
+    stock, passage = fresh(45), fresh(40)
+    texts = [" ".join(fresh(60) + stock + fresh(60)) for _ in range(150)]
+    # Two of them have a passage: the line and what follows it.
+    texts += [" ".join(fresh(70) + stock + passage + fresh(30)) for _ in range(2)]
+    met, written = [], passages.folder.written
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "candidates":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages.folder, "written", counted)
+    got = {(r.doc_id, r.start, r.end, r.partner) for r in passages.repeated(docs(texts)).collect()}
+    assert got == {(150, 70, 155, 151), (151, 70, 155, 150)}
+    # All ordered pairs of them are 22,952.
+    assert sum(met) < 10_000
