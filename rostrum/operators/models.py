@@ -214,23 +214,30 @@ def train_text(df: DataFrame, names: dict, text="text", label="label", **options
         return text_pipeline(text, **options).fit(data)
 
 
-def search_text(train: DataFrame, validation: DataFrame, names: dict, regs=(0.001, 0.01, 0.1), **options):
+def search_text(
+    train: DataFrame, validation: DataFrame, names: dict, regs=(0.001, 0.01, 0.1), parallelism=3, **options
+):
     """Choose the penalty on the validation part with a fresh model for each value.
 
     Returns the best fitted pipeline, its penalty and its AUC. The test part takes no part.
     """
     columns = [options.get("text", "text"), "target", "weight"]
     evaluator = BinaryClassificationEvaluator(labelCol="target")
-    trials = []
-    with (
-        kept(with_target(train, names).select(*columns)) as data,
-        kept(with_target(validation, names).select(*columns)) as held,
-    ):
-        for reg in regs:
-            model = text_pipeline(reg=reg, **options).fit(data)
-            trials.append((evaluator.evaluate(model.transform(held)), reg, model))
-    auc, reg, model = max(trials, key=lambda t: t[0])
-    return model, reg, auc
+    *front, idf, logit = text_pipeline(**options).getStages()
+
+    # Words, counts and document frequencies are the same for all penalties, so they are made once.
+    def counted(df):
+        return PipelineModel(front).transform(with_target(df, names).select(*columns)).select("_tf", "target", "weight")
+
+    def trial(reg):
+        fitted = logit.copy({logit.regParam: reg}).fit(known.transform(data))
+        return evaluator.evaluate(fitted.transform(known.transform(held))), reg, fitted
+
+    with kept(counted(train)) as data, kept(counted(validation)) as held, ThreadPool(parallelism) as pool:
+        known = idf.fit(data)
+        jobs = [inheritable_thread_target(partial(trial, reg)) for reg in regs]
+        auc, reg, fitted = max(pool.map(lambda job: job(), jobs), key=lambda t: t[0])
+    return PipelineModel([*front, known, fitted]), reg, auc
 
 
 def search_split(df: DataFrame, names: dict, regs=(0.001, 0.01, 0.1), seed: int = 42, **options):
