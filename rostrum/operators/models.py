@@ -88,7 +88,8 @@ def _logit_rows(spark, model, cols) -> tuple[DataFrame, DataFrame]:
 
 def l2_logit(df: DataFrame, label, cols, weight=None, reg: float | None = None):
     """L2 logistic classifier; ``reg`` defaults to one over the number of rows."""
-    with kept(assemble(df.withColumn(label, F.col(label).cast("double")), cols)) as data:
+    data = assemble(df.withColumn(label, F.col(label).cast("double")), cols)
+    with kept(data.select(label, "features", *([weight] if weight else []))) as data:
         reg = 1.0 / max(1, data.count()) if reg is None else reg
         lr = LogisticRegression(
             labelCol=label, regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8
@@ -158,26 +159,33 @@ def linear_svm(
 def permutation_importance(model, df: DataFrame, label, cols, id="id", seed: int = 42) -> DataFrame:
     """Loss of accuracy when one column is shuffled.
 
-    The shuffled column is joined on the row number of the seeded order, so rows change
-    values across the whole table and not within a partition.
+    The shuffled columns are joined on the row number of their seeded orders, so rows change
+    values across the whole table and not within a partition. Rows are numbered once, meet all
+    shuffled columns in one join, and are scored once as they are and once for each column.
     """
+    cols = list(cols)
     data = df.withColumn(label, F.col(label).cast("double"))
-
-    def accuracy(d):
-        scored = model.transform(assemble(d, cols))
-        return scored.agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("a"))
-
-    base = accuracy(data).withColumn("feature", F.lit("")).select("feature", "a")
-    numbered = ordered.numbered(data, [F.col(id)], (), "_row")
+    rows = ordered.numbered(data.select(F.col(id).alias("_id"), label, *cols), "_id", (), "_row").drop("_id")
     for k, c in enumerate(cols):
-        mixed = ordered.numbered(
-            data.select(id, F.col(c).alias("_mixed")), curate.seeded_key(id, seed + k), (), "_row"
-        ).drop(id)
-        swapped = numbered.join(mixed, "_row").withColumn(c, F.col("_mixed"))
-        base = base.unionByName(accuracy(swapped).withColumn("feature", F.lit(c)))
-    whole = F.max(F.when(F.col("feature") == "", F.col("a"))).over(_everything())
+        digest, tie = curate.seeded_key(id, seed + k)
+        mixed = data.select(digest.alias("_digest"), tie.alias("_id"), F.col(c).alias(f"_mixed{k}"))
+        ranged = ordered.digest_range(mixed, "_digest")
+        mixed = ordered.numbered(mixed, ["_digest", "_id"], (), "_row", ranged=ranged)
+        rows = rows.join(mixed.drop("_digest", "_id"), "_row")
+
+    def version(n):
+        values = [F.col(f"_mixed{k}" if k == n else c).alias(c) for k, c in enumerate(cols)]
+        return F.struct(F.lit(n).alias("_version"), F.col(label).alias(label), *values)
+
+    # Version -1 is the row as it is.
+    versions = rows.select(F.explode(F.array(*[version(n) for n in range(-1, len(cols))])).alias("_v")).select("_v.*")
+    scored = model.transform(assemble(versions, cols)).groupBy("_version")
+    scored = scored.agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("a"))
+    names = df.sparkSession.createDataFrame([(n, c) for n, c in enumerate(["", *cols], -1)], "_version int, feature string")
+    base = names.join(scored, "_version", "left")
+    whole = F.max(F.when(F.col("_version") == -1, F.col("a"))).over(_everything())
     out = base.withColumn("importance", whole - F.col("a"))
-    return out.filter(F.col("feature") != "").select("feature", "importance").orderBy(F.desc("importance"))
+    return out.filter(F.col("_version") >= 0).select("feature", "importance").orderBy(F.desc("importance"))
 
 
 def _everything():

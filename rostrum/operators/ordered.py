@@ -52,21 +52,36 @@ def with_range(df: DataFrame, key: Column, out: str = "_range") -> DataFrame:
     # Halvings of a binary search over the bounds.
     depth = F.ceil(F.log2(F.size("_bounds") + F.lit(2.0))).cast("int")
     halvings = F.transform(F.sequence(depth - 1, F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2.0), i).cast("int"))
-    found = F.aggregate(
-        halvings,
-        F.lit(0),
-        lambda at, jump: F.when(F.get("_bounds", at + jump - 1) <= key, at + jump).otherwise(at),
-    )
+
+    def search(k):
+        return F.aggregate(
+            halvings, F.lit(0), lambda at, jump: F.when(F.get("_bounds", at + jump - 1) <= k, at + jump).otherwise(at)
+        )
+
+    # Bound in an array of one, the key is made once a row and not at each halving.
+    found = F.get(F.transform(F.array(key), search), F.lit(0))
     # Not nullable: a join on it then brings no IS NOT NULL filter, which the optimizer
     # would evaluate again on the rows below.
     return df.withColumn(out, F.coalesce(found, F.lit(0))).drop("_bounds")
 
 
-def running_totals(df: DataFrame, values: dict, order_by, by=(), whole: str = "", least: bool = False) -> DataFrame:
+def digest_range(df: DataFrame, digest: str) -> Column:
+    """The range of a hexadecimal digest, by its first digits: digests are even, so no sample is needed."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    wanted = F.greatest(F.lit(max(8, parts)).cast("long"), F.floor(rows / RANGE_ROWS))
+    first = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return F.coalesce(F.shiftright(first * wanted, 32).cast("int"), F.lit(0))
+
+
+def running_totals(
+    df: DataFrame, values: dict, order_by, by=(), whole: str = "", least: bool = False, ranged: Column | None = None
+) -> DataFrame:
     """Inclusive running sum of each ``values[name]`` within ``by``; ``least``: the running minimum.
 
     ``order_by`` must identify a row within ``by``: break ties with an id. With ``whole``
-    the sum over the whole group is added as ``name + whole``; it comes for free.
+    the sum over the whole group is added as ``name + whole``; it comes for free. ``ranged``
+    is the number of a row's range, where it is known; it must follow the order.
     """
     order = _cols(order_by)
     group = F.struct(F.lit(0).alias("_"), *[c.alias(f"g{i}") for i, c in enumerate(_cols(by))])
@@ -74,7 +89,7 @@ def running_totals(df: DataFrame, values: dict, order_by, by=(), whole: str = ""
     work = df.withColumns(
         {"_group": group, **{f"_v_{name}": v for name, v in values.items()}}
     )
-    work = with_range(work, key)
+    work = with_range(work, key) if ranged is None else work.withColumn("_range", ranged)
     taken = F.min if least else F.sum
     totals = work.groupBy("_group", "_range").agg(
         *[taken(f"_v_{n}").alias(f"_t_{n}") for n in values]
@@ -115,10 +130,12 @@ def running_totals(df: DataFrame, values: dict, order_by, by=(), whole: str = ""
     )
 
 
-def numbered(df: DataFrame, order_by, by=(), out: str = "n", whole: str = "") -> DataFrame:
+def numbered(
+    df: DataFrame, order_by, by=(), out: str = "n", whole: str = "", ranged: Column | None = None
+) -> DataFrame:
     """Add the 1-based position of each row within ``by``; with ``whole`` also the size
     of its group, as ``out + whole``."""
-    return running_totals(df, {out: F.lit(1).cast("long")}, order_by, by, whole)
+    return running_totals(df, {out: F.lit(1).cast("long")}, order_by, by, whole, ranged=ranged)
 
 
 def quantiles(df: DataFrame, by, value: str, points: dict) -> DataFrame:
